@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, substrings, token_store
+from . import decontaminate, lines, packing, quality, simhash, substrings, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash": op4_simhash,
     "op6_quality": op6_quality,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_store": op9_token_store,
     "op10_decontamination": op10_decontamination,
 }

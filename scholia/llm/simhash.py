@@ -114,8 +114,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns: that with the
     smallest doc_id (of repeated rows with it, one)."""
     rows = near_duplicates(docs)
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    columns = docs.columns
-    found = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*columns)
+    key, absent = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
+    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"), absent.alias("_absent")).distinct()
+    # The window runs in the partitions of the join, so texts are shuffled once.
+    first = Window.partitionBy("_key", "_absent").orderBy("text")
+    found = docs.withColumns({"_key": key, "_absent": absent}).join(kept, ["_key", "_absent"], "left_semi")
+    return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
