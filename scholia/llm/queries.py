@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, multiset_hash, packing, pii, quality, simhash, substrings, token_store
+from . import decontaminate, licenses, lines, multiset_hash, packing, pii, quality, simhash, substrings, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    said = F.transform("found", lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"], F.format_number(x["probability"], 3), x["confirmed"].cast("string")))
+    return rows.select(
+        "doc_id", F.size("found").cast("long").alias("n_found"), F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"), F.array_join(said, ",").alias("paragraphs"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,6 +66,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_store": op9_token_store,
     "op10_decontamination": op10_decontamination,
