@@ -1 +1 @@
-
+"""The operators, as functions of DataFrames and Columns."""

@@ -1,5 +1,5 @@
 """Registered queries over the tables, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "hybrid_retrieval"
+from .queries import FLAGSHIP, ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

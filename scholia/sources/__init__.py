@@ -1 +1,5 @@
+"""Readers and writers of the tables that the operators work on."""
 
+from .files import SCHEMAS, pdf_files, read_chunks, read_pages, upload_gate, write_by_document, write_chunks, write_table
+
+__all__ = ["SCHEMAS", "pdf_files", "read_chunks", "read_pages", "upload_gate", "write_by_document", "write_chunks", "write_table"]

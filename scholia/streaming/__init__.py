@@ -1 +1,5 @@
+"""Ingest as a stream."""
 
+from .ingest import ingest_stream
+
+__all__ = ["ingest_stream"]
