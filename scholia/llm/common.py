@@ -66,8 +66,11 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text, and the named columns, in Arrow batches of few rows,
-    as texts may be long."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    as texts may be long. A table in fewer splits than there are cores is spread."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    cores = spark.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
@@ -90,3 +93,10 @@ def running_start(df: DataFrame, order: str, tie: list[str], value: str, name: s
     window = Window.partitionBy("_range").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offset = F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_range"))
     return dealt.withColumn(name, offset + F.sum(value).over(window) - F.col(value)).drop("_range")
+
+
+def unplaced(key: Column) -> Column:
+    """The same long, as a column by which no table is known to be dealt. An aggregate
+    that is joined by it is dealt anew, so that a skewed partition of the other
+    side may be split; a join in the aggregate's own partitions can't be."""
+    return key.bitwiseXOR(F.lit(0).cast("long"))

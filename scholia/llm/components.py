@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unplaced
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.col("b").alias("n"), F.col("a").alias("m"))
     least = near.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("root"))
-    linked = near.join(least, "n")
+    linked = near.join(least.withColumn("n", unplaced(F.col("n"))), "n")
     if large:
         out = linked.where("m > n").select(F.col("root").alias("a"), F.col("m").alias("b"))
     else:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of
+from .common import materialize, texts_of, unplaced
 from .tokens import text_batches
 from .words import data_of, spans
 
@@ -127,12 +127,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """
     chunks = materialize(texts_of(docs).mapInArrow(_chunks, _CHUNKS), "chunks")
     counts = chunks.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
-    repeated = counts.where("n > 1").select("digest")
+    repeated = counts.where("n > 1").select(unplaced(F.col("digest")).alias("digest"))
     each = chunks.select("row", "doc_id", F.posexplode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))).alias("starts"), "ends", "words")).alias("seq", "c"))
     each = each.select("row", "doc_id", "seq", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words"))
     shared = materialize(each.join(repeated, "digest"), "shared-chunks")
     first = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "seq")).alias("first"))
-    later = shared.join(first, "digest").where((F.col("row") != F.col("first.row")) | (F.col("seq") != F.col("first.seq")))
+    later = shared.join(first.withColumn("digest", unplaced(F.col("digest"))), "digest").where((F.col("row") != F.col("first.row")) | (F.col("seq") != F.col("first.seq")))
     part = F.struct("seq", "start", "end", "words", F.col("first.doc_id").alias("first_doc"))
     rows = later.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     return rows.mapInPandas(_merge, "doc_id long, first_doc_id long, start_byte long, end_byte long, n_words long, n_chunks long")
