@@ -106,7 +106,8 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
     split = df.select(key, sizes.alias("_sizes"), F.posexplode(sections(F.coalesce(text, F.lit("")))).alias("_section", "_s"))
     split = split.select(key, "_sizes", "_section", F.col("_s.heading").alias("section_path"), F.col("_s.text").alias("_text"))
     split = split.withColumn("_sentences", F.when(F.length("_text") > MOST, sentences(F.col("_text"))))
-    split = split.withColumn("_runs", F.when(F.col("_sentences").isNotNull(), packed(F.transform("_sentences", lambda s: F.length(s)))))
+    split = split.withColumn("_lengths", F.transform("_sentences", lambda s: F.length(s)))
+    split = split.withColumn("_runs", F.when(F.col("_sentences").isNotNull(), packed(F.col("_lengths"))))
     joined = lambda r, a, b: F.array_join(F.slice("_sentences", a + 1, b - a + 1), " ")
 
     def one(r: Column) -> Column:

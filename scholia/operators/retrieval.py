@@ -56,19 +56,27 @@ def bm25(records: DataFrame, questions: DataFrame, k: int = LIST) -> DataFrame:
     return top(rows, k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 for vectors of different size or without length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    both = norm(a) * norm(b)
-    return F.when((F.size(a) != F.size(b)) | (both == 0), 0.0).otherwise(dot / F.nullif(both, F.lit(0.0)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+
+
+def cosine(a: Column, b: Column, norms: Column) -> Column:
+    """Of two vectors and the product of their norms; 0 for vectors of different size or
+    without length."""
+    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / F.nullif(norms, F.lit(0.0)))
 
 
 def dense(vectors: DataFrame, asked: DataFrame, k: int = LIST) -> DataFrame:
     """query_id, pos, score, rank by cosine; vectors (pos, embedding), asked (query_id,
     vector). Every vector is scored for every question."""
-    scored = vectors.crossJoin(asked).select("query_id", "pos", cosine(F.col("vector"), F.col("embedding")).alias("score"))
-    return top(scored, k)
+    held = vectors.withColumns({"embedding": F.col("embedding").cast("array<double>"), "own": norm(F.col("embedding"))})
+    sought = asked.withColumns({"vector": F.col("vector").cast("array<double>"), "other": norm(F.col("vector"))})
+    score = cosine(F.col("vector"), F.col("embedding"), F.col("own") * F.col("other"))
+    return top(held.crossJoin(F.broadcast(sought)).select("query_id", "pos", score.alias("score")), k)
 
 
 def phrase(records: DataFrame, questions: DataFrame) -> DataFrame:
