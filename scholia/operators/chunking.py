@@ -103,7 +103,9 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
     of its overlap in its section, or else that of the chunk before it.
     """
     sizes = F.col(page_sizes).cast("array<long>") if page_sizes else F.array().cast("array<long>")
-    split = df.select(key, sizes.alias("_sizes"), F.posexplode(sections(F.coalesce(text, F.lit("")))).alias("_section", "_s"))
+    # The outer form: from the other, a filter on the sections is derived, for which the
+    # steps that made the text would be written out again in one expression.
+    split = df.select(key, sizes.alias("_sizes"), F.posexplode_outer(sections(F.coalesce(text, F.lit("")))).alias("_section", "_s")).where("_s is not null")
     split = split.select(key, "_sizes", "_section", F.col("_s.heading").alias("section_path"), F.col("_s.text").alias("_text"))
     split = split.withColumn("_sentences", F.when(F.length("_text") > MOST, sentences(F.col("_text"))))
     split = split.withColumn("_lengths", F.transform("_sentences", lambda s: F.length(s)))
@@ -116,7 +118,7 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
 
     whole = F.array(F.struct(F.col("_text").alias("text"), F.lit(1).alias("at")))
     made = split.withColumn("_chunks", F.when(F.col("_runs").isNull(), whole).otherwise(F.transform("_runs", one)))
-    flat = made.select(key, "_sizes", "_section", "section_path", "_text", F.posexplode("_chunks").alias("_nth", "_c"))
+    flat = made.select(key, "_sizes", "_section", "section_path", "_text", F.posexplode_outer("_chunks").alias("_nth", "_c")).where("_c is not null")
     order = Window.partitionBy(key).orderBy("_section", "_nth")
     in_section = Window.partitionBy(key, "_section").orderBy("_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     flat = flat.withColumn("_number", F.row_number().over(order) - 1).withColumn("_offset", F.last(F.when(F.col("_c.at") > 0, F.col("_c.at") - 1), ignorenulls=True).over(in_section))
