@@ -23,7 +23,7 @@ from .words import data_of, spans
 #: Bytes of a chunk at least and at most; a cut comes once in EVERY bytes on average (a power of two).
 LEAST, MOST, EVERY, WINDOW = 24, 192, 16, 16
 #: Words of a reported span at least: a repeated passage loses up to a chunk at either end.
-MIN_WORDS = 20
+MIN_WORDS = 16
 
 
 def gear_table() -> np.ndarray:
