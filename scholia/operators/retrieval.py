@@ -16,6 +16,8 @@ from scholia.functions.text import strip, tokens, word_count
 K1, B, BOOST = 1.5, 0.75, 1.5
 LIST, FUSED, RRF, EXACT = 25, 30, 60, 0.15
 DIGITS = 9
+#: Bytes of questions that go to every task at most.
+SENT = 64 << 20
 BAD_FLAGS = ["frontmatter-copyright-penalty", "journal-frontmatter-ad-penalty"]
 
 
@@ -26,9 +28,17 @@ def postings(records: DataFrame) -> DataFrame:
 
 
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The k best rows of each question, with their rank from 0."""
+    """The k best rows of each question, with their rank from 0. The row number itself
+    is compared, so that each task passes on its own k best rows only."""
     by = Window.partitionBy("query_id").orderBy(*(order or (F.round("score", DIGITS).desc(), F.col("pos"))))
-    return scored.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def sent(questions: DataFrame, size: Column) -> DataFrame:
+    """The questions, to be broadcast if their rows, of `size` bytes each, take SENT at
+    most. Beyond, a cross join pairs partitions: a task has a block of either table."""
+    whole = questions.agg(F.sum(size + 64).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(questions) if whole <= SENT else questions
 
 
 def bm25(records: DataFrame, questions: DataFrame, k: int = LIST) -> DataFrame:
@@ -76,7 +86,7 @@ def dense(vectors: DataFrame, asked: DataFrame, k: int = LIST) -> DataFrame:
     held = vectors.withColumns({"embedding": F.col("embedding").cast("array<double>"), "own": norm(F.col("embedding"))})
     sought = asked.withColumns({"vector": F.col("vector").cast("array<double>"), "other": norm(F.col("vector"))})
     score = cosine(F.col("vector"), F.col("embedding"), F.col("own") * F.col("other"))
-    return top(held.crossJoin(F.broadcast(sought)).select("query_id", "pos", score.alias("score")), k)
+    return top(held.crossJoin(sent(sought, 8 * F.size("vector"))).select("query_id", "pos", score.alias("score")), k)
 
 
 def phrase(records: DataFrame, questions: DataFrame) -> DataFrame:
@@ -85,7 +95,8 @@ def phrase(records: DataFrame, questions: DataFrame) -> DataFrame:
     kept, with a score that is not a number."""
     low = F.lower("query")
     words = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 4)
-    pairs = records.select("pos", F.lower("text").alias("t")).crossJoin(questions.select("query_id", low.alias("q"), words.alias("words")))
+    asked = sent(questions.select("query_id", low.alias("q"), words.alias("words")), 2 * F.octet_length("q"))
+    pairs = records.select("pos", F.lower("text").alias("t")).crossJoin(asked)
     n = F.size("words")
     hits = F.size(F.filter("words", lambda w: F.contains(F.col("t"), w)))
     whole = F.contains(F.col("t"), F.col("q"))

@@ -101,6 +101,30 @@ def test_phrase_without_long_words_keeps_all(spark):
     assert retrieval.phrase(records, spark.createDataFrame([(1, "is it ok")], "query_id long, query string")).count() == 2
 
 
+def test_questions_beyond_the_bound(spark, monkeypatch):
+    """Questions too large to broadcast give the same rows, as does a table over many partitions."""
+    records = spark.createDataFrame([(i, f"flood number {i} in river", [float(i % 7), 1.0]) for i in range(60)], "pos long, text string, embedding array<float>").repartition(5)
+    questions = spark.createDataFrame([(q, f"flood number {q}") for q in range(9)], "query_id long, query string")
+    asked = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(9)], "query_id long, vector array<float>")
+    run = lambda: [sorted(map(tuple, df.collect())) for df in (retrieval.dense(records, asked, 3), retrieval.phrase(records, questions))]
+    small = run()
+    monkeypatch.setattr(retrieval, "SENT", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(small[0]) == 27
+
+
+def test_each_task_passes_on_its_best(spark):
+    scored = spark.range(1000).selectExpr("id % 3 as query_id", "id as pos", "id * 0.5 as score")
+    rows = retrieval.top(scored, 2)
+    assert "WindowGroupLimit" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.pos, r["rank"]) for r in rows.collect()) == [(0, 996, 1), (0, 999, 0), (1, 994, 1), (1, 997, 0), (2, 995, 1), (2, 998, 0)]
+
+
 def test_cosine_of_unlike_vectors(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0])], "pos long, embedding array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
