@@ -59,6 +59,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _words(column: str) -> str:
+    """SQL for the words of a text, by the contract's pattern."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{lower}'), '{decontaminate.WORD}')"
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,4 +77,24 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators rest on hashes, tokenizers or models that SQL lacks; they are tested otherwise.
+ORACLE_SQL = {
+    "op10_decontamination": rf"""
+with d as materialized (select row_number() over () as r, doc_id, {_words("text")} as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item_id, {_words("text")} as w from benchmark),
+windows as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as said
+  from (select item_id, w, least(len(w), {decontaminate.WINDOW}) as size, unnest(range(1, greatest(len(w) - {decontaminate.WINDOW} + 1, 1) + 1)) as i from b where len(w) > 0)
+),
+places as (
+  select r, size, i, array_to_string(w[i:i + size - 1], ' ') as said
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as i from d, (select distinct size from windows) where len(w) >= size)
+),
+hits as materialized (select r, i, size, item_id from places join windows using (size, said)),
+hit_words as (select r, count(*) as n_hit from (select distinct r, i + unnest(range(size)) as word from hits) group by r),
+hit_items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct r, item_id from hits) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit_words using (r) left join hit_items using (r)
+""",
+}
