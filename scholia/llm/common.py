@@ -74,6 +74,16 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
+def least_hashes(rows: DataFrame, key: str, k: int, n: int, *ties: str) -> DataFrame:
+    """The k rows with the least hashes of `key`, of a table of about n rows: a sample
+    that doesn't hang on how the table is cut. Only the lowest share of the hashes,
+    some 4 * k rows, reaches the task that picks. Where a few keys hold most rows,
+    it may be fewer than k."""
+    share = min(1.0, (4 * k + 400) / max(n, 1))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    return rows.where(F.xxhash64(key) <= F.lit(bound).cast("long")).orderBy(F.xxhash64(key), key, *ties).limit(k)
+
+
 def running_start(df: DataFrame, order: str, tie: list[str], value: str, name: str) -> DataFrame:
     """Adds the sum of `value` over all rows before this one in ascending order.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import least_hashes, texts_of
 from .tokens import text_batches
 from .words import data_of, gram_hashes, lower_table, span_hashes, spans, word_table
 
@@ -179,7 +179,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have none; repeated rows are scanned each.
     """
-    sample = texts_of(docs).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
+    sample = least_hashes(texts_of(docs).where("text is not null"), "doc_id", SAMPLE_DOCS, docs.count(), "text")
     lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike("(?i)licen|copyright|rights|redistrib|permission"))
     ordinary = sorted(r.line for r in lines.distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS).collect())
     return texts_of(docs).mapInArrow(_scan(train(ordinary)), "doc_id long, found array<struct<line:int,family:string,probability:double,shared:double,confirmed:boolean>>")
