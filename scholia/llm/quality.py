@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import least_hashes, texts_of
 from .tokens import text_batches
 from .words import data_of
 
@@ -134,16 +134,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_batches(batch):
             x = statistics_of(texts)
             values = pa.ListArray.from_arrays(pa.array(range(0, x.size + 1, N_FEATURES), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([rows.column("quality"), values], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"), values], names=["doc_id", "quality", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on at most TRAIN_ROWS labelled documents outside fold 1."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("quality").isin(0, 1) & (fold("doc_id") != 1))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAIN_ROWS)
-    # The sample is bounded, so it may be broadcast.
-    rows = texts_of(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_features, "quality int, x array<double>").toPandas()
+    sample = least_hashes(usable, "doc_id", TRAIN_ROWS, usable.count(), "quality")
+    # The sample is bounded, so it may be broadcast. Of documents with equal doc_id one counts, so what is collected is bounded too.
+    found = texts_of(docs).join(F.broadcast(sample), "doc_id").mapInArrow(_features, "doc_id long, quality int, x array<double>")
+    rows = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     x = np.array(rows.x.tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
     order = np.lexsort((*x.T, rows.quality.to_numpy(dtype=np.int64)))
     return train(x[order], rows.quality.to_numpy(dtype=np.float64)[order])

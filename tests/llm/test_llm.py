@@ -7,7 +7,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from scholia.llm import decontaminate, licenses, lines, multiset_hash, packing, pii, quality, simhash, substrings, token_store
+from scholia.llm.common import least_hashes
 from scholia.llm.components import components
 from scholia.llm.tokens import encoder, vocabulary
 
@@ -216,6 +218,22 @@ def test_quality(spark, docs, none):
     assert quality.score_documents(none, labels).count() == 0
 
 
+def test_sample_of_least_hashes(spark):
+    """The rows that sorting the whole table gives, and never more where keys repeat."""
+    table = spark.range(20000).selectExpr("id as doc_id")
+    want = [r.doc_id for r in table.orderBy(F.xxhash64("doc_id")).limit(50).collect()]
+    assert [r.doc_id for r in least_hashes(table, "doc_id", 50, 20000).collect()] == want
+    assert least_hashes(table.selectExpr("1 as doc_id"), "doc_id", 50, 20000).count() <= 50
+    assert least_hashes(table.limit(0), "doc_id", 50, 0).count() == 0
+
+
+def test_quality_of_a_repeated_document(spark):
+    """Rows that repeat a labelled doc_id count once in training."""
+    table = spark.createDataFrame([(i % 4, f"text number {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    assert quality.score_documents(table, labels).count() == 60
+
+
 def test_licenses(spark, docs, none):
     said = [(1, "Some words.\nReleased under the MIT License.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "The river was long.")]
     got = {r.doc_id: [(f.line, f.family, f.confirmed) for f in r.found] for r in licenses.scan_licenses(spark.createDataFrame(said, "doc_id long, text string")).collect()}
