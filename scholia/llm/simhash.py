@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of
+from .common import materialize, shuffle_width, texts_of
 from .components import components
 from .tokens import text_batches
 
@@ -79,7 +79,9 @@ def _cells(v: Column) -> Column:
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Of distinct fingerprints (fp), links (a, b) at most MOST_BITS bits apart that
     connect all that are connected by such links."""
-    embedded = fps.select("fp", _embedding(F.col("fp")).alias("v"))
+    # A fingerprint makes 33 rows here and 65 below, so small partitions are kept apart.
+    width = shuffle_width(fps.sparkSession)
+    embedded = fps.select("fp").repartition(width, "fp").select("fp", _embedding(F.col("fp")).alias("v"))
     cells = embedded.select("fp", F.explode(_cells(F.col("v"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(cells.join(sizes, "cell"), "cells")
@@ -87,7 +89,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     other = few.select("cell", F.col("fp").alias("b"))
     pairs = few.withColumnRenamed("fp", "a").join(other, "cell").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)])
-    many = shared.where(F.col("n") > PAIRED).select("fp").distinct().select("fp", F.explode(flips).alias("w"))
+    many = shared.where(F.col("n") > PAIRED).select("fp").repartition(width, "fp").distinct().select("fp", F.explode(flips).alias("w"))
     least = many.groupBy("w").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = many.join(least, "w").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.select("a", "b").union(stars)
