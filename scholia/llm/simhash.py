@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, texts_of
+from .common import materialize, shuffle_width, texts_of, unplaced
 from .components import components
 from .tokens import text_batches
 
@@ -81,7 +81,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     connect all that are connected by such links."""
     # A fingerprint makes 33 rows here and 65 below, so small partitions are kept apart.
     width = shuffle_width(fps.sparkSession)
-    embedded = fps.select("fp").repartition(width, "fp").select("fp", _embedding(F.col("fp")).alias("v"))
+    embedded = fps.select("fp").repartition(width, unplaced(F.col("fp"))).select("fp", _embedding(F.col("fp")).alias("v"))
     cells = embedded.select("fp", F.explode(_cells(F.col("v"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(cells.join(sizes, "cell"), "cells")
