@@ -1,0 +1,168 @@
+"""Near copies by the likeness of shingle sets: MinHash bands, exact verification.
+
+Texts are near copies where the Jaccard likeness of their sets of SHINGLE
+consecutive words is SIMILARITY or more. SimHash can't propose such pairs: at a
+likeness of 0.8 some 10 of its 64 bits differ, where cells of bit counts no
+longer separate. Candidates share one of the bands of ROWS minima each, so many
+bands that a pair just as like as asked is missed once in MISSED times at most;
+then the sets themselves are compared. Equal sets are one node from the start.
+
+Where many share a band, they aren't compared in pairs at once: all are compared
+with one of them, in a few rounds, and what is linked by then needs no more. The
+pairs that are left, of nodes in different components, are all compared.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, texts_of, unplaced
+from .components import components
+from .tokens import text_batches
+from .words import data_of, gram_hashes, lower_table, mix, span_hashes, spans
+
+SHINGLE, SIMILARITY = 5, 0.8
+ROWS, MISSED = 5, 2000
+#: Members of a band that are compared in pairs at once, and rounds for the others.
+PAIRED, ROUNDS = 8, 2
+_SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
+_SETS = "row long, doc_id long, mark string, node long, bands array<long>, shingles array<long>"
+
+
+def bands_for(similarity: float) -> int:
+    return max(1, math.ceil(math.log(MISSED) / -math.log1p(-(min(similarity, 0.999) ** ROWS))))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text, the ascending distinct hashes of k words; of a text of fewer words,
+    that of all of them."""
+    data, offsets = data_of(texts)
+    data = lower_table()[data]
+    inside = np.ones(256, bool)
+    inside[_SPACE] = False
+    starts, ends, counts = spans(inside[data], offsets)
+    words = span_hashes(data, starts, ends)
+    full, out = gram_hashes(words, k), []
+    for lo, hi in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True):
+        out.append(np.unique(full[lo : hi - k + 1] if hi - lo >= k else gram_hashes(words[lo:hi], hi - lo)))
+    return out
+
+
+def _sets(k: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        rng = np.random.default_rng(7)
+        factors = rng.integers(0, 1 << 32, ROWS * bands, np.uint32) | np.uint32(1)
+        shifts = rng.integers(0, 1 << 32, ROWS * bands, np.uint32)
+        for batch in batches:
+            for rows, texts in text_batches(batch):
+                sets = shingle_sets(texts, k)
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                held = np.flatnonzero(sizes)
+                nodes = np.zeros(len(sets), np.uint64)
+                keys = np.zeros((len(held), bands), np.uint64)
+                if len(held):
+                    at = ends[held]
+                    nodes[held] = mix(np.add.reduceat(mix(flat), at) ^ sizes[held].astype(np.uint64))
+                    low = (flat >> np.uint64(32)).astype(np.uint32)
+                    for band in range(bands):
+                        least = [np.minimum.reduceat(low * factors[i] + shifts[i], at) for i in range(band * ROWS, band * ROWS + ROWS)]
+                        keys[:, band] = reduce(lambda h, v: mix((h ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)), least, np.full(len(held), band + 1, np.uint64))
+                n = len(sets)
+                stops = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), rows.column("mark"), pa.array(nodes.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(stops), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64))),
+                    ],
+                    names=["row", "doc_id", "mark", "node", "bands", "shingles"],
+                )
+                row += n
+
+    return run
+
+
+def _like(a: Column, b: Column, similarity: float) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared) >= similarity
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, na, nb), the links: those whose sets are like enough."""
+    near = pairs.where(F.least("na", "nb") / F.greatest("na", "nb") >= similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    # Dealt anew for the joins: the node that all of a band are compared with has many pairs.
+    found = near.withColumn("a", unplaced(F.col("a"))).join(one, "a").join(other, "b").where(_like(F.col("x"), F.col("y"), similarity))
+    return materialize(found.select("a", "b"), "links")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of bands with their label, in the bands that hold more than one label."""
+    labels = components(links).withColumnRenamed("root", "label")
+    found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = materialize(found, "labelled")
+    mixed = found.groupBy("cell").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first < last").select(unplaced(F.col("cell")).alias("cell"))
+    return materialize(found.join(mixed, "cell"), "open")
+
+
+def link_sets(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all nodes that candidate pairs, like enough, connect."""
+    cells = nodes.select("node", "n", F.explode("bands").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("other")).where("size > 1")
+    shared = materialize(cells.join(sizes.withColumn("cell", unplaced(F.col("cell"))), "cell"), "bands")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "row"), "node")
+    sets = materialize(rows.select("row", "shingles").join(wanted, "row").select("node", "shingles"), "shingle-sets")
+    few, many = shared.where(F.col("size") <= PAIRED), shared.where(F.col("size") > PAIRED).select("node", "n", "cell")
+    pair = [F.col("node").alias("a"), F.col("n").alias("na")]
+    mates = lambda df, *more: df.select("cell", F.col("node").alias("b"), F.col("n").alias("nb"), *more)
+    pairs = few.select("cell", *pair).join(mates(few), "cell").where("a < b").select("a", "b", "na", "nb")
+    links = _verified(pairs, sets, similarity)
+    if many.isEmpty():
+        return links
+    for turn in range(ROUNDS):
+        open_ = _labelled(many, links)
+        if open_.isEmpty():
+            return links
+        # The members' centre is another in each round, but mostly the same in all bands of a group.
+        best = open_.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "label")).alias("c"))
+        stars = open_.join(best.select(unplaced(F.col("cell")).alias("cell"), "c"), "cell").where("label <> c.label")
+        found = _verified(stars.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")), sets, similarity)
+        links = links.union(found)
+    # The rest: all pairs with different labels. One of them at least is outside the band's main label.
+    open_ = _labelled(many, links)
+    main = open_.groupBy("cell", "label").agg(F.count("*").alias("size")).groupBy("cell").agg(F.max(F.struct("size", "label")).alias("m"))
+    strays = open_.join(main.select(unplaced(F.col("cell")).alias("cell"), F.col("m.label").alias("main")), "cell").where("label <> main")
+    rest = strays.select("cell", "label", *pair).join(mates(open_, F.col("label").alias("own")), "cell").where("label <> own")
+    return links.union(_verified(rest.select("a", "b", "na", "nb"), sets, similarity))
+
+
+def component_rows(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each group that links connect, the row that stays: doc_id and mark (the MD5 of
+    its text, null for a null one). It is that with the smallest doc_id, a null
+    being larger than any other, and of equal ones the smallest mark."""
+    rows = materialize(texts_of(docs, F.md5("text").alias("mark")).mapInArrow(_sets(shingle, bands_for(similarity)), _SETS), "shingles")
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
+    nodes = materialize(rows.groupBy("node").agg(F.min(place).alias("least"), F.min("row").alias("row"), F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("n")), "nodes")
+    roots = components(link_sets(rows, nodes, similarity))
+    labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return labelled.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.mark")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies stays, with all its columns. Rows that
+    share doc_id and text count as one."""
+    from .simhash import keep_rows
+
+    return keep_rows(docs, component_rows(docs, shingle, similarity))

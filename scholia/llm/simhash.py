@@ -112,6 +112,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents that `kept` names by doc_id and mark (the MD5 of the text), with all
+    their columns; of repeated rows one."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()]
+    named = lambda mark: dict(zip(("_key", "_absent", "_mark"), (*key, F.coalesce(mark, F.lit(""))), strict=True))
+    chosen = kept.select(*[c.alias(n) for n, c in named(F.col("mark")).items()]).distinct()
+    # The window runs in the partitions of the join, so texts are shuffled once.
+    first = Window.partitionBy("_key", "_absent", "_mark").orderBy("text")
+    found = docs.withColumns(named(F.md5("text"))).join(chosen, ["_key", "_absent", "_mark"], "left_semi")
+    return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, with all its columns: that with the
     smallest doc_id (of repeated rows with it, one)."""

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from scholia.llm import decontaminate, licenses, lines, multiset_hash, packing, pii, quality, simhash, substrings, token_store
+from scholia.llm import decontaminate, licenses, lines, multiset_hash, near_copies, packing, pii, quality, simhash, substrings, token_store
 from scholia.llm.common import least_hashes
 from scholia.llm.components import components
 from scholia.llm.tokens import encoder, vocabulary
@@ -148,6 +148,27 @@ def test_simhash(docs, none):
     assert len(kept) == len(set(kept)) == len(set(root))
 
 
+def test_near_copies(docs, none, spark):
+    """Pairs whose sets of five words are like enough are linked, however many bits of their
+    fingerprints differ, and in crowded bands too; less like ones are not."""
+    base = [f"w{i}" for i in range(404)]
+    near, far = [base[:i] + ["other"] + base[i + 1 :] for i in range(50, 350, 5)], base[:330] + [f"v{i}" for i in range(74)]
+    texts = [(i, " ".join(w)) for i, w in enumerate([base, base[:324], base[:323] + ["end"] * 5, far, *near])]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    assert likeness(sets[0], sets[1]) == 0.8 > likeness(sets[0], sets[2])
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if likeness(a, b) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id for r in near_copies.drop_near_copies(table).collect()} == set(root)
+    assert near_copies.drop_near_copies(none).count() == 0
+    assert near_copies.drop_near_copies(docs).columns == docs.columns
+
+
 def test_links_of_a_crowded_cell(spark):
     center = 0x0F0F123456789ABC
     marks = [center] + [center ^ (1 << i) for i in range(30)] + [center ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)] + [center ^ 0xFF00]

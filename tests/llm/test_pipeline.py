@@ -25,3 +25,11 @@ def test_pipeline(spark):
     assert len(set(marks)) == len(marks)
     got = corpus_pipeline.run(spark, DATA)
     assert got.select("doc_id").distinct().count() == now.count()
+
+
+def test_near_dedup_stage(spark):
+    """Of texts that share four fifths of their runs of five words, one stays."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:97], "x", "y", *words[99:]])), (3, " ".join(words[::-1]))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"), DATA)
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
