@@ -1,12 +1,11 @@
-"""Line dedup: winnowing over line hashes.
+"""Line dedup: grams of lines joined with their first occurrence.
 
 A text's units are its lines with something on them, compared without the
-white space around them. Of the hashes of GRAM consecutive units, the least of
-each window of WIDTH is a fingerprint, so each shared run of GRAM + WIDTH - 1
-units has one in common. Positions are joined with the first of the same
-fingerprint in the order of doc_id; the match is extended both ways over the
-WIDTH units on either side (the next fingerprint takes over from there), and
-the later run is deleted if it has LEAST_RUN units or is the whole document.
+white space around them. Each run of one, two and LEAST_RUN units is a key; of
+each key the first place in the order of doc_id is found. A later place goes if
+it has LEAST_RUN units or is the whole document. So a unit
+is deleted exactly where it lies in such a run that occurs earlier: each longer
+run is covered by its own keys, whichever earlier documents hold them.
 
 A unit is deleted only for an earlier one, so the first of each stays.
 """
@@ -15,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, texts_of
 from .tokens import text_batches
-from .words import window_minima
 
-GRAM, WIDTH = 2, 2
 LEAST_RUN = 3
-_ANCHORS = "doc_id long, text_hash long, n_units int, at int, fingerprint binary, before array<long>, after array<long>"
+_ANCHORS = "doc_id long, text_hash long, at int, size int, deletes boolean, fingerprint binary"
 
 
 def units_of(text: str) -> tuple[list[str], list[int]]:
@@ -36,42 +32,27 @@ def units_of(text: str) -> tuple[list[str], list[int]]:
     return [s for s, _ in lines], [i for _, i in lines]
 
 
-def fingerprints(keys: np.ndarray) -> np.ndarray:
-    """Positions of the grams that winnowing keeps."""
-    n = len(keys) - GRAM + 1
-    if n <= 0:
-        return np.arange(min(1, len(keys)))
-    grams = keys[:n].copy()
-    for j in range(1, GRAM):
-        grams = grams * np.uint64(0xC2B2AE3D27D4EB4F) + keys[j : j + n]
-    grams ^= grams >> np.uint64(32)
-    grams *= np.uint64(0x9E3779B97F4A7C15)
-    return np.flatnonzero(window_minima(grams, min(WIDTH, n)))
+def runs_of(units: list[str]) -> Iterator[tuple[int, int, bool]]:
+    """Start and size of each key of a text, and whether a later place of it goes."""
+    n = len(units)
+    for size in (1, 2, LEAST_RUN):
+        for i in range(n - size + 1):
+            yield i, size, size in (LEAST_RUN, n)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+    from xxhash import xxh3_128_digest
 
     for batch in batches:
         for rows, texts in text_batches(batch):
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, h, text in zip(rows.column("doc_id").to_pylist(), rows.column("text_hash").to_pylist(), texts.to_pylist(), strict=True):
                 units, _ = units_of(text)
-                keys = np.array([xxh3_64_intdigest(u.encode()) for u in units], dtype=np.uint64)
-                signed = keys.view(np.int64).tolist()
-                for i in fingerprints(keys).tolist():
-                    mark = xxh3_128_digest("\n".join(units[i : i + GRAM]).encode())
-                    for c, v in zip(out, (doc_id, h, len(units), i, mark, signed[max(0, i - WIDTH) : i], signed[i + GRAM : i + GRAM + WIDTH]), strict=True):
+                for i, size, deletes in runs_of(units):
+                    for c, v in zip(out, (doc_id, h, i, size, deletes, xxh3_128_digest("\n".join(units[i : i + size]).encode())), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "text_hash", "n_units", "at", "fingerprint", "before", "after"])
-
-
-def _common(a, b) -> F.Column:
-    """The length of the longest common start of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: x == y)
-    stop = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), False)
-    return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "text_hash", "at", "size", "deletes", "fingerprint"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -80,15 +61,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     rows = texts_of(docs, F.xxhash64("text").alias("text_hash"))
     anchors = materialize(rows.mapInArrow(_anchors, _ANCHORS), "line-anchors")
     place = F.struct("doc_id", "text_hash", "at")
-    first = anchors.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash", "at", "before", "after")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = anchors.groupBy("fingerprint").agg(F.min(place).alias("o"), F.count("*").alias("n"), F.max("deletes").alias("any")).where("n > 1 and any").drop("n", "any")
     # Dealt anew for the join, so that a skewed partition of anchors may be split.
     first = first.withColumn("fingerprint", F.concat(F.substring("fingerprint", 1, 8), F.substring("fingerprint", 9, 8)))
-    pairs = anchors.join(first, "fingerprint").where(place != F.struct("o.doc_id", "o.text_hash", "o.at"))
-    left = _common(F.reverse("before"), F.reverse("o.before"))
-    right = _common(F.col("after"), F.col("o.after"))
-    lo, hi = F.col("at") - left, F.least(F.col("at") + GRAM, F.col("n_units")) + right
-    runs = pairs.select("doc_id", "text_hash", "n_units", lo.alias("lo"), hi.alias("hi"))
-    runs = runs.where((F.col("hi") - F.col("lo") >= LEAST_RUN) | (F.col("hi") - F.col("lo") >= F.col("n_units"))).distinct()
+    pairs = anchors.where("deletes").join(first, "fingerprint").where(place != F.col("o"))
+    runs = pairs.select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi")).distinct()
     return runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 

@@ -283,6 +283,29 @@ def test_lines_guarantee(spark):
     assert lines.dedup_lines(copies).where("doc_id = 2").first().text == ""
 
 
+def test_lines_exactly(spark):
+    """A unit goes exactly where it lies in a run of three lines, or in a
+    document of fewer, that occurs earlier, whichever document holds it."""
+    long, half = " ".join(f"l{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(25)) for c in "pq"]
+    texts = [
+        (1, "b\nc\nx"), (2, "a\nb\nc\nd"), (3, "u\na\nb\nc\nd\nv"), (4, f"m\n{long}\nn"), (5, f"o\n{long}\nr"), (6, long), (7, "\n".join(["s", *half, "t"])), (8, "\n".join(["y", *half, "z"])), (9, "x"), (10, "c\nx"),
+        *[(i, "\n".join(rng.choice("efghi") for _ in range(20))) for i in range(20, 40)],
+    ]
+    seen, want = set(), {}
+    for doc_id, text in texts:
+        u, gone = text.split("\n"), set()
+        for size in (1, 2, 3):
+            for i in range(len(u) - size + 1):
+                run = tuple(u[i : i + size])
+                if run in seen and size in (3, len(u)):
+                    gone |= set(range(i, i + size))
+                seen.add(run)
+        want[doc_id] = "\n".join(x for i, x in enumerate(u) if i not in gone)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+    assert (got[3], got[6]) == ("u\nv", "")
+
+
 def test_substrings(docs, none):
     got = substrings.find_repeats(docs).collect()
     shared = SHARED.encode()
