@@ -3,7 +3,7 @@
 A text's units are its lines with something on them, compared without the
 white space around them. Each run of one, two and LEAST_RUN units is a key; of
 each key the first place in the order of doc_id is found. A later place goes if
-it has LEAST_RUN units or is the whole document. So a unit
+it has LEAST_RUN units or LEAST_WORDS words or is the whole document. So a unit
 is deleted exactly where it lies in such a run that occurs earlier: each longer
 run is covered by its own keys, whichever earlier documents hold them.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts_of
 from .tokens import text_batches
 
-LEAST_RUN = 3
+LEAST_RUN, LEAST_WORDS = 3, 50
 _ANCHORS = "doc_id long, text_hash long, at int, size int, deletes boolean, fingerprint binary"
 
 
@@ -34,10 +34,10 @@ def units_of(text: str) -> tuple[list[str], list[int]]:
 
 def runs_of(units: list[str]) -> Iterator[tuple[int, int, bool]]:
     """Start and size of each key of a text, and whether a later place of it goes."""
-    n = len(units)
+    words, n = [len(u.split()) for u in units], len(units)
     for size in (1, 2, LEAST_RUN):
         for i in range(n - size + 1):
-            yield i, size, size in (LEAST_RUN, n)
+            yield i, size, size in (LEAST_RUN, n) or sum(words[i : i + size]) >= LEAST_WORDS
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
