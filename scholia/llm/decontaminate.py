@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ SHARE = 20
 #: Fixed value: what a word is, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GRAM = "gram array<string>, before array<string>, after array<string>, size int, h long"
-FOUND = f"row long, doc_id long, n_words long, hits array<struct<{_GRAM.replace(' ', ':').replace(',:', ',')},at:long>>"
+FOUND = f"row long, doc_id long, mark string, n_words long, hits array<struct<{_GRAM.replace(' ', ':').replace(',:', ',')},at:long>>"
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -85,7 +86,7 @@ def _benchmark_grams(sizes: list[int]):
 _S = pa.list_(pa.string())
 _ITEM_ARROW = pa.schema([("gram", _S), ("before", _S), ("after", _S), ("size", pa.int32()), ("h", pa.int64()), ("item_id", pa.string())])
 _HIT = pa.struct([("gram", _S), ("before", _S), ("after", _S), ("size", pa.int32()), ("h", pa.int64()), ("at", pa.int64())])
-_DOC_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(_HIT))])
+_DOC_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(_HIT))])
 
 
 def _document_grams(slots: dict[int, bytes]):
@@ -105,7 +106,7 @@ def _document_grams(slots: dict[int, bytes]):
                 if not tables:
                     n_words, _ = _scan(texts, [], None, False)
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(_HIT))], schema=_DOC_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), pc.cast(rows.column("mark"), pa.string()), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(_HIT))], schema=_DOC_ARROW)
                 row += n
 
     return run
@@ -136,12 +137,13 @@ def _extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row", "item_id", "lo", "hi"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, marked: bool = False) -> DataFrame:
     """A row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and wordless texts have no words, no hits, and aren't contaminated; an
     empty benchmark hits nothing; repeated rows are judged each; repeated item
-    ids count once; items without an id have the id "".
+    ids count once; items without an id have the id "". With `marked`, mark (the MD5 of the text) is
+    a further column.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
@@ -157,7 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in grams.select(length.alias("k"), F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("s")).distinct().toLocalIterator():
         bits.setdefault(r.k, np.zeros(1 << FILTER_BITS, bool))[r.s] = True
     slots = {k: np.packbits(b).tobytes() for k, b in bits.items()}
-    found = materialize(texts_of(docs).mapInArrow(_document_grams(slots), FOUND), "document-grams")
+    found = materialize(texts_of(docs, (F.md5("text") if marked else F.lit(None).cast("string")).alias("mark")).mapInArrow(_document_grams(slots), FOUND), "document-grams")
     hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.*")
     other = grams.select("h", "size", "item_id", *[F.col(c).alias(f"item_{c}") for c in ("gram", "before", "after")])
     runs = hits.join(other, ["h", "size"]).mapInPandas(_extend, "row long, item_id string, lo long, hi long")
@@ -167,18 +169,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     distinct = runs.groupBy("row", "lo", "hi").agg(F.collect_set("item_id").alias("items"))
     new = distinct.withColumn("new", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", reach)))
     summed = new.groupBy("row").agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    joined = found.select("row", "doc_id", "n_words").join(summed, "row", "left")
+    joined = found.select("row", "doc_id", "mark", "n_words").join(summed, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+        "doc_id", *(["mark"] if marked else []), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns. Rows that share
-    a doc_id go together."""
-    gone = find_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that aren't contaminated, with all their columns. Rows are told apart
+    by doc_id and text; a null doc_id is one like any other."""
+    key, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.md5("text"), F.lit(""))
+    judged = find_contamination(docs, benchmark, marked=True).where("contaminated")
+    gone = judged.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_absent"), F.coalesce("mark", F.lit("")).alias("_mark")).distinct()
+    keyed = docs.withColumns({"_id": key, "_absent": F.col("doc_id").isNull(), "_mark": mark})
+    return keyed.join(gone, ["_id", "_absent", "_mark"], "left_anti").select(*docs.columns)

@@ -169,6 +169,16 @@ def test_near_copies(docs, none, spark):
     assert near_copies.drop_near_copies(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows without an id, or with the same one, are kept or dropped each by its own text."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    table = spark.createDataFrame([(None, one), (None, two), (None, three), (7, one + " more"), (7, three + " end"), (8, two), (9, two)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in near_copies.drop_near_copies(table).collect()}
+    assert kept == {(7, one + " more"), (7, three + " end"), (8, two)}
+    clean = {(r.doc_id, r.text) for r in decontaminate.drop_contaminated(table, spark.createDataFrame([("q", one)], "item_id string, text string")).collect()}
+    assert clean == {(None, two), (None, three), (7, three + " end"), (8, two), (9, two)}
+
+
 def test_links_of_a_crowded_cell(spark):
     center = 0x0F0F123456789ABC
     marks = [center] + [center ^ (1 << i) for i in range(30)] + [center ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)] + [center ^ 0xFF00]
