@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, as in tests on one machine, a folder under /tmp/checkpoints.
+    Where it is unset and all run on one machine, as in tests, a folder under
+    /tmp/checkpoints; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return root or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -64,14 +68,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id as long, text, and the named columns, in Arrow batches of few rows,
-    as texts may be long. A table in fewer splits than there are cores is spread."""
+#: Bytes of a table that are worth a task of their own, as by Spark's reader.
+SPLIT = 128 << 20
+
+
+def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """doc_id as long, text, and the named columns."""
+    return spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """The table; one that lies in fewer files than there are cores and would be read by
+    fewer tasks is dealt to all cores. Only names and sizes of files are looked at."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    cores = spark.sparkContext.defaultParallelism
-    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    cores, files = spark.sparkContext.defaultParallelism, docs.inputFiles()
+    if len(files) >= cores:
+        return docs
+    # Not from files, or from few: a small table, or one whose files split at their row groups.
+    small = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SPLIT
+    return docs.repartition(cores) if small else docs
 
 
 def least_hashes(rows: DataFrame, key: str, k: int, n: int, *ties: str) -> DataFrame:
@@ -110,3 +125,57 @@ def unplaced(key: Column) -> Column:
     that is joined by it is dealt anew, so that a skewed partition of the other
     side may be split; a join in the aggregate's own partitions can't be."""
     return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
+#: Bytes of keys that are broadcast at most.
+SENT = 16 << 20
+
+
+def sent(keys: DataFrame, each: int | Column) -> DataFrame:
+    """The keys, of about `each` bytes, to be broadcast if all of them take SENT at most;
+    beyond, they are joined by shuffling."""
+    whole = keys.agg(F.sum(each if isinstance(each, Column) else F.lit(each)).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(keys) if whole <= SENT else keys
+
+
+def text_mark(text: Column) -> Column:
+    """128 bits that stand for a text; null for a null one."""
+    return F.md5(text)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them that no column bears them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with columns that tell its rows apart by doc_id and text, and their
+    names; nulls are values like any other there."""
+    names = fresh(df, "_id", "_absent", "_mark")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(text_mark(F.col("text")), F.lit(""))]
+    return df.withColumns(dict(zip(names, key, strict=True))), names
+
+
+def named_keys(found: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct keys of rows (doc_id, mark), by the names that row_key gave, and how
+    often each occurs (times)."""
+    key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("mark", F.lit(""))]
+    return found.select(*[c.alias(n) for n, c in zip(names, key, strict=True)]).groupBy(*names).agg(F.count("*").alias("times"))
+
+
+def keep_named(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents but those that `found` (doc_id, mark, kept: a row a document) doesn't
+    keep, with all their columns; of repeated rows one. Texts are shuffled only
+    where they repeat, or where the keys are too many to be broadcast."""
+    keyed, names = row_key(docs)
+    gone = named_keys(found.where(~F.col("kept")), names).select(*names)
+    again = named_keys(found.where("kept"), names).where("times > 1").select(*names)
+    again = sent(again, 100)
+    once = keyed.join(sent(gone, 100), names, "left_anti").join(again, names, "left_anti")
+    return once.union(keyed.join(again, names, "left_semi").dropDuplicates(names)).select(*docs.columns)

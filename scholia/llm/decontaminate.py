@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, texts_of
+from .common import ascii_lower, materialize, named_keys, row_key, sent, text_mark, texts_of
 from .tokens import text_batches
 from .words import data_of, gram_hashes, lower_table, span_hashes, spans, window_minima, word_table
 
@@ -142,11 +142,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, marked: bool = Fal
 
     Null and wordless texts have no words, no hits, and aren't contaminated; an
     empty benchmark hits nothing; repeated rows are judged each; repeated item
-    ids count once; items without an id have the id "". With `marked`, mark (the MD5 of the text) is
-    a further column.
+    ids count once; items without an id have the id "". With `marked`, mark
+    (of the text) is a further column.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     # word counts of the items below WINDOW words: at most WINDOW - 1 numbers
     words = F.size(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
@@ -159,7 +157,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, marked: bool = Fal
     for r in grams.select(length.alias("k"), F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("s")).distinct().toLocalIterator():
         bits.setdefault(r.k, np.zeros(1 << FILTER_BITS, bool))[r.s] = True
     slots = {k: np.packbits(b).tobytes() for k, b in bits.items()}
-    found = materialize(texts_of(docs, (F.md5("text") if marked else F.lit(None).cast("string")).alias("mark")).mapInArrow(_document_grams(slots), FOUND), "document-grams")
+    found = materialize(texts_of(docs, (text_mark(F.col("text")) if marked else F.lit(None).cast("string")).alias("mark")).mapInArrow(_document_grams(slots), FOUND), "document-grams")
     hits = found.select("row", F.explode("hits").alias("x")).select("row", "x.*")
     other = grams.select("h", "size", "item_id", *[F.col(c).alias(f"item_{c}") for c in ("gram", "before", "after")])
     runs = hits.join(other, ["h", "size"]).mapInPandas(_extend, "row long, item_id string, lo long, hi long")
@@ -181,9 +179,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, marked: bool = Fal
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns. Rows are told apart
-    by doc_id and text; a null doc_id is one like any other."""
-    key, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce(F.md5("text"), F.lit(""))
-    judged = find_contamination(docs, benchmark, marked=True).where("contaminated")
-    gone = judged.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_absent"), F.coalesce("mark", F.lit("")).alias("_mark")).distinct()
-    keyed = docs.withColumns({"_id": key, "_absent": F.col("doc_id").isNull(), "_mark": mark})
-    return keyed.join(gone, ["_id", "_absent", "_mark"], "left_anti").select(*docs.columns)
+    by doc_id and text; a null doc_id is one like any other. Texts are shuffled
+    only where the keys of those that go are too many to be broadcast."""
+    judged = materialize(find_contamination(docs, benchmark, marked=True).where("contaminated").select("doc_id", "mark"), "contaminated")
+    keyed, names = row_key(docs)
+    gone = named_keys(judged, names).select(*names)
+    return keyed.join(sent(gone, 100), names, "left_anti").select(*docs.columns)

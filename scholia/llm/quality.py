@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashes, texts_of
+from .common import least_hashes, spread, texts_of
 from .tokens import text_batches
 from .words import data_of
 
@@ -169,7 +169,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model scores at a half or more, with all their columns."""
+    """The documents that the model scores at a half or more, with all their columns.
+
+    Null and empty texts are scored by the statistics of an empty text; repeated
+    rows are scored each, and rows with a null doc_id by their text like any other.
+    Without labels the score is a half, and all stay; an empty table stays empty.
+    """
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,5 +182,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for rows, texts in text_batches(batch):
                 yield rows.filter(pa.array(model.score(statistics_of(pc.fill_null(texts, ""))) >= 0.5))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
