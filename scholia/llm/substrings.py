@@ -1,9 +1,12 @@
 """Substring dedup: content-defined chunking with a gear rolling hash.
 
-A text's bytes are cut where a gear hash of the last 16 bytes has five zero
-bits, so an insertion moves only the cuts near it. Chunks are deduplicated by
-digest: the first occurrence, in the order of doc_id, stays. Consecutive later
-occurrences form a span, reported if it has MIN_WORDS words.
+A text's bytes are cut where a gear hash of the last 16 bytes has four zero
+bits, so an insertion moves only the cuts near it. From each chunk on, as many
+chunks as hold MIN_WORDS words are a run; runs are deduplicated by a digest of
+128 bits: the first occurrence, in the order of doc_id, stays. Later ones that
+follow one another, and follow one another where they occur first, are one
+span. So each span occurs as a whole in an earlier place; where a passage
+comes together from several, its spans overlap.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of, unplaced
+from .common import fresh, materialize, row_key, sent, text_mark, texts_of, unplaced
 from .tokens import text_batches
 from .words import data_of, spans
 
@@ -68,71 +71,138 @@ def chunk_ends(cuts: np.ndarray, start: int, end: int) -> list[int]:
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_CHUNKS = "row long, doc_id long, digests array<long>, ends array<int>, words array<int>"
-_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("digests", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))])
+_RUNS = "row long, doc_id long, mark string, k1 array<long>, k2 array<long>, starts array<int>, ends array<int>, before array<int>, after array<int>"
+_ARROW = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.string()), *[(k, pa.list_(pa.int64())) for k in ("k1", "k2")],
+    *[(k, pa.list_(pa.int32())) for k in ("starts", "ends", "before", "after")],
+])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text, its runs: digests, first and last byte, words before them and before their ends."""
     from pyspark import TaskContext
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_128_digest
 
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         for rows, texts in text_batches(batch):
             data, offsets = data_of(texts)
             cuts, raw = gear_cuts(data), data.tobytes()
-            starts = spans(~_BLANK[data], offsets)[0]
-            ends: list[int] = []
+            heads = spans(~_BLANK[data], offsets)[0]
+            begins: list[np.ndarray] = []
+            ends: list[np.ndarray] = []
             lists = [0]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ends += chunk_ends(cuts, a, b)
-                lists.append(len(ends))
-            stops = np.array(ends, dtype=np.int64)
-            begins = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
-            digests = np.array([xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins.tolist(), ends, strict=True)], dtype=np.uint64).view(np.int64)
-            words = np.searchsorted(starts, stops) - np.searchsorted(starts, begins)
+                stops = np.array(chunk_ends(cuts, a, b), dtype=np.int64)
+                starts = np.concatenate([[a], stops[:-1]]) if len(stops) else stops
+                # the first chunk end by which MIN_WORDS words have begun since the start
+                last = np.searchsorted(np.searchsorted(heads, stops), np.searchsorted(heads, starts) + MIN_WORDS)
+                starts, last = starts[last < len(stops)], last[last < len(stops)]
+                begins.append(starts)
+                ends.append(stops[last])
+                lists.append(lists[-1] + len(starts))
+            start, end = np.concatenate(begins), np.concatenate(ends)
+            digests = b"".join([xxh3_128_digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+            keys = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
             own = np.repeat(offsets[:-1], np.diff(lists))
-            at = pa.array(lists, pa.int32())
-            n = len(texts)
+            words = np.searchsorted(heads, offsets[:-1])
+            words = np.repeat(words, np.diff(lists))
+            at, n = pa.array(lists, pa.int32()), len(texts)
+            numbers = [start - own, end - own, np.searchsorted(heads, start) - words, np.searchsorted(heads, end) - words]
             yield pa.RecordBatch.from_arrays([
-                pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(digests)),
-                pa.ListArray.from_arrays(at, pa.array(stops - own, pa.int32())), pa.ListArray.from_arrays(at, pa.array(words, pa.int32())),
+                pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), rows.column("mark").cast(pa.string()),
+                *[pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(k))) for k in keys.T], *[pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in numbers],
             ], schema=_ARROW)
             row += n
 
 
+_SPANS = "doc_id long, mark string, first_doc_id long, start_byte long, end_byte long, first_start_byte long, n_words long"
+
+
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
-        for doc_id, parts in zip(f.doc_id, f.parts, strict=True):
-            run: list = []
-            for p in [*parts, None]:
-                if run and (p is None or p["seq"] != run[-1]["seq"] + 1):
-                    n = sum(int(x["words"]) for x in run)
-                    if n >= MIN_WORDS:
-                        out.append((doc_id, run[0]["first_doc"], run[0]["start"], run[-1]["end"], n, len(run)))
-                    run = []
-                if p is not None:
-                    run.append(p)
-        yield pd.DataFrame(out, columns=["doc_id", "first_doc_id", "start_byte", "end_byte", "n_words", "n_chunks"]).astype({"doc_id": "Int64", "first_doc_id": "Int64"})
+        for doc_id, mark, starts, ends, before, after, found in zip(f.doc_id, f.mark, f.starts, f.ends, f.before, f.after, f.found, strict=True):
+            number = {s: i for i, s in enumerate(starts.tolist())}
+            span: list | None = None
+            for x in found:
+                i = number[x["start"]]
+                if span is not None and (i, x["first_own"], x["first_doc"], x["start"] - x["first_start"]) == (span[0] + 1, *span[1:4]):
+                    span[0], span[5], span[7] = i, int(ends[i]), int(after[i])
+                    continue
+                if span is not None:
+                    out.append((doc_id, mark, span[2], *span[4:]))
+                span = [i, x["first_own"], x["first_doc"], x["start"] - x["first_start"], int(starts[i]), int(ends[i]), int(x["first_start"]), int(after[i]), int(before[i])]
+            if span is not None:
+                out.append((doc_id, mark, span[2], *span[4:]))
+        frame = pd.DataFrame(out, columns=["doc_id", "mark", "first_doc_id", "start_byte", "end_byte", "first_start_byte", "after", "before"])
+        frame = frame.assign(n_words=frame.after - frame.before).drop(columns=["after", "before"])
+        yield frame.astype({"doc_id": "Int64", "first_doc_id": "Int64"})
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """The later occurrences of repeated passages: doc_id, mark (of the text), first_doc_id,
+    start_byte, end_byte, first_start_byte (in the texts' UTF-8), n_words.
+
+    Null and empty texts have no chunks. Rows with a null doc_id come first. Rows of
+    equal doc_id and text count as one document, whose spans each of them has.
+    """
+    runs = materialize(texts_of(docs, text_mark(F.col("text")).alias("mark")).mapInArrow(_runs, _RUNS), "runs")
+    # The first 64 bits sort out most runs that occur once; after that all 128 count.
+    counts = runs.select(F.explode("k1").alias("k1")).groupBy("k1").agg(F.count("*").alias("n"))
+    repeated = counts.where("n > 1").select(unplaced(F.col("k1")).alias("k1"))
+    # Rows of equal doc_id and text are one document: `own` is the same.
+    each = runs.select("row", "doc_id", F.xxhash64("mark").alias("own"), F.explode(F.arrays_zip("k1", "k2", "starts")).alias("c"))
+    each = each.select("row", "doc_id", "own", F.col("c.k1").alias("k1"), F.col("c.k2").alias("k2"), F.col("c.starts").alias("start"))
+    shared = materialize(each.join(repeated, "k1"), "shared-runs")
+    place = F.struct("doc_id", "own", "start")
+    first = shared.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = shared.join(first.select(unplaced(F.col("k1")).alias("k1"), "k2", "first"), ["k1", "k2"]).where(place != F.col("first"))
+    part = F.struct("start", F.col("first.start").alias("first_start"), F.col("first.own").alias("first_own"), F.col("first.doc_id").alias("first_doc"))
+    found = later.groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("found"))
+    return runs.drop("k1", "k2").join(found, "row").mapInPandas(_merge, _SPANS)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """The later occurrences of repeated passages: doc_id, first_doc_id (where the
-    first repeated chunk of the span occurs first), start_byte, end_byte (in the
-    text's UTF-8), n_words, n_chunks.
-
-    Null and empty texts have no chunks. Rows with a null doc_id come first.
-    Repeated rows repeat each other's text, so all but one are reported whole.
-    """
-    chunks = materialize(texts_of(docs).mapInArrow(_chunks, _CHUNKS), "chunks")
-    counts = chunks.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
-    repeated = counts.where("n > 1").select(unplaced(F.col("digest")).alias("digest"))
-    each = chunks.select("row", "doc_id", F.posexplode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))).alias("starts"), "ends", "words")).alias("seq", "c"))
-    each = each.select("row", "doc_id", "seq", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words"))
-    shared = materialize(each.join(repeated, "digest"), "shared-chunks")
-    first = shared.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "seq")).alias("first"))
-    later = shared.join(first.withColumn("digest", unplaced(F.col("digest"))), "digest").where((F.col("row") != F.col("first.row")) | (F.col("seq") != F.col("first.seq")))
-    part = F.struct("seq", "start", "end", "words", F.col("first.doc_id").alias("first_doc"))
-    rows = later.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    return rows.mapInPandas(_merge, "doc_id long, first_doc_id long, start_byte long, end_byte long, n_words long, n_chunks long")
+    """The spans of `repeated_spans`, without the mark."""
+    return repeated_spans(docs).drop("mark")
+
+
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """A text without the given ranges of its UTF-8; a character that a range cuts stays."""
+    data, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for a, b in sorted(cuts):
+        while a < len(data) and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+            b -= 1
+        if b > at:
+            out.append(data[at : max(a, at)])
+            at = b
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The documents without the spans that `repeated_spans` finds, with all their columns;
+    those of which nothing but white space stays are dropped. n_chars, where there
+    is one and it is a whole number, is kept true."""
+    found = materialize(repeated_spans(docs), "repeated-spans")
+    keyed, names = row_key(docs)
+    (cuts,) = fresh(keyed, "_cuts")
+    key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("mark", F.lit(""))]
+    listed = found.groupBy(*[c.alias(n) for n, c in zip(names, key, strict=True)]).agg(F.collect_list(F.array("start_byte", "end_byte")).alias(cuts))
+    listed = materialize(listed, "cuts")
+    marked = keyed.join(sent(listed, 150 + 40 * F.size(cuts)), names, "left").select(*docs.columns, cuts)
+    counted, columns = dict(docs.dtypes).get("n_chars") in ("int", "bigint"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = {n: batch.column(i) for i, n in enumerate([*columns, cuts])}
+            texts = [without(t, c) for t, c in zip(by["text"].to_pylist(), by.pop(cuts).to_pylist(), strict=True)]
+            by["text"] = pa.array(texts, by["text"].type)
+            if counted:
+                by["n_chars"] = pa.array([len(t) for t in texts], by["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([by[n] for n in columns], names=columns).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
+
+    same, changed = marked.where(F.col(cuts).isNull()).drop(cuts), marked.where(F.col(cuts).isNotNull())
+    return same.unionByName(changed.mapInArrow(run, docs.schema))
