@@ -1,35 +1,53 @@
 """SimHash near-dedup: segment-popcount embedding.
 
-Fingerprints (64 bits over 3-word shingles) are linked at MOST_BITS or fewer
+Fingerprints (64 bits over shingles of words) are linked at MOST_BITS or fewer
 differing bits. Each is embedded as the bit counts of its 16 segments of 4
 bits. Flipping a bit moves the embedding by one step, so the Manhattan
 distance of embeddings is at most the number of differing bits. Two points
-within two steps of one another have a point within one step of both: each
-point goes to the grid cells of its own and its at most 32 neighbours, and
-points are joined by cell. Then the bits are compared.
+within two steps of one another have a point within one step of both, so a
+point goes to the grid cells of its own and its neighbours, and points are
+joined by cell. Of three blocks of segments, two flips leave one as it was:
+the grid is laid over the other two blocks, and its cells are told apart by
+that block's bits. So a cell holds what agrees in 20 bits or more, however
+many fingerprints there are. Last the bits are compared.
 
-Where a cell holds many fingerprints, its members aren't compared in pairs:
-each is listed under itself and its 64 one-bit neighbours, and those that
-share one are at most two bits apart, so a link to the least of them is exact.
+`near_duplicates` is that. `near_copies` finds texts whose sets of shingles
+are SIMILARITY alike or more. The whole text's fingerprint can't propose such
+pairs: at 0.8 some 10 of its bits differ, where no cell separates. So
+fingerprints of samples are taken. The PICKED shingles with the least values
+of as many hash functions are a sample, which two texts share with the
+probability likeness ** PICKED; there are so many samples that a pair is
+missed once in MISSED times. Fingerprints of samples are joined at distance
+zero, where a cell is the fingerprint; then the sets are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, texts_of, unplaced
+from .common import keep_named, materialize, shuffle_width, text_mark, texts_of, unplaced
 from .components import components
+from .linking import connect, shared_cells
 from .tokens import text_batches
+from .words import data_of, gram_hashes, lower_table, mix, span_hashes, spans
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
-#: Members of a cell that are compared in pairs at most; beyond, by shared neighbours.
-PAIRED = 8
+#: The segments of the blocks.
+BLOCKS = [range(0, 5), range(5, 10), range(10, 16)]
+#: Of near copies: words of a shingle, least likeness, shingles of a sample, and that one pair in so many is missed at that likeness.
+WORDS, SIMILARITY, PICKED, MISSED = 5, 0.8, 5, 2000
+#: Members that are compared at once, on either side, and values of their sets.
+BLOCK, BLOCK_VALUES = 256, 1 << 19
+_SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
+_SETS = "row long, doc_id long, mark string, h1 long, h2 long, n long, cells array<long>, shingles array<int>"
 
 
 def fingerprint(text: bytes) -> int:
@@ -66,33 +84,44 @@ def _embedding(fp: Column) -> Column:
     return sum((F.shiftrightunsigned(fp, i).bitwiseAND(ones) for i in range(1, 4)), fp.bitwiseAND(ones))
 
 
-def _cells(v: Column) -> Column:
-    """The cells within one step of the embedding v."""
-    cells = [v]
-    for i in range(16):
-        count = F.shiftrightunsigned(v, 4 * i).bitwiseAND(F.lit(7))
-        step = F.lit(1 << 4 * i).cast("long")
-        cells += [F.when(count < 4, v + step), F.when(count > 0, v - step)]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _cells(fp: Column) -> Column:
+    """The cells of a fingerprint: for each block, those within one step of the embedding
+    of the other blocks, with the block's bits."""
+    cells = []
+    for j, block in enumerate(BLOCKS):
+        mask = sum(0xF << 4 * i for i in block)
+        own = fp.bitwiseAND(F.lit(_signed(mask)))
+        rest = _embedding(fp.bitwiseAND(F.lit(_signed(~mask & (1 << 64) - 1))))
+        cell = lambda v, j=j, own=own: F.xxhash64(F.lit(j), own, v)
+        cells.append(cell(rest))
+        for i in sorted(set(range(16)) - set(block)):
+            count = F.shiftrightunsigned(rest, 4 * i).bitwiseAND(F.lit(7))
+            step = F.lit(1 << 4 * i).cast("long")
+            cells += [F.when(count < 4, cell(rest + step)), F.when(count > 0, cell(rest - step))]
     return F.array_compact(F.array(*cells))
 
 
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
+
+
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Of distinct fingerprints (fp), links (a, b) at most MOST_BITS bits apart that
     connect all that are connected by such links."""
-    # A fingerprint makes 33 rows here and 65 below, so small partitions are kept apart.
-    width = shuffle_width(fps.sparkSession)
-    embedded = fps.select("fp").repartition(width, unplaced(F.col("fp"))).select("fp", _embedding(F.col("fp")).alias("v"))
-    cells = embedded.select("fp", F.explode(_cells(F.col("v"))).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(cells.join(sizes, "cell"), "cells")
-    few = shared.where(F.col("n") <= PAIRED)
-    other = few.select("cell", F.col("fp").alias("b"))
-    pairs = few.withColumnRenamed("fp", "a").join(other, "cell").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)])
-    many = shared.where(F.col("n") > PAIRED).select("fp").repartition(width, "fp").distinct().select("fp", F.explode(flips).alias("w"))
-    least = many.groupBy("w").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = many.join(least, "w").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.select("a", "b").union(stars)
+    # A fingerprint makes 67 rows, so small partitions are kept apart.
+    dealt = fps.select("fp").repartition(shuffle_width(fps.sparkSession), unplaced(F.col("fp")))
+    members = dealt.select(F.col("fp").alias("node"), F.explode(_cells(F.col("fp"))).alias("cell"))
+
+    def rest(open_: DataFrame) -> DataFrame:
+        other = open_.select("cell", F.col("node").alias("b"), F.col("label").alias("of"))
+        pairs = open_.where("stray").select("cell", F.col("node").alias("a"), "label").join(other, "cell").where((F.col("label") != F.col("of")) & _near("a", "b"))
+        return materialize(pairs.groupBy("a", "of").agg(F.min("b").alias("b")).select("a", "b"), "links")
+
+    return connect(shared_cells(members), lambda pairs: materialize(pairs.where(_near("a", "b")), "links"), rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -108,29 +137,183 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(link_fingerprints(fps.select("fp")))
     labelled = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(ids, "root").select("fp", "component_id")
+    # Dealt anew for the joins: one component, or one fingerprint, may have a third of all rows.
+    labels = labelled.select("fp", "root").join(ids.withColumn("root", unplaced(F.col("root"))), "root").select(unplaced(F.col("fp")).alias("fp"), "component_id")
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents that `kept` names by doc_id and mark (the MD5 of the text), with all
-    their columns; of repeated rows one."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()]
-    named = lambda mark: dict(zip(("_key", "_absent", "_mark"), (*key, F.coalesce(mark, F.lit(""))), strict=True))
-    chosen = kept.select(*[c.alias(n) for n, c in named(F.col("mark")).items()]).distinct()
-    # The window runs in the partitions of the join, so texts are shuffled once.
-    first = Window.partitionBy("_key", "_absent", "_mark").orderBy("text")
-    found = docs.withColumns(named(F.md5("text"))).join(chosen, ["_key", "_absent", "_mark"], "left_semi")
-    return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, with all its columns: that with the
-    smallest doc_id (of repeated rows with it, one)."""
-    rows = near_duplicates(docs)
-    key, absent = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"), absent.alias("_absent")).distinct()
-    # The window runs in the partitions of the join, so texts are shuffled once.
-    first = Window.partitionBy("_key", "_absent").orderBy("text")
-    found = docs.withColumns({"_key": key, "_absent": absent}).join(kept, ["_key", "_absent"], "left_semi")
-    return found.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+def samples_for(similarity: float) -> int:
+    return max(1, math.ceil(math.log(MISSED) / -math.log1p(-(min(similarity, 0.999) ** PICKED))))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text, the ascending distinct hashes of k words; of a text of fewer words,
+    that of all of them."""
+    data, offsets = data_of(texts)
+    data = lower_table()[data]
+    inside = np.ones(256, bool)
+    inside[_SPACE] = False
+    starts, ends, counts = spans(inside[data], offsets)
+    words = span_hashes(data, starts, ends)
+    full, out = gram_hashes(words, k), []
+    for lo, hi in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True):
+        out.append(np.unique(full[lo : hi - k + 1] if hi - lo >= k else gram_hashes(words[lo:hi], hi - lo)))
+    return out
+
+
+def sample_fingerprints(flat: np.ndarray, at: np.ndarray, samples: int) -> np.ndarray:
+    """The SimHash of each sample of each set: PICKED shingles a sample, a bit being 1 if
+    it is set in over half of them. Sets start at the positions `at`."""
+    rng = np.random.default_rng(7)
+    odd = rng.integers(0, 1 << 32, (samples, PICKED), np.uint32) | np.uint32(1)
+    shift = rng.integers(0, 1 << 32, (samples, PICKED), np.uint32)
+    low, out = (flat >> np.uint64(32)).astype(np.uint32), np.zeros((len(at), samples), np.uint64)
+    for j in range(samples):
+        # A hash function is one-to-one, so its least value stands for the shingle.
+        least = [mix(np.minimum.reduceat(low * a + b, at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for a, b in zip(odd[j], shift[j], strict=True)]
+        bits = sum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1) for h in least)
+        out[:, j] = np.packbits(2 * bits > PICKED, axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def _sets(k: int, samples: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        number = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for batch in batches:
+            for rows, texts in text_batches(batch):
+                sets = shingle_sets(texts, k)
+                n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                held = np.flatnonzero(sizes)
+                marks, cells = np.zeros((2, n), np.uint64), np.zeros((len(held), samples), np.uint64)
+                if len(held):
+                    at = ends[held]
+                    for i in range(2):
+                        marks[i, held] = mix(np.add.reduceat(mix(flat ^ np.uint64(i + 1)), at) ^ sizes[held].astype(np.uint64))
+                    cells = mix(sample_fingerprints(flat, at, samples) ^ number)
+                stops = np.concatenate([[0], np.cumsum(np.where(sizes > 0, samples, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), pc.cast(rows.column("mark"), pa.string()), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(stops), pa.array(cells.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))),
+                    ],
+                    names=["row", "doc_id", "mark", "h1", "h2", "n", "cells", "shingles"],
+                )
+                row += n
+
+    return run
+
+
+def _like(a: Column, b: Column, similarity: float) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared) >= similarity
+
+
+def like_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float, width: int = 4096) -> np.ndarray:
+    """For each set of the left and each of the right, whether they are like enough; the
+    shared values are counted `width` at a time."""
+    sizes = [np.array([len(s) for s in side], np.float64) for side in (left, right)]
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes).astype(np.int64))
+    values, number = np.unique(flat, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    shared = np.zeros((len(left), len(right)))
+    for lo in range(0, len(values), width):
+        a, b = np.searchsorted(number, [lo, lo + width])
+        one = np.zeros((len(left) + len(right), width), np.float32)
+        one[owner[a:b], number[a:b] - lo] = 1
+        shared += one[: len(left)] @ one[len(left) :].T
+    return shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared) - 1e-9
+
+
+def _compare(similarity: float):
+    """Links of rows (cell, i, j, side, node, label, shingles) that come sorted by cell, i
+    and j: those of side 0 with those of side 1 in the same block."""
+
+    def links(f: pd.DataFrame) -> list[tuple[int, int]]:
+        left, right = f[f.side == 0], f[f.side == 1]
+        if not len(left) or not len(right):
+            return []
+        like = like_pairs([np.asarray(s) for s in left.shingles], [np.asarray(s) for s in right.shingles], similarity)
+        like &= left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]
+        node, labels, out = right.node.to_numpy(), right.label.to_numpy(), []
+        for k, a in enumerate(left.node.tolist()):
+            at = np.flatnonzero(like[k])
+            out += [(a, int(node[at[x]])) for x in np.unique(labels[at], return_index=True)[1]]
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for f in frames:
+            f = f if kept is None else pd.concat([kept, f], ignore_index=True)
+            key = f[["cell", "i", "j"]]
+            starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy()).tolist()
+            found = [x for a, b in zip(starts, starts[1:], strict=False) for x in links(f.iloc[a:b])]
+            kept = f.iloc[starts[-1] :] if starts else None
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if kept is not None:
+            yield pd.DataFrame(links(kept), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all nodes (row, n, cells) that candidate pairs, like
+    enough, connect. rows: row, shingles."""
+    shared = shared_cells(nodes.select(F.col("row").alias("node"), F.explode("cells").alias("cell")))
+    wanted = shared.select("node").distinct().select(unplaced(F.col("node")).alias("row"))
+    sets = materialize(rows.select("row", "shingles").join(wanted, "row").select(F.col("row").alias("node"), "shingles"), "shingle-sets")
+
+    def star(pairs: DataFrame) -> DataFrame:
+        side = lambda end, name: sets.select(unplaced(F.col("node")).alias(end), F.col("shingles").alias(name))
+        found = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_like(F.col("x"), F.col("y"), similarity))
+        return materialize(found.select("a", "b"), "links")
+
+    def rest(open_: DataFrame) -> DataFrame:
+        """A cell's members are dealt to blocks; each pair of blocks is one small table."""
+        sized = open_.join(sets.select(unplaced(F.col("node")).alias("node"), F.size("shingles").alias("n")), "node")
+        width = sized.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int").alias("width"))
+        dealt = open_.join(width.withColumn("cell", unplaced(F.col("cell"))), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("width")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
+        left = dealt.where("stray").select("cell", "node", "label", F.lit(0).alias("side"), F.col("block").alias("i"), every.alias("j"))
+        right = dealt.select("cell", "node", "label", F.lit(1).alias("side"), every.alias("i"), F.col("block").alias("j"))
+        both = left.unionByName(right).join(sets.withColumn("node", unplaced(F.col("node"))), "node")
+        grouped = both.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        return materialize(grouped.mapInPandas(_compare(similarity), "a long, b long").distinct(), "links")
+
+    return connect(shared, star, rest)
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """A row a document: doc_id, mark (of its text), group (a number; near copies and
+    what they reach have the same), kept (whether it is the row that stays: the one
+    with the smallest doc_id of its group, a null being larger than any other, and
+    of equal ones the smallest mark).
+
+    Null and wordless texts are alike. Rows that share doc_id and text are both kept or neither.
+    """
+    made = texts_of(docs, text_mark(F.col("text")).alias("mark")).mapInArrow(_sets(words, samples_for(similarity)), _SETS)
+    rows = materialize(made, "shingles")
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
+    # Equal sets are one node: a row that stands for them.
+    nodes = materialize(rows.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.min("row").alias("row")), "nodes")
+    cells = rows.select("row", "cells").join(nodes.select("row"), "row")
+    roots = components(link_sets(cells, rows, similarity))
+    labelled = nodes.select("h1", "h2", "row", "least").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("group", F.coalesce("root", "row"))
+    first = labelled.groupBy("group").agg(F.min("least").alias("first"))
+    labels = labelled.select("h1", "h2", "group").join(first.withColumn("group", unplaced(F.col("group"))), "group")
+    labels = labels.withColumn("h1", unplaced(F.col("h1")))
+    return rows.select("doc_id", "mark", "h1", "h2").join(labels, ["h1", "h2"]).select("doc_id", "mark", "group", place.eqNullSafe(F.col("first")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies stays, with all its columns; rows are
+    told apart by doc_id and text, and of repeated rows one stays."""
+    found = materialize(near_copies(docs, words, similarity).select("doc_id", "mark", "kept"), "near-copies")
+    return keep_named(docs, found)
