@@ -4,12 +4,13 @@ Patterns propose spans. Labelers vote on each: the pattern's own check, a
 gazetteer, the words before, the characters around, the length. Expectation-
 maximisation over the votes estimates how reliable each labeler is and how
 likely each combination of votes is personal data; a logistic span classifier
-is trained on that. Spans that pass the patterns' checks always stay; those that
+is trained on that, which sees the votes and what the labelers don't look at,
+the span's own shape. Spans that pass the patterns' checks always stay; those that
 only the classifier believes in are added, as is the kind `secret`, which no
 check is laid down for.
 
-DataFrame functions only: the driver sees the histogram of vote combinations,
-which is at most len(KINDS) * 3 ** 5 rows.
+DataFrame functions only: the driver sees the histogram of combinations of votes
+and shapes, which is at most len(KINDS) * 3 ** 5 * 4 * 3 * 3 rows.
 """
 
 from __future__ import annotations
@@ -40,9 +41,14 @@ CONTEXT = {
     "email": "mail|contact|write|address", "ip": r"\bip\b|address|host|server|login", "card": "card|visa|pay|account|credit",
     "phone": "phone|call|tel|fax|mobile|contact", "secret": "token|secret|pass|key|auth",
 }
-TOP_DOMAINS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|eu|us"
+TOP_DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|uk|de|fr|es|it|us|ca|mx|br|ar|cl|pt|nl|be|lu|ch|at|ie|dk|no|se|fi|is|"
+    "pl|cz|sk|hu|ro|bg|gr|tr|ua|ru|il|ae|sa|za|eg|ng|ke|in|pk|cn|hk|tw|jp|kr|sg|my|th|id|ph|vn|au|nz"
+)
 COUNTRY_CODES = "1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 VOTERS = ["check", "gazetteer", "context", "border", "length"]
+#: Of a span's shape: distinct characters by their share (0 to 3), letters (none, some, most), other signs than letters and digits (0, 1, more).
+SHAPES = ["variety", "letters", "signs"]
 NO, YES, ABSTAIN = 0, 1, 2
 
 
@@ -103,6 +109,17 @@ def _votes() -> dict[str, Column]:
     return {"check": F.when(F.col("base"), YES).when(kind == "secret", ABSTAIN).otherwise(NO), "gazetteer": gazetteer, "context": F.when(context, YES).otherwise(ABSTAIN), "border": vote(border), "length": vote(length)}
 
 
+def _shapes() -> dict[str, Column]:
+    m = F.col("match")
+    n = F.greatest(F.length(m), F.lit(1))
+    letters, signs = F.length(F.regexp_replace(m, "[^A-Za-z]", "")), F.length(F.regexp_replace(m, "[A-Za-z0-9]", ""))
+    variety = F.size(F.array_distinct(F.split(F.left(m, F.lit(64)), "")))
+    return {
+        "variety": F.least(F.floor(4 * variety / F.least(n, F.lit(64))), F.lit(3)), "letters": F.when(letters == 0, 0).when(2 * letters < n, 1).otherwise(2),
+        "signs": F.least(signs, F.lit(2)),
+    }
+
+
 def _spans_of(kind: str, matches: Column, gaps: Column) -> Column:
     """The matches of a kind with what stands between them; null without any."""
 
@@ -118,7 +135,7 @@ def _spans_of(kind: str, matches: Column, gaps: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """A row a proposed span, and one with a null kind for a document without any: row,
-    doc_id, kind, start, end, base, votes."""
+    doc_id, kind, start, end, base, votes, shapes."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found, keep = {}, {}
     for k in KINDS:
@@ -134,7 +151,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = spans.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(so_far)).withColumn("start", F.col("end") - F.length("match"))
     checked = spans.withColumn("base", F.col("kind").isNotNull() & (F.col("kind") != "secret") & F.coalesce(_check(), F.lit(False)))
-    return checked.select("row", "doc_id", "kind", "start", "end", "base", *[v.cast("int").alias(n) for n, v in _votes().items()])
+    return checked.select("row", "doc_id", "kind", "start", "end", "base", *[v.cast("int").alias(n) for n, v in (_votes() | _shapes()).items()])
 
 
 def estimate(histogram: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -159,12 +176,12 @@ def estimate(histogram: list[tuple[str, tuple[int, ...], int]], rounds: int = 50
     return belief
 
 
-def train(histogram: list[tuple[str, tuple[int, ...], int]], belief: dict, rounds: int = 300) -> dict[tuple[str, int], float]:
-    """A logistic classifier of the kind and the votes, fitted to the beliefs; its
-    weights by (name, value)."""
+def train(histogram: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], belief: dict, rounds: int = 300) -> dict[tuple[str, int], float]:
+    """A logistic classifier of the kind, the votes and the shape, fitted to the beliefs
+    that the votes give; its weights by (name, value)."""
     total = sum(n for *_, n in histogram) or 1
     weights: dict[tuple[str, int], float] = {}
-    rows = [([("kind", KINDS.index(k)), *[(w, x) for w, x in zip(VOTERS, v, strict=True)]], n / total, belief[k, v]) for k, v, n in histogram]
+    rows = [([("kind", KINDS.index(k)), *zip(VOTERS, v, strict=True), *zip(SHAPES, s, strict=True)], n / total, belief[k, v]) for k, v, s, n in histogram]
     for _ in range(rounds):
         step: dict[tuple[str, int], float] = {}
         for names, share, target in rows:
@@ -172,20 +189,23 @@ def train(histogram: list[tuple[str, tuple[int, ...], int]], belief: dict, round
             for x in names:
                 step[x] = step.get(x, 0.0) + share * (target - p)
         for x, s in step.items():
-            weights[x] = weights.get(x, 0.0) * 0.9999 + 4.0 * s
+            weights[x] = weights.get(x, 0.0) * 0.9999 + 2.0 * s
     return weights
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, n_email, n_ip, n_card, n_phone (of base spans),
-    base_sha256, spans, n_added.
+    base_sha256, spans, n_added, n_secret (of those added), n_spans (of all).
 
     Null and empty texts have no spans; repeated rows are searched each.
     """
     found = materialize(candidates(docs), "pii-candidates")
-    counted = found.where("kind is not null").groupBy("kind", *VOTERS).count().collect()
-    histogram = sorted((r["kind"], tuple(r[v] for v in VOTERS), r["count"]) for r in counted)
-    weights = train(histogram, estimate(histogram))
+    counted = found.where("kind is not null").groupBy("kind", *VOTERS, *SHAPES).count().collect()
+    histogram = sorted((r["kind"], tuple(r[v] for v in VOTERS), tuple(r[v] for v in SHAPES), r["count"]) for r in counted)
+    votes: dict[tuple[str, tuple[int, ...]], int] = {}
+    for kind, cast, _, n in histogram:
+        votes[kind, cast] = votes.get((kind, cast), 0) + n
+    weights = train(histogram, estimate([(*k, n) for k, n in votes.items()]))
     score = F.lit(0.0)
     for (name, value), w in sorted(weights.items()):
         if name == "kind":
@@ -199,6 +219,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, item))), lambda x: x["text"]), ",")
     grouped = judged.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in BASE],
-        listed(F.col("base")).alias("base_spans"), listed(F.col("base") | F.col("added")).alias("spans"), F.count_if("added").alias("n_added"),
+        listed(F.col("base")).alias("base_spans"), listed(F.col("base") | F.col("added")).alias("spans"), F.count_if("added").alias("n_added"), F.count_if(F.col("added") & (F.col("kind") == "secret")).alias("n_secret"),
+        F.count_if(F.col("base") | F.col("added")).alias("n_spans"),
     )
-    return grouped.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+    return grouped.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added", "n_secret", "n_spans")
