@@ -63,6 +63,26 @@ def as_text(vector: Column) -> Column:
     return F.concat(F.array_join(head, ""), F.array_join(tail, ""))
 
 
+def _reduced(vector: Column) -> Column:
+    """The lanes modulo their powers of two."""
+    low = F.lit(_LOW)
+    both = F.lit(0xFFFF << 32 | 0xFFFF)
+    return F.concat(F.transform(F.slice(vector, 1, 1 + WIDE), lambda x: x.bitwiseAND(low)), F.transform(F.slice(vector, 2 + WIDE, SIGNS // 2), lambda x: x.bitwiseAND(both)))
+
+
+def added(vector: Column, more: Column) -> Column:
+    """The fingerprint of a text with the parts of another one put in, from their vectors."""
+    return _reduced(F.zip_with(_reduced(vector), _reduced(more), lambda x, y: x + y))
+
+
+def removed(vector: Column, less: Column) -> Column:
+    """The fingerprint of a text without the parts of another one, all of which it has."""
+    # A multiple of the modulus in every lane keeps the differences positive.
+    spare = F.concat(F.array_repeat(F.lit(1 << 32), 1 + WIDE), F.array_repeat(F.lit(1 << 48 | 1 << 16), SIGNS // 2))
+    raised = F.zip_with(_reduced(vector), spare, lambda x, y: x + y)
+    return _reduced(F.zip_with(raised, _reduced(less), lambda x, y: x - y))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """One less the estimated share of parts that the two texts don't have in common."""
     more = F.get(a, F.lit(0)) - F.get(b, F.lit(0))
