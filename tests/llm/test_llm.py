@@ -307,10 +307,67 @@ def test_pii(docs, none):
         listed = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found)
         want.append((i, *(sum(x[3] == kind for x in found) for kind in patterns), hashlib.sha256(listed.encode()).hexdigest()))
     got = pii.find_pii(docs)
-    assert rows(got.drop("spans", "n_added")) == sorted(want, key=str)
+    assert rows(got.drop("spans", "n_added", "n_secret", "n_spans")) == sorted(want, key=str)
+    for r in got.collect():
+        listed = [x for x in r.spans.split(",") if x]
+        base = sum(r[f"n_{k}"] for k in patterns)
+        assert len(listed) == r.n_spans == base + r.n_added and r.n_secret == sum(x.startswith("secret:") for x in listed)
     assert pii.find_pii(none).count() == 0
 
 
+def test_pii_added_spans(spark):
+    """The classifier adds secrets that the votes speak for, and no span of a text without any;
+    base spans stay whatever it believes."""
+    secret = "".join(rng.choice("abcdefXYZ0123456789") for _ in range(32))
+    said = [(i, f"api_key = '{secret[i % 8 :]}{i}' and mail to a{i}@example.org") for i in range(60)] + [(100 + i, prose(30)) for i in range(40)] + [(200, "x@y.zzzz")]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    assert all(got[i].n_secret == 1 and got[i].n_email == 1 for i in range(60))
+    assert not any(got[100 + i].n_spans for i in range(40)) and got[200].n_email == 1
+    texts = dict(said)
+    kind, a, b = next(x for x in got[3].spans.split(",") if x.startswith("secret")).split(":")
+    assert secret[3:] in texts[3][int(a) : int(b)]
+
+
+def test_fingerprints_add_and_remove(spark):
+    """Parts put in or taken out of a vector give the fingerprint of the text with or without them."""
+    one, two = [f"Part {i} of {rng.random()}." for i in range(40)], [f"Other {i} of {rng.random()}." for i in range(15)]
+    table = spark.createDataFrame([(" ".join(one), "\n".join(two), " ".join(two[::-1] + one))], "a string, b string, both string")
+    for name in ("a", "b", "both"):
+        table = multiset_hash.with_vector(table, name, f"v_{name}")
+    text = lambda c: multiset_hash.as_text(c)
+    r = table.select(
+        text(F.col("v_both")).alias("both"), text(multiset_hash.added(F.col("v_a"), F.col("v_b"))).alias("sum"), text(F.col("v_a")).alias("a"),
+        text(multiset_hash.removed(F.col("v_both"), F.col("v_b"))).alias("rest"), multiset_hash.likeness(F.col("v_a"), F.col("v_both")).alias("near"), multiset_hash.likeness(F.col("v_a"), F.col("v_b")).alias("far"),
+    ).first()
+    assert r["sum"] == r.both != r.a == r.rest
+    # 40 of 55 parts are shared, so 15 of 95 are not; the other two share none.
+    assert abs(r.near - (1 - 15 / 95)) < 0.1 and r.far < 0.35
+
+
+def test_quality_statistics_and_trees():
+    """The flattened trees give what walking each tree node by node gives."""
+    random_ = np.random.default_rng(2)
+    x = random_.normal(size=(400, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.train(x, y)
+
+    def walk(row):
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - (2**quality.DEPTH - 1)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x]) and ((model.score(x) >= 0.5) == y).mean() > 0.95
+    text = "Ab cd cd!\n\nAb 12 é"
+    s = quality.statistics(text, np.frombuffer(text.encode(), np.uint8))
+    n = len(text.encode())
+    assert np.allclose(s[:4], [2 / n, 6 / n, 2 / n, 2 / n]) and s[9] == np.log1p(n) and s[10] == np.log1p(6)
+    assert np.isclose(s[14], 5 / 6) and np.isclose(s[15], 2 / 6) and quality.statistics("", np.zeros(0, np.uint8)) == [0.0] * quality.N_FEATURES
+
+
 def test_quality(spark, docs, none):
     good = [(i, prose(60), int(True)) for i in range(0, 400, 2)]
     bad = [(i, " ".join([rng.choice(VOCABULARY)] * 60), 0) for i in range(1, 400, 2)]
@@ -342,13 +399,31 @@ def test_quality_of_a_repeated_document(spark):
 
 
 def test_licenses(spark, docs, none):
-    said = [(1, "Some words.\nReleased under the MIT License.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "The river was long.")]
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\nSoftware), to deal in the Software without restriction.\n\nSome words."
+    said = [
+        (1, "Some words.\nReleased under the MIT License.\nMore words of a tale."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "The river was long."), (4, wrapped),
+        (5, "Licensed under the GNU Lesser General Public License."), (6, "Eclipse Public License 2.0"), (7, "A license was granted to the MIT fishing club last year."),
+    ]
     got = {r.doc_id: [(f.line, f.family, f.confirmed) for f in r.found] for r in licenses.scan_licenses(spark.createDataFrame(said, "doc_id long, text string")).collect()}
-    assert got == {1: [(1, "mit", True)], 2: [(0, "gpl", True)], 3: []}
+    assert got == {1: [(1, "mit", True)], 2: [(0, "gpl", True)], 3: [], 4: [(0, "mit", True)], 5: [(0, "lgpl", True)], 6: [(0, "epl", True)], 7: []}
     assert licenses.scan_licenses(docs).count() == len(TEXTS)
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_held_out():
+    """Of wordings that training never saw, families are told right; of licences without a family, few are taken for one."""
+    import pyarrow as pa
+
+    model = licenses.train([prose(12).replace("\n", " ") for _ in range(300)])
+    held = licenses.examples(True)
+    hashes, paragraph, owner, _ = licenses._grams(pa.array([t for t, _ in held]))
+    some, p = licenses.probabilities(model, *licenses._counts(model.known, hashes, paragraph, len(owner)))
+    guess = {int(owner[s]): model.classes[c] if c == 0 or q >= licenses.LEAST_PROBABILITY else licenses.UNKNOWN for s, c, q in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True)}
+    right = [(guess.get(i, licenses.NONE) == k, k) for i, (_, k) in enumerate(held)]
+    assert np.mean([r for r, k in right if k in licenses.NAMES]) > 0.95
+    assert np.mean([r for r, k in right if k == licenses.UNKNOWN]) > 0.6
+
+
 def test_lines(docs, none):
     got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in lines.dedup_lines(docs).collect()}
     assert got[10, "start\nend"] == (5, 3)
