@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,37 @@ def tokens(text: Column) -> Column:
     """Lower-case terms of more than two characters that aren't stop words, in order."""
     cut = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " "), r"\s+")
     return F.filter(cut, lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS))
+
+
+#: Elements that a fold works on at once.
+BLOCK = 256
+
+
+def fold(items: Column, start: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """An array of one-character codes, what `step` gives for each element from left to right.
+
+    step gets the state, a struct, and an element, and gives the next state and the
+    code. A fold's state is copied at each step, so it holds the codes of a block
+    only; those of the blocks before are joined to them block by block.
+    """
+    whole = lambda s, codes: F.struct(*[c.alias(n) for n, c in s.items()], codes.alias("_codes"))
+    fields = lambda s: {n: s[n] for n in start}
+
+    def one(s: Column, x: Column) -> Column:
+        state, code = step(s, x)
+        return whole(state, F.concat(s["_codes"], code))
+
+    def block(s: Column, part: Column) -> Column:
+        return let(F.aggregate(part, whole(fields(s), F.lit("")), one), lambda r: whole(fields(r), F.concat(s["_codes"], r["_codes"])))
+
+    def run(items: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(items) / BLOCK), F.lit(1)).cast("int") - 1
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, BLOCK))
+        return F.split(F.aggregate(parts, whole(start, F.lit("")), block, lambda s: s["_codes"]), "")
+
+    return let(items, run)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f, or a function in it, uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

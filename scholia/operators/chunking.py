@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import HEAD, TAIL, strip, word_count
+from scholia.functions.text import HEAD, TAIL, fold, let, strip, word_count
 
 TARGET, LEAST, MOST, OVERLAP = 2400, 200, 4000, 300
 # What a heading looks like.
@@ -19,30 +19,35 @@ AFFILIATION = rf"{HEAD}(PhD|MD|MPH|DPA|EdD|MS|MA|BA|University|College|Institute
 
 def is_heading(line: Column) -> Column:
     s = strip(line)
-    title = s.rlike(TITLE) & ~s.endswith(".") & ~s.endswith(",") & (word_count(s) <= 8) & ~s.rlike(AFFILIATION)
+    title = s.rlike(TITLE) & ~s.endswith(".") & ~s.endswith(",") & (F.size(F.split(s, " ")) <= 8) & ~s.rlike(AFFILIATION)
     return F.length(s).between(3, 120) & (s.rlike(CAPITALS) | s.rlike(NUMBERED) | title)
 
 
 def sections(text: Column) -> Column:
     """Array of (heading, text). A heading that ends a section of more than 100
     characters is not part of any text; the first heading of a section names it."""
-    marked = F.transform(F.split(text, "\n"), lambda s: F.struct(s.alias("line"), is_heading(s).alias("heading")))
-    start = F.struct(F.lit(None).cast("string").alias("heading"), F.array().cast("array<string>").alias("lines"), F.array().cast("array<struct<heading:string,text:string>>").alias("done"))
 
-    def closed(s: Column) -> Column:
-        return F.concat(s["done"], F.array(F.struct(s["heading"].alias("heading"), strip(F.array_join(s["lines"], "\n")).alias("text"))))
+    def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        """size: characters of the section so far, joined and stripped; tail: blank ones after them."""
+        flush = (s["size"] > 100) & is_heading(line)
+        n, right = F.length(line), F.length(F.regexp_replace(line, r"\s+$", ""))
+        left = n - F.length(F.regexp_replace(line, r"^\s+", ""))
+        size = F.when(flush, 0).when(right == 0, s["size"]).when(s["size"] == 0, right - left).otherwise(s["size"] + s["tail"] + right)
+        tail = F.when(flush | ((right == 0) & (s["size"] == 0)), 0).when(right == 0, s["tail"] + n).otherwise(n - right)
+        return {"size": size, "tail": tail}, F.when(flush, "1").otherwise("0")
 
-    def step(s: Column, x: Column) -> Column:
-        flush = x["heading"] & (F.length(strip(F.array_join(s["lines"], ""))) > 100)
-        named = F.when(x["heading"] & s["heading"].isNull(), strip(x["line"])).otherwise(s["heading"])
-        return F.struct(
-            F.when(flush, strip(x["line"])).otherwise(named).alias("heading"),
-            F.when(flush, F.array().cast("array<string>")).otherwise(F.concat(s["lines"], F.array(x["line"]))).alias("lines"),
-            F.when(flush, closed(s)).otherwise(s["done"]).alias("done"),
-        )
+    def cut(lines: Column) -> Column:
+        def section(x: Column) -> Column:
+            own = F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1)
+            heading = F.when(x["a"] >= 0, strip(F.get(lines, x["a"]))).otherwise(strip(F.get(F.filter(own, is_heading), F.lit(0))))
+            return F.struct(heading.alias("heading"), strip(F.array_join(own, "\n")).alias("text"))
+
+        codes = fold(lines, {"size": F.lit(0), "tail": F.lit(0)}, step)
+        cuts = F.array_compact(F.transform(codes, lambda c, i: F.when(c == "1", i)))
+        bounds = let(cuts, lambda c: F.arrays_zip(F.concat(F.array(F.lit(-1)), c).alias("a"), F.concat(c, F.array(F.size(lines))).alias("b")))
+        return F.transform(bounds, section)
 
-    folded = F.aggregate(marked, start, step, lambda s: F.when(strip(F.array_join(s["lines"], "")) != "", closed(s)).otherwise(s["done"]))
-    return F.filter(folded, lambda s: F.length(s["text"]) > LEAST)
+    return F.filter(let(F.split(text, "\n"), cut), lambda s: F.length(s["text"]) > LEAST)
 
 
 def sentences(text: Column) -> Column:
@@ -57,7 +62,8 @@ def packed(lengths: Column) -> Column:
 
     def back(i: Column) -> Column:
         """How many sentences before i make up the overlap, and their joined length."""
-        earlier = F.reverse(F.slice(lengths, 1, F.greatest(i, F.lit(1))))
+        # A sentence and the space after it have two characters at least.
+        earlier = F.reverse(F.slice(lengths, F.greatest(i - OVERLAP // 2, F.lit(0)) + 1, F.greatest(F.least(i, F.lit(OVERLAP // 2)), F.lit(1))))
         return F.aggregate(
             earlier, F.struct(F.lit(0).alias("n"), F.lit(0).alias("size")),
             lambda a, x: F.when(a["size"] < OVERLAP, F.struct((a["n"] + 1).alias("n"), (a["size"] + x + 1).alias("size"))).otherwise(a),

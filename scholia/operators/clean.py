@@ -1,7 +1,7 @@
 """Cleanup of extracted text: an ordered list of steps, each a Column expression.
 
-Steps that look from line to line are folds over the lines (`aggregate`), whose
-state is a few counters and the lines kept so far.
+Steps that look from line to line are folds over the lines, whose state is a few
+counters; what they keep is gathered in blocks, so time goes with the lines.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import HEAD, TAIL, strip, word_count
+from scholia.functions.text import HEAD, TAIL, fold, let, strip, word_count
 
 # The patterns of the cleanup steps.
-_PERIOD = "January|February|March|April|May|June|July|August|September|October|November|December|Spring|Summer|Fall|Autumn|Winter"
+_PERIOD = "January|February|March|April|May|June|July|August|September|October|November|December|Spring|Summer|Fall|Winter"
 _JOURNAL = "Journal of Emergency Management"
 SUBSTITUTIONS = [
-    (rf"{HEAD}Flz\.M{TAIL}", "FRM"), (rf"{HEAD}Flz\.W{TAIL}", "FRM"), (rf"(?i){HEAD}innrmation{TAIL}", "information"), (rf"(?i){HEAD}infonnation{TAIL}", "information"),
-    (rf"{HEAD}constrnctions?{TAIL}", "constructions"), (rf"(?i){HEAD}adequnte{TAIL}", "adequate"), (rf"(?i){HEAD}managcment{TAIL}", "management"),
+    (rf"{HEAD}Flz\.M{TAIL}", "FRM"), (rf"{HEAD}Flz\.W{TAIL}", "FRM"), (rf"{HEAD}constrnctions?{TAIL}", "constructions"), (rf"(?i){HEAD}innrmation{TAIL}", "information"),
+    (rf"(?i){HEAD}infonnation{TAIL}", "information"), (rf"(?i){HEAD}adequnte{TAIL}", "adequate"), (rf"(?i){HEAD}managcment{TAIL}", "management"),
 ]
 HEADER = (
     rf"(?i){_JOURNAL}\s+Vol\.\s*\d+(?:,?\s*No\.\s*\d+)?(?:,?\s*(?:{_PERIOD})(?:/(?:{_PERIOD}))?\s+\d{{4}})?(?:\s+\d{{1,4}})?"
@@ -35,8 +35,6 @@ AD = "|".join([r"US \$\d+", r"Canada \$\d+", r"Foreign \$\d+", r"Individual:.*\$
 TOC_GATE = r"(?m)^\s*\d+\s*\.\s*[A-Z][^\n]{5,50}\s*\.{3,}\s*\d+\s*$"
 REFERENCES = r"\n\s*(References?|Bibliography|REFERENCES?)\s*\n"
 
-_LINES = "array<string>"
-
 
 def _replace(text: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
@@ -71,32 +69,32 @@ def drop_page_numbers(text: Column) -> Column:
     return _replace(text, (r"(?m)^\s*\d{1,4}\s*$", ""))
 
 
-def _fold(text: Column, start: Column, step, finish=lambda s: s["kept"]) -> Column:
-    return F.array_join(F.aggregate(F.split(text, "\n"), start, step, finish), "\n")
+def _kept(text: Column, start: dict[str, Column], step) -> Column:
+    """The lines that step gives the code 1."""
+    return let(F.split(text, "\n"), lambda lines: let(fold(lines, start, step), lambda codes: F.array_join(F.filter(lines, lambda _, i: F.get(codes, i) == "1"), "\n")))
 
 
 def drop_frontmatter(text: Column) -> Column:
     """Drops frontmatter lines, and up to four blank lines after each; a fifth ends it."""
 
-    def step(s: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
         front, blank = line.rlike(FRONTMATTER), strip(line) == ""
         run = s["inside"] & blank & ~front
         n = F.when(front | run, s["n"] + 1).otherwise(0)
         ended = run & (n > 3)
-        return F.struct((front | (run & ~ended)).alias("inside"), F.when(ended, 0).otherwise(n).alias("n"), F.when(front | run, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+        return {"inside": front | (run & ~ended), "n": F.when(ended, 0).otherwise(n)}, F.when(front | run, "0").otherwise("1")
 
-    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"), F.array().cast(_LINES).alias("kept"))
-    return _fold(text, start, step)
+    return _kept(text, {"inside": F.lit(False), "n": F.lit(0)}, step)
 
 
 def drop_ads(text: Column) -> Column:
     """Drops each line of prices and the two lines after it, whatever they hold."""
 
-    def step(s: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
         skip, ad = s["skip"] > 0, line.rlike(AD)
-        return F.struct(F.when(skip, s["skip"] - 1).when(ad, 2).otherwise(0).alias("skip"), F.when(skip | ad, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+        return {"skip": F.when(skip, s["skip"] - 1).when(ad, 2).otherwise(0)}, F.when(skip | ad, "0").otherwise("1")
 
-    return _fold(text, F.struct(F.lit(0).alias("skip"), F.array().cast(_LINES).alias("kept")), step)
+    return _kept(text, {"skip": F.lit(0)}, step)
 
 
 def drop_contents(text: Column) -> Column:
@@ -120,15 +118,15 @@ def is_columnar(text: Column) -> Column:
 def join_columns(text: Column) -> Column:
     """Joins a line to the one before it where it goes on in lower case or punctuation."""
 
-    def step(s: Column, line: Column) -> Column:
-        own, held = strip(line), s["held"]
-        flushed = F.when(held != "", F.concat(s["kept"], F.array(held))).otherwise(s["kept"])
-        goes_on = (held != "") & own.rlike("^[a-z,;:)]")
-        kept = F.when(own == "", F.concat(flushed, F.array(F.lit("")))).when(goes_on, s["kept"]).otherwise(flushed)
-        return F.struct(F.when(own == "", "").when(goes_on, F.concat(held, F.lit(" "), own)).otherwise(own).alias("held"), kept.alias("kept"))
+    def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
+        """The code is what comes before the line."""
+        own = strip(line)
+        return {"open": own != ""}, F.when(s["open"] & own.rlike("^[a-z,;:)]"), " ").otherwise("\n")
+
+    def joined(lines: Column, codes: Column) -> Column:
+        return F.array_join(F.transform(lines, lambda line, i: F.concat(F.when(i > 0, F.get(codes, i)).otherwise(""), strip(line))), "")
 
-    start = F.struct(F.lit("").alias("held"), F.array().cast(_LINES).alias("kept"))
-    return _fold(text, start, step, lambda s: F.when(s["held"] != "", F.concat(s["kept"], F.array(s["held"]))).otherwise(s["kept"]))
+    return let(F.split(text, "\n"), lambda lines: let(fold(lines, {"open": F.lit(False)}, step), lambda codes: joined(lines, codes)))
 
 
 def drop_url_lines(text: Column) -> Column:
@@ -154,7 +152,7 @@ STEPS = [
     ("unlaid", drop_layout_lines, None, "removed-layout-annotations", _shorter),
     ("unbranded", drop_logos, None, "removed-logo-artifacts", _differs),
     ("repaired", lambda t: _replace(t, *SUBSTITUTIONS), None, "repaired-ocr-substitutions", _differs),
-    ("headless", drop_headers, lambda t: None, "removed-journal-headers", "headers"),
+    ("headless", drop_headers, None, "removed-journal-headers", "headers"),
     ("unpublished", drop_publisher_lines, None, None, None),
     ("unpaged", drop_page_numbers, None, "removed-page-numbers", _differs),
     ("unfronted", drop_frontmatter, lambda t: t.rlike(FRONTMATTER_GATE), "removed-frontmatter", None),
@@ -170,25 +168,30 @@ FOLDS = ("unfronted", "unsold", "joined")
 
 def clean(df: DataFrame, text: str = "text", skip: tuple[str, ...] = ()) -> DataFrame:
     """Adds cleaned_text, cleaning_flags and quality_notes. Each step is a column of its
-    own until the end, so that a text is worked on once a step."""
+    own until the end, so that a text is worked on once a step; the columns' names
+    are ones that the table doesn't have."""
     columns, now = df.columns, F.coalesce(text, F.lit(""))
+    taken = {c.lower() for c in columns}
+    stem = next(s for s in ("_" * i for i in range(1, len(columns) + 2)) if not any(c.startswith(f"{s}step") for c in taken))
     flags: list[Column] = []
-    for name, step, gate, flag, shown in STEPS:
+    for i, (name, step, gate, flag, shown) in enumerate(STEPS):
         if name in skip:
             continue
+        column = f"{stem}step{i}"
         opened = gate(now) if gate is not None else None
         out = step(now) if opened is None else F.when(opened, step(now)).otherwise(now)
         if shown == "headers":
             prefixless = _replace(now, (rf"(?m)(^|\s)(?:JEM\s+)?\d{{1,4}}\s+(?={_JOURNAL})", "$1"))
             mark = prefixless.rlike(HEADER) | prefixless.rlike(HEADER_BROKEN)
         else:
-            mark = opened if shown is None else shown(now, F.col(name))
-        df = df.withColumn(name, out)
+            mark = opened if shown is None else shown(now, F.col(column))
+        df = df.withColumn(column, out)
         if flag is not None:
-            df = df.withColumn(f"_flag_{name}", mark)
-            flags.append(F.when(F.col(f"_flag_{name}"), flag))
-        now = F.col(name)
-    lines = F.split("cleaned_text", "\n")
+            df = df.withColumn(f"{column}_flag", mark)
+            flags.append(F.when(F.col(f"{column}_flag"), flag))
+        now = F.col(column)
+    lines = F.split(now, "\n")
     mean = F.aggregate(lines, F.lit(0), lambda a, s: a + F.length(s)) / F.size(lines)
-    notes = F.array_compact(F.array(F.when(word_count(F.col("cleaned_text")) < 50, "very-short-document"), F.when(mean < 20, "short-avg-line-length-possible-column-artifact")))
-    return df.select(*columns, "cleaned_text", F.array_compact(F.array(*flags)).alias("cleaning_flags"), notes.alias("quality_notes"))
+    notes = F.array_compact(F.array(F.when(word_count(now) < 50, "very-short-document"), F.when(mean < 20, "short-avg-line-length-possible-column-artifact")))
+    added = {"cleaned_text": now, "cleaning_flags": F.array_compact(F.array(*flags)), "quality_notes": notes}
+    return df.select(*[c for c in columns if c not in added], *[c.alias(n) for n, c in added.items()])

@@ -8,6 +8,11 @@ digits, so that the order of summing doesn't decide.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,12 @@ SENT = 64 << 20
 BAD_FLAGS = ["frontmatter-copyright-penalty", "journal-frontmatter-ad-penalty"]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small result that is needed several times: computed once, and again from its
+    lineage where an executor is lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def postings(records: DataFrame) -> DataFrame:
     """pos, term, tf, size (terms of the record)."""
     cut = records.select("pos", tokens(F.col("text")).alias("t"))
@@ -41,27 +52,29 @@ def sent(questions: DataFrame, size: Column) -> DataFrame:
     return F.broadcast(questions) if whole <= SENT else questions
 
 
-def bm25(records: DataFrame, questions: DataFrame, k: int = LIST) -> DataFrame:
+def bm25(records: DataFrame, questions: DataFrame, k: int = LIST, whole: DataFrame | None = None) -> DataFrame:
     """query_id, pos, score, rank. A term said twice in a question counts twice.
 
-    Only postings of the questions' terms are counted and scored. Whether a
-    record holds the whole question is looked up only where all its terms but
-    the first and last, which may be cut, are there.
+    Texts are cut to terms once: what is kept of a record are its postings of the
+    questions' terms, and its size. whole: the (query_id, pos) of records that hold
+    the whole question, if they are known; else they are looked up.
     """
-    asked = questions.select("query_id", "query", tokens(F.col("query")).alias("t")).withColumn("distinct", F.size(F.array_distinct("t")))
-    terms = asked.select("query_id", "distinct", F.explode("t").alias("term")).groupBy("query_id", "distinct", "term").agg(F.count("*").alias("times"))
+    terms = questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = kept(terms)
     wanted = terms.select("term").distinct()
-    cut = records.select("pos", tokens(F.col("text")).alias("t")).select("pos", "t", F.size("t").alias("size"))
-    stats = cut.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    found = cut.select("pos", "size", F.explode("t").alias("term")).join(wanted, "term").groupBy("term", "pos", "size").agg(F.count("*").alias("tf"))
+    cut = records.select("pos", tokens(F.col("text")).alias("t")).select("pos", F.size("t").alias("size"), "t")
+    listed = kept(cut.select("pos", "size", F.explode_outer("t").alias("term")).join(sent(wanted, F.octet_length("term")).withColumn("asked", F.lit(True)), "term", "left")
+                  .groupBy("pos", "size", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+    # A row without a term is what a record has besides; one that has nothing else counts too.
+    stats = listed.groupBy("pos", "size").agg(F.count("*").alias("rows")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    found = listed.where("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     weighted = found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "pos", part.alias("part"))
-    scored = terms.join(weighted, "term").groupBy("query_id", "distinct", "pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("met"))
-    maybe = scored.where(F.col("met") >= F.col("distinct") - 2).select("query_id", "pos").join(questions, "query_id").join(records.select("pos", "text"), "pos")
-    whole = maybe.where(F.contains(F.lower("text"), F.lower("query"))).select("query_id", "pos", F.lit(BOOST).alias("boost"))
-    boosted = scored.join(whole, ["query_id", "pos"], "left")
+    scored = terms.join(weighted, "term").groupBy("query_id", "pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    whole = phrase(records, questions, loose=False) if whole is None else whole
+    boosted = scored.join(whole.select("query_id", "pos", F.lit(BOOST).alias("boost")), ["query_id", "pos"], "left")
     rows = boosted.select("query_id", "pos", (F.col("score") * F.coalesce("boost", F.lit(1.0))).alias("score")).where("score > 0")
     return top(rows, k)
 
@@ -89,19 +102,66 @@ def dense(vectors: DataFrame, asked: DataFrame, k: int = LIST) -> DataFrame:
     return top(held.crossJoin(sent(sought, 8 * F.size("vector"))).select("query_id", "pos", score.alias("score")), k)
 
 
-def phrase(records: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, pos, score: 1 for the whole question, else the share of its words over
-    four characters if that is 0.6 or more. Without such words every record is
-    kept, with a score that is not a number."""
+def _matches(asked: list[tuple], loose: bool):
+    """For each record, the questions that it holds as a whole, or enough words of: one
+    pass over its text, whatever the number of questions."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+        import numpy as np
+
+        found = ahocorasick.Automaton()
+        said: dict[str, tuple[list[int], dict[int, int]]] = {}
+        for i, (_, q, words) in enumerate(asked):
+            if q:
+                said.setdefault(q, ([], {}))[0].append(i)
+            for w in words if loose else ():
+                times = said.setdefault(w, ([], {}))[1]
+                times[i] = times.get(i, 0) + 1
+        for key, (whole, times) in said.items():
+            found.add_word(key, (np.array(whole, int), np.array(list(times), int), np.array(list(times.values()), float)))
+        found.make_automaton()
+        ids = [a[0] for a in asked]
+        n = np.array([len(a[2]) if loose else 0 for a in asked])
+        least = np.array([math.ceil(0.6 * x) if loose else 1 for x in n])
+        empty = np.array([a[1] == "" for a in asked], bool)
+        for f in frames:
+            out = []
+            for pos, text in zip(f.pos, f.t, strict=True):
+                if text is None:
+                    continue
+                hits, whole = np.zeros(len(ids)), empty.copy()
+                for own, words, times in {id(v): v for _, v in found.iter(text)}.values() if said else ():
+                    whole[own] = True
+                    hits[words] += times
+                share = np.where(n == 0, np.nan, hits / np.maximum(n, 1))
+                for i in np.flatnonzero(whole | (hits >= least)).tolist():
+                    out.append((ids[i], pos, 1.0 if whole[i] else float(share[i]), bool(whole[i])))
+            yield pd.DataFrame(out, columns=["query_id", "pos", "score", "whole"])
+
+    return run
+
+
+def phrase(records: DataFrame, questions: DataFrame, loose: bool = True) -> DataFrame:
+    """query_id, pos, score, whole: 1 for the whole question, else the share of its words
+    over four characters if that is 0.6 or more. Without such words every record is
+    kept, with a score that is not a number. Without `loose`, whole questions only.
+
+    Questions go to the tasks in blocks of SENT bytes at most; of a task, each block
+    takes one pass over its texts.
+    """
     low = F.lower("query")
     words = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 4)
-    asked = sent(questions.select("query_id", low.alias("q"), words.alias("words")), 2 * F.octet_length("q"))
-    pairs = records.select("pos", F.lower("text").alias("t")).crossJoin(asked)
-    n = F.size("words")
-    hits = F.size(F.filter("words", lambda w: F.contains(F.col("t"), w)))
-    whole = F.contains(F.col("t"), F.col("q"))
-    kept = pairs.where(whole | (hits >= F.ceil(0.6 * n)))
-    return kept.select("query_id", "pos", F.when(whole, 1.0).when(n == 0, F.lit(float("nan"))).otherwise(hits / F.greatest(n, F.lit(1))).alias("score"))
+    asked = questions.select("query_id", low.alias("q"), words.alias("words")).where("q is not null")
+    whole = asked.agg(F.sum(4 * F.octet_length("q") + 64).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = max(1, min(whole["n"], math.ceil((whole["bytes"] or 0) / max(SENT, 1))))
+    kinds = dict(questions.dtypes)["query_id"], dict(records.dtypes)["pos"]
+    texts, found = records.select("pos", F.lower("text").alias("t")), None
+    for i in range(blocks):
+        block = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()]
+        rows = texts.mapInPandas(_matches(block, loose), f"query_id {kinds[0]}, pos {kinds[1]}, score double, whole boolean")
+        found = rows if found is None else found.union(rows)
+    return found
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, exact: DataFrame, k: int = FUSED) -> DataFrame:
@@ -127,7 +187,7 @@ def reference_share(text: Column) -> Column:
 def rerank(fused: DataFrame, records: DataFrame, questions: DataFrame) -> DataFrame:
     """Adjusts fused scores by what the records look like; texts are joined here, for
     the few rows that are left."""
-    rows = fused.join(questions, "query_id").join(records, "pos")
+    rows = records.join(sent(fused.join(questions, "query_id"), F.octet_length("query") + 100), "pos")
     text, query = F.col("text"), F.col("query")
     asked = F.array_distinct(tokens(query))
     shared = F.size(F.array_intersect(asked, F.array_distinct(tokens(text)))) / F.greatest(F.size(asked), F.lit(1))
@@ -146,8 +206,15 @@ def enough_evidence(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("source") != "") & (F.length(strip(F.col("text"))) >= 100) & (n / word_count(F.col("text")) <= 20))
 
 
+def lists(records: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dense list, the lexical one and the exact one of each question. All records are
+    searched, whether they have a vector or not."""
+    exact = kept(phrase(records, questions))
+    return kept(dense(vectors, asked)), kept(bm25(records, questions, whole=exact.where("whole"))), exact
+
+
 def hybrid(records: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """The k best records of each question, with all scores, texts and ranks from 0."""
-    fused = fuse(dense(vectors, asked), bm25(records, questions), phrase(records, questions))
-    kept = enough_evidence(rerank(fused, records, questions).withColumnRenamed("rank", "fused_rank"))
-    return top(kept, max(k, 0), F.round("score", DIGITS).desc(), F.col("fused_rank")).withColumn("retrieval_method", F.lit("hybrid-rrf"))
+    rows = rerank(fuse(*lists(records, vectors, questions, asked)), records, questions)
+    kept_rows = enough_evidence(rows.withColumnRenamed("rank", "fused_rank"))
+    return top(kept_rows, max(k, 0), F.round("score", DIGITS).desc(), F.col("fused_rank")).withColumn("retrieval_method", F.lit("hybrid-rrf"))

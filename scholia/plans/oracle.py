@@ -49,7 +49,7 @@ def noised(text: str = "text", key: str = "doc_id", concat: str = "concat", char
     return f"{concat}({', '.join([*heads, text, *tails])})"
 
 
-RECORDS = "records AS (SELECT d.doc_id AS pos, d.text, d.source, e.embedding FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
+RECORDS = "records AS (SELECT doc_id AS pos, text, source FROM documents), vectors AS (SELECT vec_id AS pos, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 BM25 = rf"""
 cut AS (SELECT pos, text, {_tokens('text')} AS t FROM {{records}}),
@@ -83,7 +83,7 @@ adjusted AS (SELECT *, CASE WHEN contains(lower(text), lower(query)) THEN 0.2 EL
   - CASE WHEN len(list_filter(lines, lambda s: regexp_matches(s, '^\s*\d+\.\s+[A-Z]') OR regexp_matches(s, '^\[\d+\]'))) / len(lines) > 0.4 THEN 0.3 ELSE 0 END AS adjustment FROM looked),
 hits AS (SELECT query_id, pos, text, source, score + 0.5 * adjustment AS final, row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.5 * adjustment, 9) DESC, rank) - 1 AS place
   FROM adjusted WHERE source <> '' AND length({_strip('text')}) >= 100 AND length(text) / len(regexp_split_to_array(text, '\s+')) <= 20 QUALIFY place < 5)"""
-HYBRID = "WITH " + ",".join([RECORDS, QUESTIONS, BM25.format(records="records"), DENSE.format(vectors="records", pos="pos"), PHRASE.format(records="records"), FUSE, RERANK])
+HYBRID = "WITH " + ",".join([RECORDS, QUESTIONS, BM25.format(records="records"), DENSE.format(vectors="vectors", pos="pos"), PHRASE.format(records="records"), FUSE, RERANK])
 DOCS = "docs AS (SELECT doc_id AS pos, text FROM documents)"
 SUPPORT = "CASE WHEN final > 0.025 THEN 'direct' WHEN final > 0.015 THEN 'partial' ELSE 'weak' END"
 
@@ -126,7 +126,7 @@ _TOTAL = " + ".join(PATTERNS)
 _SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')"
 _HEADING_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE length(s) BETWEEN 3 AND 120 AND (regexp_matches(s, '^[A-Z][A-Z\s\-:]{4,}$') OR regexp_matches(s, '^\d+(\.\d+)?\s+[A-Z][a-zA-Z\s]{3,}$')
-OR (regexp_matches(s, '^[A-Z][a-zA-Z\s\-:,]{4,}$') AND NOT suffix(s, '.') AND NOT suffix(s, ',') AND len(regexp_split_to_array(s, '\s+')) <= 8
+OR (regexp_matches(s, '^[A-Z][a-zA-Z\s\-:,]{4,}$') AND NOT suffix(s, '.') AND NOT suffix(s, ',') AND len(string_split(s, ' ')) <= 8
 AND NOT regexp_matches(s, '\b(PhD|MD|MPH|DPA|EdD|MS|MA|BA|University|College|Institute|Department)\b')))) AS BIGINT) AS n_headings FROM s GROUP BY doc_id"""
 _TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{w}') THEN '{t}'" for t, w in TOPICS) + " ELSE 'general' END"
 

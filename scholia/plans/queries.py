@@ -22,11 +22,11 @@ def query(f):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes in fewer splits than there are cores is spread over them.
-    A table of many files or row groups is read as it is."""
+    """A table; one that is worked on and comes in a single file is spread over the cores.
+    A table of many files is read as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores and name in WORKED_ON else df
+    return df.repartition(cores) if name in WORKED_ON and len(df.inputFiles()) == 1 else df
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that have a vector, as one-page records."""
+    """The documents, as one-page records."""
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text", "source")
-    pages = docs.withColumns({"page_start": F.lit(1), "page_end": F.lit(1), "section_path": F.lit(None).cast("string"), "cleaning_flags": F.array().cast("array<string>")})
-    return pages.join(_read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding"), "pos")
+    return docs.withColumns({"page_start": F.lit(1), "page_end": F.lit(1), "section_path": F.lit(None).cast("string"), "cleaning_flags": F.array().cast("array<string>")})
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of documents."""
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("pos"))
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding").join(ids, "pos", "left_semi")
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return _records(spark, sf_dir), _vectors(spark, sf_dir), _questions(spark, sf_dir), _asked(spark, sf_dir)
 
 
 def _noised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +64,7 @@ def _noised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
-    return retrieval.hybrid(records.drop("embedding"), records.select("pos", "embedding"), _questions(spark, sf_dir), _asked(spark, sf_dir))
+    return retrieval.hybrid(*_searched(spark, sf_dir))
 
 
 def _ranked(df: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -94,9 +102,7 @@ def phrase_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, questions = _records(spark, sf_dir), _questions(spark, sf_dir)
-    lists = retrieval.dense(records.select("pos", "embedding"), _asked(spark, sf_dir)), retrieval.bm25(records, questions), retrieval.phrase(records, questions)
-    return _ranked(retrieval.fuse(*lists))
+    return _ranked(retrieval.fuse(*retrieval.lists(*_searched(spark, sf_dir))))
 
 
 @query
@@ -124,9 +130,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retrieval_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, questions = _records(spark, sf_dir), _questions(spark, sf_dir)
-    vector, lexical, exact = retrieval.dense(records.select("pos", "embedding"), _asked(spark, sf_dir)), retrieval.bm25(records, questions), retrieval.phrase(records, questions)
-    fused = retrieval.fuse(vector, lexical, exact)
+    records, vectors, questions, asked = _searched(spark, sf_dir)
+    vector, lexical, exact = retrieval.lists(records, vectors, questions, asked)
+    fused = retrieval.kept(retrieval.fuse(vector, lexical, exact))
     kept = retrieval.enough_evidence(retrieval.rerank(fused, records, questions).withColumnRenamed("rank", "fused_rank"))
     hits = retrieval.top(kept, 5, F.round("score", retrieval.DIGITS).desc(), F.col("fused_rank"))
     stages = {"dense": vector, "lexical": lexical, "exact": exact, "fused": fused, "hits": hits}
