@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker keeps at most, and the longest unit that it keeps.
-KEEP_UNITS, KEEP_CHARS = 200_000, 24
+KEEP_UNITS, KEEP_CHARS = 800_000, 24
 #: Characters of text that are worked on at once.
 BATCH_BYTES = 3 << 20
 _CUT = "\0"
