@@ -58,6 +58,19 @@ def removed_percent(raw: Column, clean: Column) -> Column:
     return F.when(raw == 0, 0).otherwise(F.floor(100 * (raw - clean) / F.greatest(raw, F.lit(1)) + 0.5)).cast("long")
 
 
+def document_report(raw: DataFrame, cleaned: DataFrame, key: str, filenames: DataFrame | None = None) -> DataFrame:
+    """A row a document: key, filename (from filenames, else the key), raw, clean, removed,
+    percent, and improvement, a map from each type to the number removed."""
+    both = _long(raw, key, "text", "raw").join(_long(cleaned, key, "cleaned_text", "clean"), [key, "type"])
+    less = F.struct("type", (F.col("raw") - F.col("clean")).alias("n"))
+    rows = both.groupBy(key).agg(F.sum("raw").alias("raw"), F.sum("clean").alias("clean"), F.map_from_entries(F.sort_array(F.collect_list(less))).alias("improvement"))
+    named = rows.withColumn("filename", F.lit(None).cast("string")) if filenames is None else rows.join(filenames.select(key, "filename"), key, "left")
+    return named.select(
+        key, F.coalesce("filename", F.col(key).cast("string")).alias("filename"), "raw", "clean", (F.col("raw") - F.col("clean")).alias("removed"),
+        removed_percent(F.col("raw"), F.col("clean")).alias("percent"), "improvement",
+    )
+
+
 def corpus_report(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     """By type and in all (type null): raw, clean, removed, percent. A document that is
     in one table only doesn't count."""

@@ -53,6 +53,32 @@ def replace_document(index: DataFrame, new: DataFrame, document: str, key: str)
     return upsert(delete_documents(index, new.select(document).distinct(), document), new, key)
 
 
+def append_report(log: DataFrame, new: DataFrame, at: Column, key: str = "id", k: int = 100) -> DataFrame:
+    """The k newest rows of a log with new ones put before it; a new row's id is made of
+    the time (a timestamp) and, within one time, its number."""
+    stamped = new.withColumn("created_at", at)
+    by = Window.partitionBy("created_at").orderBy("question")
+    nth = F.row_number().over(by) - 1
+    made = F.concat(F.lit("report_"), F.unix_millis(F.to_timestamp("created_at")).cast("string"), F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""))
+    return newest(stamped.withColumn(key, made).unionByName(log, allowMissingColumns=True), k, F.col("created_at").desc(), F.col(key).desc())
+
+
+def reset(table: DataFrame) -> DataFrame:
+    """The table without its rows, as an index or manifest is before anything is taken in."""
+    return table.limit(0)
+
+
+def document_list(manifest: DataFrame, needle: str | None = None) -> DataFrame:
+    """The manifest's rows in the order of their ids, those with the needle in their file name if one is given."""
+    rows = manifest if needle is None else search(manifest, needle, "filename")
+    return rows.orderBy("document_id")
+
+
+def confidence_counts(reports: DataFrame, level: str = "candidate_confidence") -> DataFrame:
+    """One row: total, high, medium, low, insufficient."""
+    return reports.agg(F.count("*").alias("total"), *[F.count_if(F.col(level) == n).alias(n) for n in ("high", "medium", "low", "insufficient")])
+
+
 def newest(reports: DataFrame, k: int = 100, *order: Column) -> DataFrame:
     return reports.orderBy(*order).limit(k)
 

@@ -57,40 +57,59 @@ def extractive(prompt: str) -> str:
 
 
 def answer(prompts_of: DataFrame, generate: Callable[[str], str] = extractive) -> DataFrame:
-    """query_id, answer (null where generating failed). generate is called in tasks."""
+    """query_id, answer (null where generating failed), error. generate is called in tasks."""
 
     def run(frames):
         for f in frames:
-            out = []
+            out, errors = [], []
             for p in f.prompt:
                 try:
                     out.append(generate(p))
-                except Exception:  # a failed call is an answer without evidence
+                    errors.append(None)
+                except Exception as e:  # a failed call is an answer without evidence
                     out.append(None)
-            yield f[["query_id"]].assign(answer=out)
+                    errors.append(str(e))
+            yield f[["query_id"]].assign(answer=out, error=errors)
 
-    return prompts_of.mapInPandas(run, f"query_id {dict(prompts_of.dtypes)['query_id']}, answer string")
+    return prompts_of.mapInPandas(run, f"query_id {dict(prompts_of.dtypes)['query_id']}, answer string, error string")
+
+
+# Reasons and warnings.
+NO_CHUNKS, NO_EVIDENCE, CALL_FAILED = "No relevant chunks were retrieved.", "No evidence found in the document corpus for this query.", "LLM call failed."
+UNPAGED, UNSURE = "Some sources missing page numbers.", "Evidence quality is low. Answer may not be fully grounded."
+SAID_SO, PARTLY, WEAKLY = "LLM indicated insufficient evidence.", "Partial evidence found; some claims may need verification.", "Weak evidence; answer may not be fully supported."
 
 
 def confidence(hits: DataFrame, questions: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """query_id, confidence, n_direct, n_warnings, for every question."""
-    stats = hits.groupBy("query_id").agg(
+    """query_id, confidence, reason, warnings (an array), n_direct, for every question. What
+    counts are its first five hits."""
+    stats = hits.where("rank < 5").groupBy("query_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("score") > DIRECT).alias("n_direct"), F.max(F.when(F.col("rank") == 0, F.col("score"))).alias("best"), F.count_if(F.col("page_start") > 0).alias("paged")
     )
     rows = questions.select("query_id").join(stats, "query_id", "left")
-    said = F.lit(False)
-    if answers is not None:
-        rows = rows.join(answers.select("query_id", F.lower("answer").alias("_said"), F.lit(True).alias("_asked")), "query_id", "left")
-        said = F.coalesce(F.contains(F.col("_said"), F.lit("i do not")) | F.contains(F.col("_said"), F.lit("not found")), F.lit(False))
-    n = F.coalesce("n", F.lit(0))
-    failed = (F.col("_asked") & F.col("_said").isNull()) if answers is not None else F.lit(False)
-    level = (
-        F.when((n == 0) | F.coalesce(failed, F.lit(False)), "insufficient").when(said, "low").when((F.col("n_direct") >= 2) & (F.col("best") > DIRECT), "high")
-        .when((F.col("n_direct") >= 1) | (F.col("best") > PARTIAL), "medium").otherwise("low")
-    )
-    weak = (n > 0) & ~said & (F.col("n_direct") < 1) & (F.col("best") <= PARTIAL)
-    warnings = F.when(n == 0, 1).otherwise(F.when(F.col("paged") < n, 1).otherwise(0) + F.when(weak, 1).otherwise(0))
-    return rows.select("query_id", level.alias("confidence"), F.coalesce("n_direct", F.lit(0)).cast("long").alias("n_direct"), warnings.cast("long").alias("n_warnings"))
+    if answers is None:
+        rows = rows.withColumns({"_said": F.lit(""), "_error": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(answers.select("query_id", F.lower("answer").alias("_said"), F.col("error").alias("_error")), "query_id", "left")
+    said = F.coalesce(F.contains(F.col("_said"), F.lit("i do not")) | F.contains(F.col("_said"), F.lit("not found")), F.lit(False))
+    n, direct = F.coalesce("n", F.lit(0)), F.coalesce("n_direct", F.lit(0))
+    none, failed = n == 0, F.col("_error").isNotNull()
+    high, medium = (direct >= 2) & (F.col("best") > DIRECT), (direct >= 1) | (F.col("best") > PARTIAL)
+    pick = lambda *values: F.when(none, values[0]).when(failed, values[1]).when(said, values[2]).when(high, values[3]).when(medium, values[4]).otherwise(values[5])
+    reason = pick(NO_CHUNKS, CALL_FAILED, SAID_SO, F.concat(direct.cast("string"), F.lit(" directly relevant chunks found.")), PARTLY, WEAKLY)
+    warned = F.array_compact(F.array(F.when(F.col("paged") < n, UNPAGED), F.when(~said & ~high & ~F.coalesce(medium, F.lit(False)), UNSURE)))
+    warnings = F.when(none, F.array(F.lit(NO_EVIDENCE))).when(failed, F.array(F.concat(F.lit("Generation error: "), "_error"))).otherwise(warned)
+    return rows.select("query_id", pick("insufficient", "insufficient", "low", "high", "medium", "low").alias("confidence"), reason.alias("reason"), warnings.alias("warnings"), direct.cast("long").alias("n_direct"))
+
+
+def respond(hits: DataFrame, questions: DataFrame, generate: Callable[[str], str] = extractive) -> DataFrame:
+    """query_id, answer, confidence, reason, warnings, for every question: without a hit
+    that there is no evidence, and where generating failed why."""
+    said = answer(prompts(hits, questions), generate)
+    said = said.persist()
+    judged = confidence(hits, questions, said).drop("n_direct").join(said, "query_id", "left")
+    text = F.when(F.col("error").isNotNull(), F.concat(F.lit("Answer generation failed: "), "error")).otherwise(F.coalesce("answer", F.lit(NO_ANSWER)))
+    return judged.select("query_id", text.alias("answer"), "confidence", "reason", "warnings")
 
 
 def evidence_quality(level: Column) -> Column:

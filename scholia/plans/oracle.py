@@ -2,11 +2,39 @@
 
 from __future__ import annotations
 
-from scholia.functions.text import STOP_WORDS
-from scholia.operators.artifacts import PATTERNS
-from scholia.operators.catalog import TOPICS
+# Fixed values, as the survey states them: words that are not indexed, what an artifact scan counts, topics, and what cleanup looks for.
+_STOP_WORDS = (
+    "the a an and or but in on at to for of with by from is are was were be been have has had do does did will would could "
+    "should may might this that these those it its they them their we our you your not no"
+).split()
+_ARTIFACTS = {
+    "hyphen_trailing_space": r"\b[a-zA-Z]{2,}-\s{1,3}[a-z]{3,}\b", "hyphen_newline": r"\w-\s*\n\s*[a-z]", "layout_annotation": r"\S+_[Ll]ayout\s+\d[^\n]*",
+    "spaced_logo_letters": r"\b([A-Z] ){2,6}[A-Z]\b", "ocr_substitution_FRM": r"Flz\.[MW]", "ocr_constrnction": "(?i)constrnction",
+    "journal_header_inline": r"(?i)Journal of Emergency Management\s+Vol\.\s*\d+", "journal_header_newline": r"(?i)Journal of Emergency Management\s*\n\s*Vol\.",
+    "issn_line": r"ISSN \d{4}-\d{4}", "copyright_line": r"Copyright.*\d{4}", "bare_url_line": r"(?m)^\s*https?://[^\s]+\s*$", "www_url_line": r"(?m)^\s*www\.[^\s]{5,}\s*$",
+    "standalone_page_number": r"(?m)^\s*\d{1,4}\s*$", "subscription_price": r"US \$\d+|Canada \$\d+", "doi_line": r"(?m)^DOI:[^\n]*", "jem_junk_number": r"(?m)^JEM\s+\d+\s*$",
+}
+_TOPICS = [
+    ("flood-hazard", "flood|inundation|surge|hurricane|storm"), ("emergency-management", "evacuation|shelter|emergency|preparedness"),
+    ("risk-assessment", "risk|vulnerability|exposure"), ("climate", "climate|sea level|temperature|precipitation"), ("infrastructure", "building|structure|infrastructure"),
+]
+_SEASONS = "January|February|March|April|May|June|July|August|September|October|November|December|Spring|Summer|Fall|Winter"
+_HEADER = (
+    rf"(?i)Journal of Emergency Management\s+Vol\.\s*\d+(?:,?\s*No\.\s*\d+)?(?:,?\s*(?:{_SEASONS})(?:/(?:{_SEASONS}))?\s+\d{{4}})?(?:\s+\d{{1,4}})?"
+    r"(?:\s+Georgetown University Special Issue)?(?:\s+Special Issue on\s+[^.!?()\n]{0,80})?"
+)
+_HEADER_BROKEN = r"(?i)Journal of Emergency Management\s*\n\s*Vol\.[^,\n]{0,40}"
+_FRONT_GATE = r"ISSN \d{4}-\d{4}|Copyright.*\d{4}|All rights reserved"
+_FRONT = "|".join([
+    r"ISSN \d{4}-\d{4}", r"Copyright.*\d{4}", "All rights reserved", "Published by", "Weston Medical Publishing", "Subscription", "E-mail:.*@", "Web site:.*www", "Postmaster:", "Disclaimer:",
+    r"^[A-Z][a-z]+,\s+(PhD|MD|MPH|EdD|DPA|JD|MS|MA|BA)\b", r"\b(Associate|Assistant|Adjunct)\s+(Professor|Director|Chair)\b",
+])
+_AD_GATE = r"US \$\d+|(?i:subscription)"
+_AD = r"US \$\d+|Canada \$\d+|Foreign \$\d+|Individual:.*\$|Corporate:.*\$|Student Rate|Single issues|Back issues|(?i:annual subscription)"
+_TOC = r"(?m)^\s*\d+\s*\.\s*[A-Z][^\n]{5,50}\s*\.{3,}\s*\d+\s*$"
+_REFERENCES = r"\n\s*(References?|Bibliography|REFERENCES?)\s*\n"
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in _STOP_WORDS)
 
 
 def _tokens(text: str) -> str:
@@ -87,33 +115,126 @@ HYBRID = "WITH " + ",".join([RECORDS, QUESTIONS, BM25.format(records="records"),
 DOCS = "docs AS (SELECT doc_id AS pos, text FROM documents)"
 SUPPORT = "CASE WHEN final > 0.025 THEN 'direct' WHEN final > 0.015 THEN 'partial' ELSE 'weak' END"
 
-_CLEAN_RULES = [
-    (r"([A-Za-z0-9_])-\s*\n\s*([a-z])", r"\1\2", "g"), (r"\b([a-zA-Z]{2,})-\s{1,3}([a-z]{3,})\b", r"\1\2", "g"), (r"(?m)^.*_Layout\s+\d[^\n]*$", "", "g"), (r"(?m)^.*_layout\s+\d[^\n]*$", "", "g"),
-    (r"\b([A-Z] ){2,6}[A-Z]\b", "", "g"), (r"\bFlz\.M\b", "FRM", "g"), (r"\bFlz\.W\b", "FRM", "g"), (r"(?i)\binnrmation\b", "information", "g"), (r"(?i)\binfonnation\b", "information", "g"),
-    (r"\bconstrnctions?\b", "constructions", "g"), (r"(?i)\badequnte\b", "adequate", "g"), (r"(?i)\bmanagcment\b", "management", "g"),
-    (r"(?m)(^|\s)(?:JEM\s+)?\d{1,4}\s+(Journal of Emergency Management)", r"\1\2", "g"),
-]
+def _changed(new: str, rule: str) -> str:
+    return {"shorter": f"length({new}) <> length(t)", "differs": f"{new} <> t"}[rule]
+
+
+def _rewrites(*rules: tuple[str, str]) -> str:
+    out = "t"
+    for pattern, to in rules:
+        out = _gsub(out, pattern, to)
+    return out
+
+
+def _columns_sql() -> str:
+    """Lines joined to the one before where they go on."""
+    lines = "string_split(t, chr(10))"
+    first = "{'s': '', 'held': '', 'done': []::VARCHAR[]}"
+    items = f"list_prepend({first}, list_transform({lines}, lambda l: {{'s': {_strip('l')}, 'held': '', 'done': []::VARCHAR[]}}))"
+    flushed = "CASE WHEN a.held <> '' THEN list_append(a.done, a.held) ELSE a.done END"
+    goes_on = "a.held <> '' AND regexp_matches(x.s, '^[a-z,;:)]')"
+    step = (
+        f"{{'s': '', 'held': CASE WHEN x.s = '' THEN '' WHEN {goes_on} THEN concat(a.held, ' ', x.s) ELSE x.s END, "
+        f"'done': CASE WHEN x.s = '' THEN list_append({flushed}, '') WHEN {goes_on} THEN a.done ELSE {flushed} END}}"
+    )
+    return f"(SELECT array_to_string(CASE WHEN r.held <> '' THEN list_append(r.done, r.held) ELSE r.done END, chr(10)) FROM (SELECT list_reduce({items}, lambda a, x: {step}) AS r))"
+
+
+def _dropped_lines(kind: str) -> str:
+    """The lines that stay, by a fold over them: of frontmatter or of price lists."""
+    pattern = _re2(_FRONT if kind == "front" else _AD)
+    items = f"list_prepend({{'l': '', 'm': false, 'on': false, 'n': 0, 'kept': []::VARCHAR[]}}, list_transform(string_split(t, chr(10)), lambda l: {{'l': l, 'm': regexp_matches(l, '{pattern}'), 'on': false, 'n': 0, 'kept': []::VARCHAR[]}}))"
+    if kind == "front":
+        blank = f"(a.on AND NOT x.m AND {_strip('x.l')} = '')"
+        step = f"{{'l': '', 'm': false, 'on': x.m OR ({blank} AND a.n < 3), 'n': CASE WHEN x.m THEN a.n + 1 WHEN {blank} AND a.n < 3 THEN a.n + 1 ELSE 0 END, 'kept': CASE WHEN x.m OR {blank} THEN a.kept ELSE list_append(a.kept, x.l) END}}"
+    else:
+        step = "{'l': '', 'm': false, 'on': false, 'n': CASE WHEN a.n > 0 THEN a.n - 1 WHEN x.m THEN 2 ELSE 0 END, 'kept': CASE WHEN a.n > 0 OR x.m THEN a.kept ELSE list_append(a.kept, x.l) END}"
+    return f"array_to_string(list_reduce({items}, lambda a, x: {step}).kept, chr(10))"
+
 
+_COLUMNAR = f"""(len(list_filter(string_split(t, chr(10)), lambda l: {_strip('l')} <> '' AND length({_strip('l')}) < 40)) / greatest(len(list_filter(string_split(t, chr(10)), lambda l: {_strip('l')} <> '')), 1) > 0.6
+  AND list_sum(list_transform(string_split(t, chr(10)), lambda l: length(l))) / len(string_split(t, chr(10))) < 50)"""
 
-def _clean_sql() -> str:
-    from scholia.operators import clean as c
 
-    after = [
-        (c.HEADER, " "), (c.HEADER_BROKEN, " "), (r"(?im)^DOI:[^\n]*$", ""), (r"(?im)^SA-Weston[^\n]*$", ""), (r"(?m)^JEM\s+\d+\s*$", ""), (r"(?m)^\s*\d{1,4}\s*$", ""),
-    ]
-    rules = [*_CLEAN_RULES, *[(p, t, "g") for p, t in after]]
-    ctes = [f"c0 AS (SELECT doc_id, {noised()} AS t FROM documents)"]
-    for i, (p, t, f) in enumerate(rules):
-        ctes.append(f"c{i + 1} AS (SELECT doc_id, {_gsub('t', p, t, f)} AS t FROM c{i})")
-    n = len(rules)
-    ctes.append(f"l AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{_re2(c.TOC_GATE)}') THEN {_gsub('t', r'(?m)^[^\n]{10,60}\.{4,}\s*\d+\s*$', '')} ELSE t END AS t FROM c{n})")
-    ctes.append(f"r AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '{c.REFERENCES}') THEN instr(t, regexp_extract(t, '{c.REFERENCES}')) - 1 ELSE -1 END AS a FROM l)")
-    ctes.append("k AS (SELECT doc_id, CASE WHEN a > 0.5 * length(t) THEN left(t, a) ELSE t END AS t FROM r)")
-    tail = "t"
-    for p, to in [(r"(?m)^\s*https?://[^\s]+\s*$", ""), (r"(?m)^\s*www\.[^\s]{5,}\s*$", ""), (r"\n{3,}", chr(10) * 2), (r"[ \t]{2,}", " ")]:
-        tail = _gsub(tail, p, to)
-    ctes.append(f"z AS (SELECT doc_id, {_strip(tail)} AS t FROM k)")
-    return "WITH " + ",\n".join(ctes) + " SELECT doc_id, md5(t) AS cleaned_md5, CAST(length(t) AS BIGINT) AS n_chars FROM z"
+def _clean_ctes(source: str, folds: bool = True) -> list[str]:
+    """Steps of the cleanup as one table after another (doc_id, t, flags), the last named cleaned."""
+    prefix = (r"(?m)(^|\s)(?:JEM\s+)?\d{1,4}\s+(Journal of Emergency Management)", r"\1\2")
+    steps: list[tuple[str, str | None, str]] = [
+        ("replace(replace(replace(replace(t, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)), chr(173), ''), chr(65533), ' ')", None, ""),
+        (_rewrites((r"([A-Za-z0-9_])-\s*\n\s*([a-z])", r"\1\2"), (r"\b([a-zA-Z]{2,})-\s{1,3}([a-z]{3,})\b", r"\1\2")), "fixed-hyphenation", "shorter"),
+        (_rewrites((r"(?m)^.*_Layout\s+\d[^\n]*$", ""), (r"(?m)^.*_layout\s+\d[^\n]*$", "")), "removed-layout-annotations", "shorter"),
+        (_rewrites((r"\b([A-Z] ){2,6}[A-Z]\b", "")), "removed-logo-artifacts", "differs"),
+        (_rewrites((r"\bFlz\.M\b", "FRM"), (r"\bFlz\.W\b", "FRM"), (r"\bconstrnctions?\b", "constructions"), (r"(?i)\binnrmation\b", "information"), (r"(?i)\binfonnation\b", "information"), (r"(?i)\badequnte\b", "adequate"), (r"(?i)\bmanagcment\b", "management")), "repaired-ocr-substitutions", "differs"),
+        (_rewrites(prefix), None, ""), (_rewrites((_HEADER, " "), (_HEADER_BROKEN, " ")), "removed-journal-headers", f"regexp_matches(t, '{_HEADER}') OR regexp_matches(t, '{_HEADER_BROKEN}')"),
+        (_rewrites((r"(?im)^DOI:[^\n]*$", ""), (r"(?im)^SA-Weston[^\n]*$", ""), (r"(?m)^JEM\s+\d+\s*$", "")), None, ""),
+        (_rewrites((r"(?m)^\s*\d{1,4}\s*$", "")), "removed-page-numbers", "differs"),
+    ]
+    gated = lambda gate, out: f"CASE WHEN {gate} THEN {out} ELSE t END"
+    if folds:
+        front, ads = f"regexp_matches(t, '{_FRONT_GATE}')", f"regexp_matches(t, '{_AD_GATE}')"
+        steps += [(gated(front, _dropped_lines("front")), "removed-frontmatter", front), (gated(ads, _dropped_lines("ads")), "removed-ads", ads)]
+    toc = f"regexp_matches(t, '{_TOC}')"
+    cut = f"(instr(t, regexp_extract(t, '{_REFERENCES}')) - 1)"
+    late = f"regexp_matches(t, '{_REFERENCES}') AND {cut} > 0.5 * length(t)"
+    steps += [(gated(toc, _gsub("t", r"(?m)^[^\n]{10,60}\.{4,}\s*\d+\s*$", "")), "removed-toc", toc), (gated(late, f"left(t, {cut})"), "removed-references", "differs")]
+    if folds:
+        steps.append((gated(_COLUMNAR, _columns_sql()), "column-join-attempted", _COLUMNAR))
+    steps += [
+        (_rewrites((r"(?m)^\s*https?://[^\s]+\s*$", ""), (r"(?m)^\s*www\.[^\s]{5,}\s*$", "")), "removed-bare-url-lines", "differs"),
+        (_strip(_rewrites((r"\n{3,}", chr(10) * 2), (r"[ \t]{2,}", " "))), None, ""),
+    ]
+    ctes = [f"c0 AS (SELECT doc_id, t, []::VARCHAR[] AS flags FROM {source})"]
+    for i, (new, flag, rule) in enumerate(steps):
+        shown = "false" if flag is None else _changed("new", rule) if rule in ("shorter", "differs") else rule
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT doc_id, new AS t, CASE WHEN {shown} THEN list_append(flags, '{flag}') ELSE flags END AS flags FROM (SELECT doc_id, t, flags, {new} AS new FROM c{i}))")
+    return [*ctes, f"cleaned AS (SELECT doc_id, t, flags FROM c{len(steps)})"]
+
+
+_MEAN_LINE = "list_sum(list_transform(string_split(t, chr(10)), lambda l: length(l))) / len(string_split(t, chr(10)))"
+_NOTES = rf"list_filter([CASE WHEN len(regexp_split_to_array(t, '\s+')) < 50 THEN 'very-short-document' END, CASE WHEN {_MEAN_LINE} < 20 THEN 'short-avg-line-length-possible-column-artifact' END], lambda n: n IS NOT NULL)"
+
+
+def _heading(s: str) -> str:
+    return rf"""(length({s}) BETWEEN 3 AND 120 AND (regexp_matches({s}, '^[A-Z][A-Z\s\-:]{{4,}}$') OR regexp_matches({s}, '^\d+(\.\d+)?\s+[A-Z][a-zA-Z\s]{{3,}}$')
+  OR (regexp_matches({s}, '^[A-Z][a-zA-Z\s\-:,]{{4,}}$') AND NOT suffix({s}, '.') AND NOT suffix({s}, ',') AND len(string_split({s}, ' ')) <= 8
+  AND NOT regexp_matches({s}, '\b(PhD|MD|MPH|DPA|EdD|MS|MA|BA|University|College|Institute|Department)\b'))))"""
+
+
+def _chunk_ctes(source: str) -> list[str]:
+    """Of a table (doc_id, t, sizes of its pages), the usable chunks (doc_id, chunk_id,
+    section_path, page_start, page_end, said)."""
+    no = "'buf': '', 'at': -1, 'cuts': []::INTEGER[]"
+    items = f"list_prepend({{'l': '', 'h': false, {no}}}, list_transform(lines, lambda l: {{'l': l, 'h': {_heading(_strip('l'))}, {no}}}))"
+    flush = f"(x.h AND length({_strip('a.buf')}) > 100)"
+    step = f"{{'l': '', 'h': false, 'buf': CASE WHEN {flush} THEN '' ELSE concat(a.buf, x.l) END, 'at': a.at + 1, 'cuts': CASE WHEN {flush} THEN list_append(a.cuts, a.at + 1) ELSE a.cuts END}}"
+    cut = "regexp_replace(said, '([.!?])\\s+([A-Z])', concat('\\1', chr(1), '\\2'), 'g')".replace("\\\\", "\\")
+    sentences = f"list_filter(string_split({cut}, chr(1)), lambda s: {_strip('s')} <> '')"
+    empty = "'buf': '', 'start': 0, 'done': []::STRUCT(said VARCHAR, start INTEGER)[]"
+    packed = f"list_prepend({{'s': '', 'i': -1, {empty}}}, list_transform(sents, lambda s, i: {{'s': s, 'i': CAST(i - 1 AS INTEGER), {empty}}}))"
+    full = "(length(a.buf) + length(x.s) > 2400 AND length(a.buf) > 200)"
+    back = "coalesce(list_min(list_filter(range(1, least(x.i, 150) + 1), lambda k: list_sum(list_transform(sents[x.i - k + 1:x.i], lambda s: length(s) + 1)) >= 300)), x.i)"
+    again = f"concat({_strip(f'array_to_string(sents[x.i - {back} + 1:x.i], chr(32))')}, ' ')"
+    pack = (
+        f"{{'s': '', 'i': 0, 'buf': CASE WHEN {full} THEN concat({again}, x.s) WHEN a.buf = '' THEN x.s ELSE concat(a.buf, ' ', x.s) END, "
+        f"'start': CASE WHEN {full} AND instr(said, {again}) > 0 THEN CAST(instr(said, {again}) - 1 AS INTEGER) ELSE a.start END, "
+        f"'done': CASE WHEN {full} THEN list_append(a.done, {{'said': a.buf, 'start': a.start}}) ELSE a.done END}}"
+    )
+    return [
+        f"folded AS MATERIALIZED (SELECT doc_id, sizes, lines, list_reduce({items}, lambda a, x: {step}).cuts AS cuts FROM (SELECT doc_id, sizes, string_split(t, chr(10)) AS lines FROM {source}))",
+        "bounds AS (SELECT doc_id, sizes, lines, unnest(list_zip(list_prepend(-1, cuts), list_append(cuts, CAST(len(lines) AS INTEGER)))) AS b, generate_subscripts(list_prepend(-1, cuts), 1) AS k FROM folded)",
+        f"""parts AS MATERIALIZED (SELECT doc_id, sizes, k, CASE WHEN f >= 0 THEN {_strip('lines[f + 1]')} ELSE {_strip(f"list_filter(own, lambda l: {_heading(_strip('l'))})[1]")} END AS heading, {_strip("array_to_string(own, chr(10))")} AS said
+  FROM (SELECT doc_id, sizes, lines, k, b[1] AS f, lines[b[1] + 2:b[2]] AS own FROM bounds))""",
+        f"cut_parts AS MATERIALIZED (SELECT doc_id, sizes, k, heading, said, CASE WHEN length(said) > 4000 THEN {sentences} END AS sents FROM parts WHERE length(said) > 200)",
+        f"runs AS MATERIALIZED (SELECT doc_id, sizes, k, heading, said, CASE WHEN sents IS NOT NULL THEN list_reduce({packed}, lambda a, x: {pack}) END AS r FROM cut_parts)",
+        f"""pieces AS (SELECT doc_id, sizes, k, heading, unnest(d) AS c, generate_subscripts(d, 1) AS nth FROM (SELECT doc_id, sizes, k, heading, CASE WHEN r IS NULL THEN [{{'said': said, 'start': 0}}]
+  WHEN length({_strip('r.buf')}) > 200 THEN list_append(r.done, {{'said': r.buf, 'start': r.start}}) ELSE r.done END AS d FROM runs))""",
+        "numbered AS (SELECT doc_id, sizes, heading, c.said AS buf, c.start AS a, row_number() OVER (PARTITION BY doc_id ORDER BY k, nth) - 1 AS number FROM pieces)",
+        "ends AS (SELECT *, list_transform(range(1, len(sizes) + 1), lambda p: {'p': p, 'a': coalesce(list_sum(sizes[1:p - 1]), 0), 'b': list_sum(sizes[1:p])}) AS pp FROM numbered)",
+        f"""chunks AS (SELECT doc_id, concat(doc_id, '__chunk_', lpad(CAST(number AS VARCHAR), CAST(greatest(4, length(CAST(number AS VARCHAR))) AS INTEGER), '0')) AS chunk_id, heading AS section_path,
+  CAST(coalesce(list_max(list_transform(list_filter(pp, lambda q: q.a <= a AND a < q.b), lambda q: q.p)), 1) AS INTEGER) AS page_start,
+  CAST(coalesce(list_min(list_transform(list_filter(pp, lambda q: q.a <= a + length(buf) AND a + length(buf) <= q.b), lambda q: q.p)), greatest(len(sizes), 1)) AS INTEGER) AS page_end, {_strip('buf')} AS said FROM ends)""",
+        r"usable AS (SELECT * FROM chunks WHERE length(said) >= 200 AND len(regexp_extract_all(said, '(?m)^\s*\d+\.\s+[A-Z]')) / len(string_split(said, chr(10))) <= 0.5 AND len(regexp_split_to_array(said, '\s+')) >= 20)",
+    ]
 
 
 def _count(pattern: str) -> str:
@@ -121,16 +242,53 @@ def _count(pattern: str) -> str:
 
 
 _NOISED = f"noised AS (SELECT doc_id, {noised()} AS t FROM documents)"
-_SCAN = f"WITH {_NOISED} SELECT doc_id, " + ", ".join(f"{_count(p)} AS {k}" for k, p in PATTERNS.items())
-_TOTAL = " + ".join(PATTERNS)
+_SCAN = "SELECT doc_id, " + ", ".join(f"{_count(p)} AS {k}" for k, p in _ARTIFACTS.items())
+_TOTAL = " + ".join(_ARTIFACTS)
+_CLEANED = "WITH " + ",\n".join([_NOISED, *_clean_ctes("noised")])
+# Each document's noised text, as two pages.
+_PAGED = f"SELECT doc_id, [CAST(length(t) // 2 AS INTEGER), CAST(length(t) - length(t) // 2 AS INTEGER)] AS sizes FROM noised"
+_CHUNKED = _CLEANED + ",\n" + ",\n".join([f"paged AS (SELECT cleaned.doc_id, cleaned.t, p.sizes FROM cleaned JOIN ({_PAGED}) p USING (doc_id))", *_chunk_ctes("paged")])
+_BOTH = f"{_CLEANED}, raws AS ({_SCAN} FROM noised), cleans AS ({_SCAN} FROM cleaned)"
+_PERCENT = "CAST(CASE WHEN raw = 0 THEN 0 ELSE floor(100 * (raw - clean) / raw + 0.5) END AS BIGINT)"
 _SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')"
 _HEADING_LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE length(s) BETWEEN 3 AND 120 AND (regexp_matches(s, '^[A-Z][A-Z\s\-:]{4,}$') OR regexp_matches(s, '^\d+(\.\d+)?\s+[A-Z][a-zA-Z\s]{3,}$')
 OR (regexp_matches(s, '^[A-Z][a-zA-Z\s\-:,]{4,}$') AND NOT suffix(s, '.') AND NOT suffix(s, ',') AND len(string_split(s, ' ')) <= 8
 AND NOT regexp_matches(s, '\b(PhD|MD|MPH|DPA|EdD|MS|MA|BA|University|College|Institute|Department)\b')))) AS BIGINT) AS n_headings FROM s GROUP BY doc_id"""
-_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{w}') THEN '{t}'" for t, w in TOPICS) + " ELSE 'general' END"
+_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{w}') THEN '{t}'" for t, w in _TOPICS) + " ELSE 'general' END"
+
+_NO_ANSWER = "I do not have sufficient evidence in the ingested documents to answer this question. Please ingest relevant documents or refine your query."
+_JUDGED = """s AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE final > 0.025) AS d, max(CASE WHEN place = 0 THEN final END) AS best FROM hits GROUP BY ALL),
+judged AS (SELECT query_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'insufficient' WHEN d >= 2 AND best > 0.025 THEN 'high' WHEN d >= 1 OR best > 0.015 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN n IS NULL THEN 'No relevant chunks were retrieved.' WHEN d >= 2 AND best > 0.025 THEN concat(d, ' directly relevant chunks found.')
+    WHEN d >= 1 OR best > 0.015 THEN 'Partial evidence found; some claims may need verification.' ELSE 'Weak evidence; answer may not be fully supported.' END AS reason,
+  CASE WHEN n IS NULL THEN 'No evidence found in the document corpus for this query.' WHEN d >= 1 OR best > 0.015 THEN '' ELSE 'Evidence quality is low. Answer may not be fully grounded.' END AS warnings,
+  CAST(coalesce(d, 0) AS BIGINT) AS n_direct FROM questions LEFT JOIN s USING (query_id))"""
+# The first sentence of the evidence as the prompt shows it.
+_SAID = r"""blocks AS (SELECT query_id, string_agg(concat('[', place + 1, '] Source: ', source, ' (p. 1)', chr(10), left(text, 1000)), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY place) AS e FROM hits GROUP BY ALL),
+bodies AS (SELECT query_id, concat(substr(e, instr(e, chr(10)) + 1), chr(10), chr(10), 'INSTRUCTIONS:', chr(10), '- Answer based ONLY on the evidence above.', chr(10), '- Start with the direct answer.') AS body FROM blocks),
+said AS (SELECT query_id, concat(left(regexp_replace(string_split(body, '. ')[1], '^\s+|\s+$', '', 'g'), 300), ' [1]') AS answer FROM bodies)"""
+_FILES = f"""files AS (SELECT doc_id, n_chars, {noised()} AS n FROM documents), pages AS (SELECT doc_id, concat(chr(10), chr(10), left(n, length(n) // 2), chr(10), chr(10), substr(n, length(n) // 2 + 1)) AS t,
+  [CAST(length(n) // 2 AS INTEGER), CAST(length(n) - length(n) // 2 AS INTEGER)] AS sizes FROM files WHERE n_chars >= 200)"""
+_INGEST = "WITH " + ",\n".join([_FILES, *_clean_ctes("pages"), "paged AS (SELECT cleaned.doc_id, cleaned.t, sizes FROM cleaned JOIN pages USING (doc_id))", *_chunk_ctes("paged")]) + f""",
+counts AS (SELECT doc_id, count(*) AS c FROM usable GROUP BY ALL),
+rows AS (SELECT f.doc_id, n_chars < 200 AS bad, coalesce(c, 0) AS c, coalesce(flags, []) AS flags, {_NOTES} AS notes FROM files f LEFT JOIN cleaned USING (doc_id) LEFT JOIN counts USING (doc_id)),
+report AS (SELECT *, concat('file', doc_id, '.pdf') AS filename, CASE WHEN bad THEN [] ELSE list_filter([CASE WHEN len(flags) > 0 THEN concat('file', doc_id, '.pdf: Cleaning applied: ', array_to_string(flags, ', ')) END,
+  CASE WHEN len(notes) > 0 THEN concat('file', doc_id, '.pdf: Quality: ', array_to_string(notes, ', ')) END, CASE WHEN c = 0 THEN concat('file', doc_id, '.pdf: No usable chunks extracted from document') END], lambda w: w IS NOT NULL) END AS warnings FROM rows)"""
+_LETTERS = [f"length(l) - length(replace(l, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz"]
+_VECTOR = "list_transform(counts, lambda n: CASE WHEN list_sum(list_transform(counts, lambda m: m * m)) = 0 THEN 0 ELSE n / sqrt(list_sum(list_transform(counts, lambda m: m * m))) END)"
+_DAY = "CAST(DATE '2026-01-01' AS VARCHAR)"
 
 ORACLE_SQL = {
+    "ingest_files": _INGEST + " SELECT CAST(doc_id AS VARCHAR) AS document_id, filename, CAST(CASE WHEN bad THEN 0 ELSE 2 END AS BIGINT) AS page_count, CAST(c AS BIGINT) AS chunk_count, CASE WHEN bad THEN 'error' ELSE 'ingested' END AS status, CASE WHEN bad THEN 'PDF parse error: no pages' END AS error, array_to_string(flags, ',') AS flags, array_to_string(warnings, '|') AS warnings FROM report",
+    "ingest_index": _INGEST + f" SELECT chunk_id, CAST(doc_id AS VARCHAR) AS document_id, concat('file', doc_id, '.pdf') AS source_file, page_start, page_end, md5(said) AS text_md5, round(list_sum({_VECTOR}), 6) AS vector_sum FROM (SELECT *, [{', '.join(_LETTERS)}] AS counts FROM (SELECT *, lower(said) AS l FROM usable))",
+    "ingest_result": _INGEST + " SELECT (count(*) FILTER (WHERE bad) = 0 OR count(*) FILTER (WHERE c > 0) > 0) AS success, count(*) FILTER (WHERE c > 0) AS documents, CAST(sum(c) AS BIGINT) AS chunks, CAST(sum(c) AS BIGINT) AS vectors, count(*) FILTER (WHERE bad) AS n_errors, CAST(sum(len(warnings)) AS BIGINT) AS n_warnings, count(*) AS n_files FROM report",
+    "embed_documents": f"SELECT doc_id, array_to_string(list_transform({_VECTOR}, lambda v: CAST(CAST(floor(v * 10000 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS vector FROM (SELECT doc_id, [{', '.join(_LETTERS)}] AS counts FROM (SELECT doc_id, lower(text) AS l FROM documents))",
+    "document_list": "SELECT regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g') AS document_id, url AS filename FROM pages WHERE contains(lower(url), '1')",
+    "reset_index": "SELECT vec_id, label FROM embeddings WHERE false",
+    "report_append": f"""WITH said AS (SELECT role, concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), md5(text)) AS question FROM conversations), fresh AS (SELECT question, row_number() OVER (ORDER BY question) - 1 AS n FROM said WHERE role <> 'user'),
+log AS (SELECT question, {_DAY} AS day, true AS stamped, concat('report_1767225600000', CASE WHEN n > 0 THEN concat('_', n) ELSE '' END) AS id FROM fresh UNION ALL SELECT question, '2025-01-01', false, concat('old_', question) FROM said WHERE role = 'user')
+SELECT question, day, stamped FROM log ORDER BY day DESC, id DESC LIMIT 100""",
     "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
     "corpus_stats": f"SELECT CAST(count(*) AS BIGINT) AS n_docs, round(avg(len(t)), 6) AS mean_terms, CAST(sum(len(list_distinct(t))) AS BIGINT) AS n_postings FROM (SELECT {_tokens('text')} AS t FROM documents)",
     "bm25_search": f"WITH {DOCS},{QUESTIONS},{BM25.format(records='docs')} SELECT query_id, pos AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM lexical",
@@ -139,13 +297,18 @@ ORACLE_SQL = {
     "rrf_fusion": HYBRID + " SELECT query_id, pos AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM fused",
     "hybrid_retrieval": HYBRID + " SELECT query_id, pos AS doc_id, CAST(place AS BIGINT) AS rank, round(final, 6) AS score, 'hybrid-rrf' AS retrieval_method FROM hits",
     "answer_sources": HYBRID + f" SELECT query_id, CAST(place AS BIGINT) AS rank, pos AS doc_id, source, {SUPPORT} AS support_level, md5(concat(left(text, 300), CASE WHEN length(text) > 300 THEN '…' ELSE '' END)) AS snippet_md5 FROM hits",
-    "answer_confidence": HYBRID + """, s AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE final > 0.025) AS d, max(CASE WHEN place = 0 THEN final END) AS best FROM hits GROUP BY ALL)
-SELECT query_id, CASE WHEN n IS NULL THEN 'insufficient' WHEN d >= 2 AND best > 0.025 THEN 'high' WHEN d >= 1 OR best > 0.015 THEN 'medium' ELSE 'low' END AS confidence,
-CAST(coalesce(d, 0) AS BIGINT) AS n_direct, CAST(CASE WHEN n IS NULL THEN 1 WHEN d < 1 AND best <= 0.015 THEN 1 ELSE 0 END AS BIGINT) AS n_warnings FROM questions LEFT JOIN s USING (query_id)""",
+    "answer_confidence": f"{HYBRID}, {_JUDGED} SELECT query_id, confidence, reason, warnings, n_direct FROM judged",
+    "answers": f"{HYBRID}, {_SAID}, {_JUDGED} SELECT query_id, coalesce(answer, '{_NO_ANSWER}') AS answer, CASE WHEN n > 0 AND told THEN 'low' ELSE confidence END AS confidence, CASE WHEN n > 0 AND told THEN 'LLM indicated insufficient evidence.' ELSE reason END AS reason, CASE WHEN n > 0 AND told THEN '' ELSE warnings END AS warnings FROM (SELECT *, coalesce(contains(lower(answer), 'i do not') OR contains(lower(answer), 'not found'), false) AS told FROM judged LEFT JOIN said USING (query_id))",
+    "confidence_counts": f"{HYBRID}, {_JUDGED} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE confidence = '{n}') AS {n}" for n in ("high", "medium", "low", "insufficient")) + " FROM judged",
+    "evidence_quality": f"{HYBRID}, {_JUDGED} SELECT query_id, CASE confidence WHEN 'high' THEN 'strong' WHEN 'medium' THEN 'partial' ELSE 'weak' END AS evidence_quality FROM judged",
     "retrieval_debug": HYBRID + " SELECT query_id, " + ", ".join(f"CAST((SELECT count(*) FROM {t} x WHERE x.query_id = q.query_id) AS BIGINT) AS n_{t}" for t in ("dense", "lexical", "exact", "fused", "hits")) + " FROM questions q",
-    "clean_patterns": _clean_sql(),
-    "artifact_scan": _SCAN + " FROM noised",
-    "artifact_noise": f"WITH s AS ({_SCAN}, len(regexp_split_to_array(t, '\\s+')) AS words FROM noised) SELECT doc_id, round(({_TOTAL}) / words, 6) AS noise_ratio, round(least(1, 10 * (({_TOTAL}) / words)), 6) AS chunk_noise FROM s",
+    "clean_patterns": "WITH " + ",\n".join([_NOISED, *_clean_ctes("noised", folds=False)]) + " SELECT doc_id, md5(t) AS cleaned_md5, CAST(length(t) AS BIGINT) AS n_chars FROM cleaned",
+    "clean_text": _CLEANED + f" SELECT doc_id, md5(t) AS cleaned_md5, array_to_string(flags, ',') AS cleaning_flags, array_to_string({_NOTES}, ',') AS quality_notes FROM cleaned",
+    "chunk_documents": _CHUNKED + " SELECT doc_id, chunk_id, section_path, page_start, page_end, md5(said) AS text_md5 FROM usable",
+    "artifact_report": _BOTH + f", l AS (SELECT type, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(clean) AS BIGINT) AS clean FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, raws.{k} AS raw, cleans.{k} AS clean FROM raws JOIN cleans USING (doc_id)" for k in _ARTIFACTS) + f") GROUP BY ROLLUP (type)) SELECT type, raw, clean, raw - clean AS removed, {_PERCENT} AS percent FROM l",
+    "artifact_documents": _BOTH + f", l AS (SELECT doc_id, {' + '.join(f'raws.{k}' for k in _ARTIFACTS)} AS raw, {' + '.join(f'cleans.{k}' for k in _ARTIFACTS)} AS clean, raws.hyphen_newline - cleans.hyphen_newline AS hyphens FROM raws JOIN cleans USING (doc_id)) SELECT doc_id, concat(source, '.pdf') AS filename, raw, clean, raw - clean AS removed, {_PERCENT} AS percent, hyphens FROM l JOIN documents USING (doc_id)",
+    "artifact_scan": f"WITH {_NOISED} {_SCAN} FROM noised",
+    "artifact_noise": f"WITH {_NOISED}, s AS ({_SCAN}, len(regexp_split_to_array(t, '\\s+')) AS words FROM noised) SELECT doc_id, round(({_TOTAL}) / words, 6) AS noise_ratio, round(least(1, 10 * (({_TOTAL}) / words)), 6) AS chunk_noise FROM s",
     "sentence_split": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, chr(1))) AS sentences_md5 FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)",
     "heading_lines": _HEADING_LINES,
     "document_ids": "SELECT page_id, regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g') AS document_id FROM pages",

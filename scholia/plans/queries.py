@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions.text import tokens
-from scholia.operators import artifacts, catalog, chunking, clean, evidence, retrieval
+from scholia.operators import artifacts, catalog, chunking, clean, embedding, evidence, ingest, retrieval
 
 from .oracle import ORACLE_SQL, noised
 
@@ -117,15 +117,33 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("pos").alias("doc_id"), "source", "support_level", F.md5("snippet").alias("snippet_md5"))
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("warnings", F.array_join("warnings", "|"))
+
+
 @query
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.confidence(_hits(spark, sf_dir), _questions(spark, sf_dir))
+    return _judged(evidence.confidence(_hits(spark, sf_dir), _questions(spark, sf_dir)))
 
 
 @query
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = evidence.prompts(_hits(spark, sf_dir), _questions(spark, sf_dir))
-    return evidence.answer(prompts)
+    """Of a model that gives the first sentence of its evidence."""
+    hits = retrieval.kept(_hits(spark, sf_dir))
+    return _judged(evidence.respond(hits, _questions(spark, sf_dir)))
+
+
+@query
+def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a log with a report for each question."""
+    rows = evidence.confidence(_hits(spark, sf_dir), _questions(spark, sf_dir))
+    return catalog.confidence_counts(rows, "confidence")
+
+
+@query
+def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence.confidence(_hits(spark, sf_dir), _questions(spark, sf_dir))
+    return rows.select("query_id", evidence.evidence_quality(F.col("confidence")).alias("evidence_quality"))
 
 
 @query
@@ -174,6 +192,15 @@ def artifact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.corpus_report(raw, clean.clean(raw), "doc_id")
 
 
+@query
+def artifact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report by document, with file names."""
+    raw = _noised(spark, sf_dir)
+    names = _read(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".pdf")).alias("filename"))
+    rows = artifacts.document_report(raw, clean.clean(raw), "doc_id", names)
+    return rows.select("doc_id", "filename", "raw", "clean", "removed", "percent", F.element_at("improvement", "hyphen_newline").alias("hyphens"))
+
+
 @query
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "documents").select("doc_id", chunking.sentences(F.col("text")).alias("s"))
@@ -188,11 +215,73 @@ def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = clean.clean(_noised(spark, sf_dir)).withColumn("page_sizes", F.array(F.length("text")))
+    half = F.floor(F.length("text") / 2)
+    docs = clean.clean(_noised(spark, sf_dir)).withColumn("page_sizes", F.array(half, F.length("text") - half))
     rows = chunking.chunk(docs.select("doc_id", F.col("cleaned_text").alias("text"), "page_sizes"), "doc_id", "text", "page_sizes")
     return rows.select("doc_id", "chunk_id", "section_path", "page_start", "page_end", F.md5("text").alias("text_md5"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of two pages; those of less than 200 characters can't be read."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.expr(noised()).alias("t"), "n_chars")
+    half = F.floor(F.length("t") / 2).cast("int")
+    pages = F.when(F.col("n_chars") >= 200, F.array(F.left("t", half), F.substring("t", half + 1, F.length("t"))))
+    return rows.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), pages.alias("page_texts"), F.lit("no pages").alias("error"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Ingest:
+    """Everything taken in anew."""
+    manifest = spark.createDataFrame([], "document_id string, filename string, page_count int, chunk_count int, ingested_at timestamp, status string, cleaning_flags array<string>")
+    index = spark.createDataFrame([], "chunk_id string, document_id string, source_file string, page_start int, page_end int, section_path string, text string, cleaning_flags array<string>, embedding array<double>, pos long")
+    return ingest.ingest(_pages(spark, sf_dir), manifest, index, F.lit("2026-01-01").cast("timestamp"), rebuild=True)
+
+
+@query
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ingested(spark, sf_dir).files
+    return rows.select("document_id", "filename", F.col("page_count").cast("long").alias("page_count"), F.col("chunk_count").cast("long").alias("chunk_count"), "status", "error", F.array_join("cleaning_flags", ",").alias("flags"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query
+def ingest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after it: each chunk with its vector, of which the sum stands here."""
+    rows = _ingested(spark, sf_dir).index
+    return rows.select("chunk_id", "document_id", "source_file", "page_start", "page_end", F.md5("text").alias("text_md5"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"))
+
+
+@query
+def ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ingested(spark, sf_dir).result
+    return rows.select("success", "documents", "chunks", "vectors", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"), F.size("cleanup").cast("long").alias("n_files"))
+
+
+@query
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding.embed(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.floor(x * 10000 + 0.5).cast("long").cast("string")), ",").alias("vector"))
+
+
+@query
+def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "pages").select(catalog.document_id(F.col("url")).alias("document_id"), F.col("url").alias("filename"))
+    return catalog.document_list(rows, "1")
+
+
+@query
+def reset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.reset(_read(spark, sf_dir, "embeddings").select("vec_id", "label"))
+
+
+@query
+def report_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of the users' turns, with the assistants' put before them."""
+    rows = _read(spark, sf_dir, "conversations")
+    said = rows.select("role", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.md5("text")).alias("question"))
+    log = said.where("role = 'user'").select(F.concat(F.lit("old_"), "question").alias("id"), "question", F.lit("2025-01-01").cast("timestamp").alias("created_at"))
+    after = catalog.append_report(log, said.where("role <> 'user'").select("question"), F.lit("2026-01-01").cast("timestamp"))
+    return after.select("question", F.to_date("created_at").cast("string").alias("day"), F.col("id").startswith("report_1767225600000").alias("stamped"))
+
+
 @query
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", catalog.document_id(F.col("url")).alias("document_id"))

@@ -58,9 +58,18 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def write_by_document(df: DataFrame, path: str, key: str = "document_id") -> None:
-    """A folder a document, so that one is replaced or read without the others."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def write_by_document(df: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
+    """Documents dealt to folders (bucket=0, ...) by a hash of their key, so that the
+    number of folders is bounded and a document is read without most of the others."""
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_document(spark: SparkSession, path: str, value: str | int, key: str = "document_id", buckets: int = 256) -> DataFrame:
+    """The rows of one document, from its folder only."""
+    rows = spark.read.parquet(path)
+    bucket = F.pmod(F.xxhash64(F.lit(value).cast(dict(rows.dtypes)[key])), F.lit(buckets)).cast("int")
+    return rows.where((F.col("bucket") == bucket) & (F.col(key) == value)).drop("bucket")
 
 
 def write_table(df: DataFrame, path: str) -> None:
