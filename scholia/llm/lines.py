@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, row_key, sent, text_mark, texts_of, unplaced
+from .common import fresh, materialize, row_key, text_mark, texts_of, unplaced
 from .tokens import text_batches
 
 LEAST_RUN, LEAST_WORDS = 3, 50
@@ -107,12 +107,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents with their runs, null for most, in a column of the name given. Texts
-    are shuffled only where the runs are too many to be broadcast."""
+    """The documents with their runs, null for most, in a column of the name given. Runs are
+    as many as a share of the documents, so both are shuffled."""
     keyed, names = row_key(docs)
     (runs,) = fresh(keyed, "_runs")
     found = repeated_runs(docs).select(F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), F.col("mark").alias(names[2]), F.col("runs").alias(runs))
-    found = sent(found, 150 + 40 * F.size(runs))
     return keyed.join(found, names, "left").select(*docs.columns, runs), runs
 
 
