@@ -112,7 +112,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
     keyed, names = row_key(docs)
     (runs,) = fresh(keyed, "_runs")
     found = repeated_runs(docs).select(F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), F.col("mark").alias(names[2]), F.col("runs").alias(runs))
-    return keyed.join(found, names, "left").select(*docs.columns, runs), runs
+    return keyed.join(found.hint("merge"), names, "left").select(*docs.columns, runs), runs
 
 
 def _rewrite(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:

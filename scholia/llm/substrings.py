@@ -192,7 +192,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("mark", F.lit(""))]
     listed = found.groupBy(*[c.alias(n) for n, c in zip(names, key, strict=True)]).agg(F.collect_list(F.array("start_byte", "end_byte")).alias(cuts))
     listed = materialize(listed, "cuts")
-    marked = keyed.join(listed, names, "left").select(*docs.columns, cuts)
+    marked = keyed.join(listed.hint("merge"), names, "left").select(*docs.columns, cuts)
     counted, columns = dict(docs.dtypes).get("n_chars") in ("int", "bigint"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
