@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker keeps at most, and the longest unit that it keeps.
-KEEP_UNITS, KEEP_CHARS = 800_000, 24
+KEEP_UNITS, KEEP_CHARS = 200_000, 24
 #: Characters of text that are worked on at once.
 BATCH_BYTES = 3 << 20
 _CUT = "\0"
@@ -116,7 +116,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def text_batches(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES):
     """Cut a batch into slices of about `most` bytes of text, one row at least;
-    yields each slice with its texts, nulls as empty texts."""
+    yields each slice with its texts, nulls as empty texts. Workers outlive their
+    tasks, so freed memory goes back to the system after each batch."""
     texts = pc.fill_null(batch.column(column), "")
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())
@@ -127,3 +128,4 @@ def text_batches(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_
         to = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
