@@ -268,7 +268,8 @@ def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
     enough, connect. rows: row, shingles."""
     shared = shared_cells(nodes.select(F.col("row").alias("node"), F.explode("cells").alias("cell")))
     wanted = shared.select("node").distinct().select(unplaced(F.col("node")).alias("row"))
-    sets = materialize(rows.select("row", "shingles").join(wanted, "row").select(F.col("row").alias("node"), "shingles"), "shingle-sets")
+    # By a merge join at every size: the wanted rows are a share of all, so past small tables they can't be broadcast.
+    sets = materialize(rows.select("row", "shingles").join(wanted.hint("merge"), "row").select(F.col("row").alias("node"), "shingles"), "shingle-sets")
 
     def star(pairs: DataFrame) -> DataFrame:
         side = lambda end, name: sets.select(unplaced(F.col("node")).alias(end), F.col("shingles").alias(name))
