@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, multiset_hash, packing, pii, quality, simhash, substrings, token_store
+from . import decontaminate, kdtree, licenses, lines, multiset_hash, packing, pii, quality, simhash, spelling, substrings, token_store, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def _words(column: str) -> str:
     """SQL for the words of a text, by the contract's pattern."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_store": op9_token_store,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_nearest_vectors": op12_nearest_vectors,
+    "op13_centroids": op13_centroids,
 }
 #: The other operators rest on hashes, tokenizers or models that SQL lacks; they are tested otherwise.
 ORACLE_SQL = {
