@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.functions.order import numbered
+
 # What a question is about, the first that matches.
 TOPICS = [
     ("flood-hazard", "flood|inundation|surge|hurricane|storm"), ("emergency-management", "evacuation|shelter|emergency|preparedness"),
@@ -55,12 +57,14 @@ def replace_document(index: DataFrame, new: DataFrame, document: str, key: str)
 
 def append_report(log: DataFrame, new: DataFrame, at: Column, key: str = "id", k: int = 100) -> DataFrame:
     """The k newest rows of a log with new ones put before it; a new row's id is made of
-    the time (a timestamp) and, within one time, its number."""
-    stamped = new.withColumn("created_at", at)
-    by = Window.partitionBy("created_at").orderBy("question")
-    nth = F.row_number().over(by) - 1
+    the time (a timestamp) and, within one time, its number by question."""
+    placed = numbered(new.withColumn("created_at", at), ["created_at", "question"], "_n")
+    begun = placed.groupBy(F.col("created_at").alias("_at")).agg(F.min("_n").alias("_first"))
+    stamped = placed.join(begun, F.col("created_at").eqNullSafe(F.col("_at")))
+    nth = F.col("_n") - F.col("_first")
     made = F.concat(F.lit("report_"), F.unix_millis(F.to_timestamp("created_at")).cast("string"), F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""))
-    return newest(stamped.withColumn(key, made).unionByName(log, allowMissingColumns=True), k, F.col("created_at").desc(), F.col(key).desc())
+    stamped = stamped.withColumn(key, made).drop("_n", "_at", "_first")
+    return newest(stamped.unionByName(log, allowMissingColumns=True), k, F.col("created_at").desc(), F.col(key).desc())
 
 
 def reset(table: DataFrame) -> DataFrame:
@@ -83,10 +87,23 @@ def newest(reports: DataFrame, k: int = 100, *order: Column) -> DataFrame:
     return reports.orderBy(*order).limit(k)
 
 
-def status(manifest: DataFrame, index: DataFrame) -> DataFrame:
-    """One row: documents, chunks, vectors, last_ingested_at, ready."""
+# What a status notes.
+SOURCE_FILES, UPLOADED_FILES, NOT_INGESTED = " source PDFs available in attached_assets/", " uploaded PDFs", 'Documents available but not yet ingested. Click "Ingest Documents" to start.'
+
+
+def status(manifest: DataFrame, index: DataFrame, sources: DataFrame | None = None, uploads: DataFrame | None = None) -> DataFrame:
+    """One row: documents, chunks, vectors, last_ingested_at, ready; with tables of files,
+    notes too: how many there are of either kind, and whether none is taken in yet."""
     one = manifest.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.max("ingested_at").alias("last_ingested_at"))
-    return one.crossJoin(index.agg(F.count("*").alias("vectors"))).withColumn("ready", F.col("vectors") > 0)
+    row = one.crossJoin(index.agg(F.count("*").alias("vectors"))).withColumn("ready", F.col("vectors") > 0)
+    if sources is None and uploads is None:
+        return row
+    count = lambda df, name: df.agg(F.count("*").alias(name)) if df is not None else index.sparkSession.range(1).select(F.lit(0).cast("long").alias(name))
+    row = row.crossJoin(count(sources, "_sources")).crossJoin(count(uploads, "_uploads"))
+    counted = lambda name, said: F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(said)))
+    waiting = F.when(~F.col("ready") & (F.col("_sources") + F.col("_uploads") > 0), NOT_INGESTED)
+    notes = F.array_compact(F.array(counted("_sources", SOURCE_FILES), counted("_uploads", UPLOADED_FILES), waiting))
+    return row.withColumn("notes", notes).drop("_sources", "_uploads")
 
 
 def preview(chunks: DataFrame, document: str | None = None, key: str = "document_id", most: int = 500) -> DataFrame:

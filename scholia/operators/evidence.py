@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions.calls import client, timed
+
 DIRECT, PARTIAL = 0.025, 0.015
 # Texts that go with an answer.
 NO_ANSWER = "I do not have sufficient evidence in the ingested documents to answer this question. Please ingest relevant documents or refine your query."
@@ -56,20 +59,24 @@ def extractive(prompt: str) -> str:
     return body.split(". ")[0].strip()[:300] + " [1]"
 
 
-def answer(prompts_of: DataFrame, generate: Callable[[str], str] = extractive) -> DataFrame:
-    """query_id, answer (null where generating failed), error. generate is called in tasks."""
+EMPTY = "the model gave no text"
+#: Seconds that a call may take, and calls at a time.
+SECONDS, AT_ONCE = 180.0, 4
+
+
+def answer(
+    prompts_of: DataFrame, generate: Callable[[str], str] = extractive, connect: Callable[[], Callable[[str], str]] | None = None, seconds: float = SECONDS, at_once: int = AT_ONCE
+) -> DataFrame:
+    """query_id, answer (null where generating failed), error. generate is called in tasks,
+    `at_once` calls at a time; one that takes longer than `seconds`, or gives no text,
+    has failed. connect: makes the function, once a worker."""
+    own = uuid.uuid4().hex
 
     def run(frames):
+        model = client(own, connect) if connect else generate
         for f in frames:
-            out, errors = [], []
-            for p in f.prompt:
-                try:
-                    out.append(generate(p))
-                    errors.append(None)
-                except Exception as e:  # a failed call is an answer without evidence
-                    out.append(None)
-                    errors.append(str(e))
-            yield f[["query_id"]].assign(answer=out, error=errors)
+            found = [(None, EMPTY) if error is None and not (text or "").strip() else (text, error) for text, error in timed(model, f.prompt.tolist(), seconds, at_once)]
+            yield f[["query_id"]].assign(answer=[t for t, _ in found], error=[e for _, e in found])
 
     return prompts_of.mapInPandas(run, f"query_id {dict(prompts_of.dtypes)['query_id']}, answer string, error string")
 

@@ -275,17 +275,27 @@ counts AS (SELECT doc_id, count(*) AS c FROM usable GROUP BY ALL),
 rows AS (SELECT f.doc_id, n_chars < 200 AS bad, coalesce(c, 0) AS c, coalesce(flags, []) AS flags, {_NOTES} AS notes FROM files f LEFT JOIN cleaned USING (doc_id) LEFT JOIN counts USING (doc_id)),
 report AS (SELECT *, concat('file', doc_id, '.pdf') AS filename, CASE WHEN bad THEN [] ELSE list_filter([CASE WHEN len(flags) > 0 THEN concat('file', doc_id, '.pdf: Cleaning applied: ', array_to_string(flags, ', ')) END,
   CASE WHEN len(notes) > 0 THEN concat('file', doc_id, '.pdf: Quality: ', array_to_string(notes, ', ')) END, CASE WHEN c = 0 THEN concat('file', doc_id, '.pdf: No usable chunks extracted from document') END], lambda w: w IS NOT NULL) END AS warnings FROM rows)"""
+# The second of two runs, which the English documents with chunks were there before.
+_AGAIN = _INGEST + ", again AS (SELECT report.*, lang = 'en' AND c > 0 AS known FROM report JOIN documents USING (doc_id))"
 _LETTERS = [f"length(l) - length(replace(l, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz"]
 _VECTOR = "list_transform(counts, lambda n: CASE WHEN list_sum(list_transform(counts, lambda m: m * m)) = 0 THEN 0 ELSE n / sqrt(list_sum(list_transform(counts, lambda m: m * m))) END)"
 _DAY = "CAST(DATE '2026-01-01' AS VARCHAR)"
 
 ORACLE_SQL = {
     "ingest_files": _INGEST + " SELECT CAST(doc_id AS VARCHAR) AS document_id, filename, CAST(CASE WHEN bad THEN 0 ELSE 2 END AS BIGINT) AS page_count, CAST(c AS BIGINT) AS chunk_count, CASE WHEN bad THEN 'error' ELSE 'ingested' END AS status, CASE WHEN bad THEN 'PDF parse error: no pages' END AS error, array_to_string(flags, ',') AS flags, array_to_string(warnings, '|') AS warnings FROM report",
-    "ingest_index": _INGEST + f" SELECT chunk_id, CAST(doc_id AS VARCHAR) AS document_id, concat('file', doc_id, '.pdf') AS source_file, page_start, page_end, md5(said) AS text_md5, round(list_sum({_VECTOR}), 6) AS vector_sum FROM (SELECT *, [{', '.join(_LETTERS)}] AS counts FROM (SELECT *, lower(said) AS l FROM usable))",
+    "ingest_index": _INGEST + f" SELECT chunk_id, CAST(doc_id AS VARCHAR) AS document_id, concat('file', doc_id, '.pdf') AS source_file, page_start, page_end, md5(said) AS text_md5, round(list_sum({_VECTOR}), 6) AS vector_sum, row_number() OVER (ORDER BY concat('file', doc_id, '.pdf'), length(chunk_id), chunk_id) - 1 AS pos FROM (SELECT *, [{', '.join(_LETTERS)}] AS counts FROM (SELECT *, lower(said) AS l FROM usable))",
     "ingest_result": _INGEST + " SELECT (count(*) FILTER (WHERE bad) = 0 OR count(*) FILTER (WHERE c > 0) > 0) AS success, count(*) FILTER (WHERE c > 0) AS documents, CAST(sum(c) AS BIGINT) AS chunks, CAST(sum(c) AS BIGINT) AS vectors, count(*) FILTER (WHERE bad) AS n_errors, CAST(sum(len(warnings)) AS BIGINT) AS n_warnings, count(*) AS n_files FROM report",
+    "ingest_again_result": _AGAIN + " SELECT count(*) FILTER (WHERE c > 0) > 0 OR count(*) FILTER (WHERE bad) = 0 AS success, count(*) FILTER (WHERE c > 0) AS documents, CAST(sum(c) AS BIGINT) AS chunks, CAST(sum(CASE WHEN known THEN 0 ELSE c END) AS BIGINT) AS vectors, count(*) FILTER (WHERE bad) AS n_errors, CAST(sum(CASE WHEN known THEN 0 ELSE len(warnings) END) AS BIGINT) AS n_warnings, count(*) AS n_files FROM again",
+    "ingest_again_manifest": _AGAIN + " SELECT CAST(doc_id AS VARCHAR) AS document_id, filename, 2 AS page_count, CAST(c AS INTEGER) AS chunk_count, CASE WHEN known THEN '2026-01-01' ELSE '2026-01-02' END AS day, 'ingested' AS status, array_to_string(flags, ',') AS flags FROM again WHERE NOT bad",
+    "ingest_again_index": _AGAIN + " SELECT row_number() OVER (ORDER BY NOT known, filename, length(chunk_id), chunk_id) - 1 AS pos, chunk_id, md5(said) AS text_md5 FROM usable JOIN again USING (doc_id)",
+    "ingest_states": _AGAIN + " SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN bad THEN 'failed' WHEN known THEN 'known' ELSE 'taken' END AS state, CASE WHEN bad THEN 0 ELSE 2 END AS page_count, CAST(c AS INTEGER) AS chunk_count, CASE WHEN bad OR known THEN 0 ELSE len(warnings) END AS n_warnings FROM again",
+    "store_replace": "WITH low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), marks AS (SELECT doc_id, md5(text) AS mark FROM documents) SELECT doc_id, mark FROM marks WHERE doc_id NOT IN (SELECT doc_id FROM low) UNION ALL SELECT doc_id, concat('new ', mark) FROM marks WHERE doc_id IN (SELECT doc_id FROM low) AND left(mark, 1) >= '5'",
+    "status_notes": """SELECT CAST(0 AS BIGINT) AS documents, CAST(0 AS BIGINT) AS vectors, false AS ready, concat_ws('|', concat((SELECT count(*) FROM pages), ' source PDFs available in attached_assets/'), concat((SELECT count(*) FROM pages WHERE url LIKE '%1%'), ' uploaded PDFs'),
+  'Documents available but not yet ingested. Click "Ingest Documents" to start.') AS notes""",
+    "artifact_examples": f"WITH {_NOISED} SELECT doc_id, " + ", ".join(f"array_to_string(list_transform(regexp_extract_all(t, '{_re2(p)}')[1:3], lambda e: left({_strip('e')}, 80)), '|') AS {k}" for k, p in _ARTIFACTS.items()) + " FROM noised",
     "embed_documents": f"SELECT doc_id, array_to_string(list_transform({_VECTOR}, lambda v: CAST(CAST(floor(v * 10000 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS vector FROM (SELECT doc_id, [{', '.join(_LETTERS)}] AS counts FROM (SELECT doc_id, lower(text) AS l FROM documents))",
     "document_list": "SELECT regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g') AS document_id, url AS filename FROM pages WHERE contains(lower(url), '1')",
-    "reset_index": "SELECT vec_id, label FROM embeddings WHERE false",
+    "reset_index": "SELECT 'raw' AS table, state, (SELECT count(*) FROM documents) AS n FROM (VALUES ('before'), ('after')) s(state) UNION ALL SELECT 'vectors', 'before', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'vectors', 'after', 0",
     "report_append": f"""WITH said AS (SELECT role, concat_ws(':', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), md5(text)) AS question FROM conversations), fresh AS (SELECT question, row_number() OVER (ORDER BY question) - 1 AS n FROM said WHERE role <> 'user'),
 log AS (SELECT question, {_DAY} AS day, true AS stamped, concat('report_1767225600000', CASE WHEN n > 0 THEN concat('_', n) ELSE '' END) AS id FROM fresh UNION ALL SELECT question, '2025-01-01', false, concat('old_', question) FROM said WHERE role = 'user')
 SELECT question, day, stamped FROM log ORDER BY day DESC, id DESC LIMIT 100""",

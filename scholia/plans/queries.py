@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions.text import tokens
 from scholia.operators import artifacts, catalog, chunking, clean, embedding, evidence, ingest, retrieval
+from scholia.sources import Change, Store, shared_dir
 
 from .oracle import ORACLE_SQL, noised
 
@@ -180,6 +183,14 @@ def artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.scan(_noised(spark, sf_dir)).select("doc_id", *artifacts.PATTERNS)
 
 
+@query
+def artifact_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first places of each pattern in each document."""
+    rows = _noised(spark, sf_dir)
+    shown = [F.array_join(artifacts.examples(F.col("text"), p), "|").alias(k) for k, p in artifacts.PATTERNS.items()]
+    return rows.select("doc_id", *shown)
+
+
 @query
 def artifact_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = artifacts.scan(_noised(spark, sf_dir))
@@ -223,17 +234,30 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files of two pages; those of less than 200 characters can't be read."""
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.expr(noised()).alias("t"), "n_chars")
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(noised()).alias("t"), "n_chars")
     half = F.floor(F.length("t") / 2).cast("int")
     pages = F.when(F.col("n_chars") >= 200, F.array(F.left("t", half), F.substring("t", half + 1, F.length("t"))))
-    return rows.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), pages.alias("page_texts"), F.lit("no pages").alias("error"))
+    return rows.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "lang", pages.alias("page_texts"), F.lit("no pages").alias("error"))
+
+
+def _at(day: str) -> Column:
+    return F.lit(day).cast("timestamp")
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Ingest:
     """Everything taken in anew."""
-    manifest = spark.createDataFrame([], "document_id string, filename string, page_count int, chunk_count int, ingested_at timestamp, status string, cleaning_flags array<string>")
-    index = spark.createDataFrame([], "chunk_id string, document_id string, source_file string, page_start int, page_end int, section_path string, text string, cleaning_flags array<string>, embedding array<double>, pos long")
-    return ingest.ingest(_pages(spark, sf_dir), manifest, index, F.lit("2026-01-01").cast("timestamp"), rebuild=True)
+    return ingest.ingest(_pages(spark, sf_dir), ingest.no_tables(spark), _at("2026-01-01"), rebuild=True)
+
+
+def _store(spark: SparkSession, key: str = "document_id") -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", key)
+
+
+def _ingested_twice(spark: SparkSession, sf_dir: str) -> ingest.Ingest:
+    """The English documents taken in and saved, then all of them."""
+    store, pages = _store(spark), _pages(spark, sf_dir)
+    ingest.save(store, ingest.ingest(pages.where("lang = 'en'"), ingest.load(store), _at("2026-01-01")))
+    return ingest.ingest(pages, ingest.load(store), _at("2026-01-02"))
 
 
 @query
@@ -244,15 +268,49 @@ def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index after it: each chunk with its vector, of which the sum stands here."""
-    rows = _ingested(spark, sf_dir).index
-    return rows.select("chunk_id", "document_id", "source_file", "page_start", "page_end", F.md5("text").alias("text_md5"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"))
+    """The index after it: each chunk with its place and vector, of which the sum stands here."""
+    rows = _ingested(spark, sf_dir).tables.index
+    return rows.select("pos", "chunk_id", "document_id", "source_file", "page_start", "page_end", F.md5("text").alias("text_md5"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("vector_sum"))
 
 
 @query
 def ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ingested(spark, sf_dir).result
-    return rows.select("success", "documents", "chunks", "vectors", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"), F.size("cleanup").cast("long").alias("n_files"))
+    return _ingested(spark, sf_dir).result.drop("error")
+
+
+@query
+def ingest_again_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the second of two runs, the first of which took in the English documents."""
+    return _ingested_twice(spark, sf_dir).result.drop("error")
+
+
+@query
+def ingest_again_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ingested_twice(spark, sf_dir).tables.manifest
+    return rows.select("document_id", "filename", "page_count", "chunk_count", F.to_date("ingested_at").cast("string").alias("day"), "status", F.array_join("cleaning_flags", ",").alias("flags"))
+
+
+@query
+def ingest_again_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingested_twice(spark, sf_dir).tables.index.select("pos", "chunk_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def ingest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file of the second run."""
+    return _ingested_twice(spark, sf_dir).files.select("document_id", "state", "page_count", "chunk_count", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+@query
+def store_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all documents, in which those of low quality are replaced, a third of them by nothing."""
+    store, docs = _store(spark, "doc_id"), _read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("mark"))
+    store.commit(Change("marks", docs), applied=("load", 0))
+    low = _read(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    new = docs.join(low, "doc_id", "left_semi").where("left(mark, 1) >= '5'").select("doc_id", F.concat(F.lit("new "), "mark").alias("mark"))
+    for _ in range(2):  # the second time it is a replay
+        store.commit(Change("marks", new, low), applied=("load", 1))
+    return store.read("marks")
 
 
 @query
@@ -269,7 +327,16 @@ def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.reset(_read(spark, sf_dir, "embeddings").select("vec_id", "label"))
+    """A store whose index is reset: what its tables hold before and after."""
+    store = _store(spark, "vec_id")
+    store.commit(Change("vectors", _read(spark, sf_dir, "embeddings")), Change("raw", _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")))
+    store.reset("vectors")
+    rows = None
+    for table in ("raw", "vectors"):
+        for state, version in (("before", 0), ("after", 1)):
+            one = store.read(table, version=version).agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), F.lit(state).alias("state"), "n")
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @query
@@ -319,6 +386,14 @@ def catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.status(manifest.crossJoin(last), _read(spark, sf_dir, "embeddings"))
 
 
+@query
+def status_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status before anything is taken in, the pages being the files that wait."""
+    tables = ingest.no_tables(spark)
+    row = catalog.status(tables.manifest, tables.index, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "pages").where("url like '%1%'"))
+    return row.select("documents", "vectors", "ready", F.array_join("notes", "|").alias("notes"))
+
+
 @query
 def chunk_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.preview(_read(spark, sf_dir, "documents"), "src1", "source")

@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.operators.catalog import document_id
+
 MOST_BYTES = 50 << 20
 SCHEMAS = {
     "documents": "document_id string, filename string, file_path string, page_count int, chunk_count int, ingested_at timestamp, status string, cleaning_flags array<string>",
-    "pages": "document_id string, filename string, page_texts array<string>, full_text string",
+    "raw": "document_id string, filename string, page_texts array<string>, full_text string",
+    "clean": "document_id string, filename string, cleaned_text string, cleaning_flags array<string>, quality_notes array<string>",
     "chunks": "chunk_id string, document_id string, source_file string, page_start int, page_end int, section_path string, text string, cleaning_flags array<string>, quality_notes array<string>",
-    "vectors": "chunk_id string, document_id string, source_file string, page_start int, page_end int, section_path string, text string, cleaning_flags array<string>, embedding array<float>, pos long",
+    "vectors": "chunk_id string, document_id string, source_file string, page_start int, page_end int, section_path string, text string, cleaning_flags array<string>, embedding array<double>, pos long",
     "reports": "id string, question string, candidate_answer string, candidate_confidence string, evidence_quality string, classification string, notes string, created_at timestamp",
 }
 
@@ -30,8 +33,9 @@ def upload_gate(path: Column, length: Column, kind: Column | None = None) -> Col
 
 
 def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """Page texts of binary files by `extract`, which gets a file's bytes in a task. A
-    file that can't be read has null page texts, and error says why."""
+    """Page texts of binary files by `extract`, which gets a file's bytes in a task:
+    document_id, filename, file_path, page_texts, error, full_text. A file that can't
+    be read has null page texts, and error says why."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -43,10 +47,11 @@ def read_pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataF
                 except Exception as e:  # any file may be damaged
                     pages.append(None)
                     errors.append(str(e))
-            yield pd.DataFrame({"filename": f.path.str.rsplit("/", n=1).str[-1], "page_texts": pages, "error": errors})
+            yield pd.DataFrame({"file_path": f.path, "page_texts": pages, "error": errors})
 
-    rows = files.select("path", "content").mapInPandas(run, "filename string, page_texts array<string>, error string")
-    return rows.withColumn("full_text", F.concat(F.lit("\n\n"), F.array_join("page_texts", "\n\n")))
+    rows = files.select("path", "content").mapInPandas(run, "file_path string, page_texts array<string>, error string")
+    filename = F.element_at(F.split("file_path", "/"), -1)
+    return rows.select(document_id(filename).alias("document_id"), filename.alias("filename"), "file_path", "page_texts", "error", F.concat(F.lit("\n\n"), F.array_join("page_texts", "\n\n")).alias("full_text"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -58,19 +63,5 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def write_by_document(df: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
-    """Documents dealt to folders (bucket=0, ...) by a hash of their key, so that the
-    number of folders is bounded and a document is read without most of the others."""
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def read_document(spark: SparkSession, path: str, value: str | int, key: str = "document_id", buckets: int = 256) -> DataFrame:
-    """The rows of one document, from its folder only."""
-    rows = spark.read.parquet(path)
-    bucket = F.pmod(F.xxhash64(F.lit(value).cast(dict(rows.dtypes)[key])), F.lit(buckets)).cast("int")
-    return rows.where((F.col("bucket") == bucket) & (F.col(key) == value)).drop("bucket")
-
-
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)

@@ -153,12 +153,3 @@ def test_report_percent(spark):
     raw = spark.createDataFrame([(1, "eco- nomics eco- nomics")], "doc_id long, text string")
     rows = {r.type: r for r in artifacts.corpus_report(raw, clean.clean(raw), "doc_id").collect()}
     assert (rows["hyphen_trailing_space"].raw, rows["hyphen_trailing_space"].removed, rows[None].percent) == (2, 2, 100)
-
-
-def test_stream(spark, tmp_path):
-    from scholia.streaming import ingest_stream
-
-    text = " ".join(f"Sentence number {i} says something of its own." for i in range(30))
-    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
-    ingest_stream(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
