@@ -16,7 +16,7 @@ from scholia.functions.order import numbered
 from scholia.operators import catalog, chunking, clean
 from scholia.operators.embedding import Embedder, embed, letter_shares
 from scholia.sources.files import SCHEMAS
-from scholia.sources.store import Change, Store
+from scholia.sources.store import Change, Staging, Store
 
 # What an ingest reports.
 NO_FILES = "No PDF files found. Place PDFs in attached_assets/ or upload via the UI."
@@ -43,12 +43,7 @@ class Ingest(NamedTuple):
     embedded: DataFrame
     files: DataFrame
     result: DataFrame
-    cached: list[DataFrame]
-
-    def release(self) -> None:
-        """Give up what is kept in memory, once the tables are written or read."""
-        for df in self.cached:
-            df.unpersist()
+    staging: Staging
 
 
 def no_tables(spark: SparkSession) -> Tables:
@@ -139,30 +134,32 @@ def ingest(pages: DataFrame, before: Tables, at: Column, embedder: Embedder = le
     Files that can't be read are in the report, but not in the manifest. New chunks are
     put in the index in the place of their earlier versions or else at its end, in the
     order of files and chunks; a document that is taken in anew leaves no chunk of its
-    earlier version. calls: how the embedder is called (see embed).
+    earlier version. Cleaned texts, chunks and vectors are made once and staged.
+    calls: how the embedder is called (see embed).
     """
     if rebuild:
         before = Tables(*[catalog.reset(t) for t in before])
     rows = pages.withColumn("unreadable", F.col("page_texts").isNull())
     rows = rows if "file_path" in pages.columns else rows.withColumn("file_path", F.col("filename"))
     rows = rows if "error" in pages.columns else rows.withColumn("error", F.lit(None).cast("string"))
-    listed = ledger(rows.select("document_id", "filename", "file_path", "unreadable", "error"), before, rebuild or upload).persist()
+    staging = Staging(pages.sparkSession)
+    listed = staging.put(ledger(rows.select("document_id", "filename", "file_path", "unreadable", "error"), before, rebuild or upload), "ledger")
     taken = listed.where("state = 'taken'").select("document_id", "file_path").distinct()
     # A file that is listed twice is read once.
     docs = rows.join(taken, ["document_id", "file_path"]).dropDuplicates(["document_id"])
-    docs = read_and_cleaned(docs.select("document_id", "filename", "file_path", "page_texts")).persist()
-    made = chunks_of(docs).persist()
-    files = file_report(listed, docs, made, prefix=not upload).persist()
+    docs = staging.put(read_and_cleaned(docs.select("document_id", "filename", "file_path", "page_texts")), "cleaned")
+    made = staging.put(chunks_of(docs), "chunks")
+    files = staging.put(file_report(listed, docs, made, prefix=not upload), "files")
     ids = taken.select("document_id")
     chunks = before.chunks.join(ids, "document_id", "left_anti").select(*made.columns).unionByName(made)
     present = files.where("status = 'ingested'").select("document_id").distinct()
     # Vectors of a document that is taken in anew don't count: its texts may have changed.
     valid = before.index.join(ids, "document_id", "left_anti")
     fresh = catalog.only_new(chunks.join(present, "document_id", "left_semi"), valid, "chunk_id")
-    vectors = embed(fresh.drop("quality_notes"), embedder, **calls).persist()
+    vectors = staging.put(embed(fresh.drop("quality_notes"), embedder, **calls), "vectors")
     order = files.groupBy("document_id").agg(F.min("file_path").alias("_path"))
     good = vectors.where("embedding is not null").drop("embedding_error").join(order, "document_id").withColumn("_size", F.length("chunk_id"))
-    placed = numbered(good, ["_path", "document_id", "_size", "chunk_id"]).drop("_path", "_size").persist()
+    placed = staging.put(numbered(good, ["_path", "document_id", "_size", "chunk_id"]).drop("_path", "_size"), "placed")
     # What a shorter new version lacks goes; what is embedded anew keeps its place.
     stale = before.index.join(ids, "document_id", "left_semi").select("chunk_id").join(placed.select("chunk_id"), "chunk_id", "left_anti")
     after = catalog.upsert(before.index.join(stale, "chunk_id", "left_anti"), placed.select(*before.index.columns), "chunk_id")
@@ -171,8 +168,7 @@ def ingest(pages: DataFrame, before: Tables, at: Column, embedder: Embedder = le
     raw = docs.select("document_id", "filename", "page_texts", "full_text")
     cleaned = docs.select("document_id", "filename", "cleaned_text", "cleaning_flags", "quality_notes")
     changed = ids.unionByName(placed.select("document_id")).distinct()
-    cached = [listed, docs, made, files, vectors, placed]
-    return Ingest(Tables(manifest, chunks, after), raw, cleaned, ids, changed, files, ingest_result(files, vectors, upload), cached)
+    return Ingest(Tables(manifest, chunks, after), raw, cleaned, ids, changed, files, ingest_result(files, vectors, upload), staging)
 
 
 def load(store: Store) -> Tables:
@@ -181,14 +177,15 @@ def load(store: Store) -> Tables:
 
 
 def save(store: Store, done: Ingest, rebuild: bool = False, applied: tuple[str, int] | None = None) -> int:
-    """Write what an ingest changed, all tables in one step; the store's new version."""
+    """Write what an ingest changed, all tables in one step; the store's new version. What
+    was staged for it is deleted, so its tables are to be read from the store from now on."""
     gone = None if rebuild else done.taken
     of = lambda df, ids: df if rebuild else df.join(ids, "document_id", "left_semi").select(*df.columns)
     version = store.commit(
         Change("raw", done.raw, done.taken), Change("clean", done.cleaned, done.taken), Change("chunks", of(done.tables.chunks, done.taken), gone),
         Change("documents", of(done.tables.manifest, done.taken), gone), Change("vectors", of(done.tables.index, done.embedded), None if rebuild else done.embedded), applied=applied,
     )
-    done.release()
+    done.staging.clear()
     return version
 
 

@@ -33,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+class Staging:
+    """Results that are needed several times, each written once to a folder of its own in the
+    shared one: their lineage ends there, and they survive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/staging-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Change(NamedTuple):
     """New rows of a table. gone: the documents (by the key column) whose earlier rows go,
     whether or not there are new ones; without it the rows take the place of the whole
