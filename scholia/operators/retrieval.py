@@ -9,10 +9,13 @@ digits, so that the order of summing doesn't decide.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,50 +96,134 @@ def cosine(a: Column, b: Column, norms: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / F.nullif(norms, F.lit(0.0)))
 
 
-def dense(vectors: DataFrame, asked: DataFrame, k: int = LIST) -> DataFrame:
-    """query_id, pos, score, rank by cosine; vectors (pos, embedding), asked (query_id,
-    vector). Every vector is scored for every question."""
-    held = vectors.withColumns({"embedding": F.col("embedding").cast("array<double>"), "own": norm(F.col("embedding"))})
-    sought = asked.withColumns({"vector": F.col("vector").cast("array<double>"), "other": norm(F.col("vector"))})
-    score = cosine(F.col("vector"), F.col("embedding"), F.col("own") * F.col("other"))
-    return top(held.crossJoin(sent(sought, 8 * F.size("vector"))).select("query_id", "pos", score.alias("score")), k)
+def blocks_of(rows: DataFrame, key: str, size: Column) -> list[DataFrame]:
+    """The table in parts of about SENT bytes, its rows taking `size` each. A part at a time
+    goes to the tasks, by way of the driver as with any broadcast."""
+    whole = rows.agg(F.sum(size + 64).alias("bytes"), F.count("*").alias("n")).first()
+    n = max(1, min(whole["n"], math.ceil((whole["bytes"] or 0) / max(SENT, 1))))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+#: Questions and vectors whose products are in memory at once.
+TILE = 1024
+
+
+class Best:
+    """The k best (score, pos) of each question so far; equal scores go by pos."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.score, self.pos = k, np.full((questions, 0), 0.0), np.zeros((questions, 0), np.int64)
+
+    def add(self, rows: slice, score: np.ndarray, pos: np.ndarray) -> None:
+        """Scores of the questions `rows` with records at pos."""
+        if self.score.shape[1] < self.k:
+            more = self.k - self.score.shape[1]
+            self.score = np.pad(self.score, ((0, 0), (0, more)), constant_values=-np.inf)
+            self.pos = np.pad(self.pos, ((0, 0), (0, more)), constant_values=np.iinfo(np.int64).max)
+        score = np.concatenate([self.score[rows], score], axis=1)
+        pos = np.concatenate([self.pos[rows], np.broadcast_to(pos, (len(score), len(pos)))], axis=1)
+        order = np.lexsort((pos, -np.round(score, DIGITS)), axis=1)[:, : self.k]
+        self.score[rows], self.pos[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(pos, order, 1)
+
+
+def _directions(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size, which vectors have it and these scaled to length one; those without length are zero."""
+    out, sizes = {}, np.array([-1 if v is None else len(v) for v in vectors])
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == d)
+        m = np.array([vectors[i] for i in at], np.float64)
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        out[d] = at, m / np.where(n == 0, 1, n)
+    return out
+
+
+def _nearest(asked: Broadcast, k: int):
+    """The k best of a task's vectors for each question, by products of blocks of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = asked.value
+        sought, best = _directions(vectors), Best(len(ids), k)
+        for batch in batches:
+            for lo in range(0, len(batch), TILE):
+                part = batch.slice(lo, TILE)
+                held, pos = _directions(part.column("embedding").to_pylist()), part.column("pos").to_numpy(zero_copy_only=False)
+                for a in range(0, len(ids), TILE):
+                    score = np.zeros((len(ids[a : a + TILE]), len(part)))
+                    for d in sought.keys() & held.keys():
+                        at, q = sought[d]
+                        mine = (at >= a) & (at < a + TILE)
+                        score[np.ix_(at[mine] - a, held[d][0])] = q[mine] @ held[d][1].T
+                    best.add(slice(a, a + len(score)), score, pos)
+        found = np.isfinite(best.score)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.nonzero(found)[0])), pa.array(best.pos[found]), pa.array(best.score[found])], names=["query_id", "pos", "score"])
 
+    return run
 
-def _matches(asked: list[tuple], loose: bool):
-    """For each record, the questions that it holds as a whole, or enough words of: one
-    pass over its text, whatever the number of questions."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-        import numpy as np
 
-        found = ahocorasick.Automaton()
-        said: dict[str, tuple[list[int], dict[int, int]]] = {}
+def dense(vectors: DataFrame, asked: DataFrame, k: int = LIST) -> DataFrame:
+    """query_id, pos, score, rank by cosine; vectors (pos, embedding), asked (query_id,
+    vector). Every vector is scored for every question; a vector of another size, a null
+    one or one without length scores 0. Blocks of questions go to the tasks, which
+    multiply them with blocks of vectors and pass on their k best."""
+    spark, kinds = vectors.sparkSession, (dict(asked.dtypes)["query_id"], dict(vectors.dtypes)["pos"])
+    held, found = vectors.select(F.col("pos").cast("long").alias("pos"), "embedding"), None
+    for block in blocks_of(asked.select("query_id", "vector"), "query_id", 8 * F.greatest(F.size("vector"), F.lit(0))):
+        rows = block.toArrow().combine_chunks()
+        ids = rows.column("query_id").combine_chunks() if len(rows) else pa.array([], pa.int64())
+        sent_block = spark.sparkContext.broadcast((ids, rows.column("vector").to_pylist()))
+        best = held.mapInArrow(_nearest(sent_block, k), f"query_id {kinds[0]}, pos long, score double")
+        found = best if found is None else found.unionByName(best)
+    return top(found.withColumn("pos", F.col("pos").cast(kinds[1])), k)
+
+
+_automata: dict[str, tuple] = {}
+
+
+def _automaton(name: str, asked: list[tuple], loose: bool) -> tuple:
+    """The words and questions as an automaton, and of each question how many of its words
+    are enough; a worker makes it once. Each key says which questions it is, and in
+    which it is a word how often."""
+    import ahocorasick
+
+    if name not in _automata:
+        _automata.clear()
+        found, said = ahocorasick.Automaton(), {}
         for i, (_, q, words) in enumerate(asked):
             if q:
                 said.setdefault(q, ([], {}))[0].append(i)
             for w in words if loose else ():
                 times = said.setdefault(w, ([], {}))[1]
                 times[i] = times.get(i, 0) + 1
-        for key, (whole, times) in said.items():
-            found.add_word(key, (np.array(whole, int), np.array(list(times), int), np.array(list(times.values()), float)))
+        for n, (key, (whole, times)) in enumerate(said.items()):
+            found.add_word(key, (n, whole, list(times.items())))
         found.make_automaton()
-        ids = [a[0] for a in asked]
-        n = np.array([len(a[2]) if loose else 0 for a in asked])
-        least = np.array([math.ceil(0.6 * x) if loose else 1 for x in n])
-        empty = np.array([a[1] == "" for a in asked], bool)
+        counts = [len(a[2]) if loose else 0 for a in asked]
+        always = [i for i, a in enumerate(asked) if a[1] == "" or (loose and not a[2])]
+        _automata[name] = found if said else None, counts, [math.ceil(0.6 * n) for n in counts], always
+    return _automata[name]
+
+
+def _matches(asked: Broadcast, loose: bool):
+    """For each record, the questions that it holds as a whole, or enough words of: one
+    pass over its text, and a count for each question that any of it belongs to."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, questions = asked.value
+        found, counts, least, always = _automaton(name, questions, loose)
         for f in frames:
             out = []
             for pos, text in zip(f.pos, f.t, strict=True):
                 if text is None:
                     continue
-                hits, whole = np.zeros(len(ids)), empty.copy()
-                for own, words, times in {id(v): v for _, v in found.iter(text)}.values() if said else ():
-                    whole[own] = True
-                    hits[words] += times
-                share = np.where(n == 0, np.nan, hits / np.maximum(n, 1))
-                for i in np.flatnonzero(whole | (hits >= least)).tolist():
-                    out.append((ids[i], pos, 1.0 if whole[i] else float(share[i]), bool(whole[i])))
+                hits: dict[int, int] = dict.fromkeys(always, 0)
+                whole = {i for i in always if questions[i][1] == ""}
+                for _, own, words in {v[0]: v for _, v in found.iter(text)}.values() if found else ():
+                    whole.update(own)
+                    for i, n in words:
+                        hits[i] = hits.get(i, 0) + n
+                for i in whole | {i for i, n in hits.items() if loose and n >= least[i]}:
+                    share = hits.get(i, 0) / counts[i] if counts[i] else math.nan
+                    out.append((questions[i][0], pos, 1.0 if i in whole else share, i in whole))
             yield pd.DataFrame(out, columns=["query_id", "pos", "score", "whole"])
 
     return run
@@ -148,34 +235,42 @@ def phrase(records: DataFrame, questions: DataFrame, loose: bool = True) -> Data
     kept, with a score that is not a number. Without `loose`, whole questions only.
 
     Questions go to the tasks in blocks of SENT bytes at most; of a task, each block
-    takes one pass over its texts.
+    takes one pass over its texts. A record costs what its text holds of questions.
     """
     low = F.lower("query")
     words = F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 4)
     asked = questions.select("query_id", low.alias("q"), words.alias("words")).where("q is not null")
-    whole = asked.agg(F.sum(4 * F.octet_length("q") + 64).alias("bytes"), F.count("*").alias("n")).first()
-    blocks = max(1, min(whole["n"], math.ceil((whole["bytes"] or 0) / max(SENT, 1))))
-    kinds = dict(questions.dtypes)["query_id"], dict(records.dtypes)["pos"]
+    spark, kinds = records.sparkSession, (dict(questions.dtypes)["query_id"], dict(records.dtypes)["pos"])
     texts, found = records.select("pos", F.lower("text").alias("t")), None
-    for i in range(blocks):
-        block = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()]
-        rows = texts.mapInPandas(_matches(block, loose), f"query_id {kinds[0]}, pos {kinds[1]}, score double, whole boolean")
+    for block in blocks_of(asked, "query_id", 4 * F.octet_length("q")):
+        sent_block = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in block.collect()]))
+        rows = texts.mapInPandas(_matches(sent_block, loose), f"query_id {kinds[0]}, pos {kinds[1]}, score double, whole boolean")
         found = rows if found is None else found.union(rows)
     return found
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, exact: DataFrame, k: int = FUSED) -> DataFrame:
     """Reciprocal rank fusion: query_id, pos, score, rank and the lists' scores. A list
-    that lacks a record counts it at its own length."""
-    v = vector.select("query_id", "pos", F.col("score").alias("vector_score"), F.col("rank").alias("v"))
-    b = lexical.select("query_id", "pos", F.col("score").alias("bm25_score"), F.col("rank").alias("b"))
-    e = exact.select("query_id", "pos", F.lit(EXACT).alias("e"))
-    sizes = v.groupBy("query_id").agg(F.count("*").alias("nv")).join(b.groupBy("query_id").agg(F.count("*").alias("nb")), "query_id", "full")
-    both = v.join(b, ["query_id", "pos"], "full").join(e, ["query_id", "pos"], "full").join(sizes, "query_id", "left")
-    place = lambda rank, size: 1 / (RRF + F.coalesce(rank, size, F.lit(0)))
-    score = place(F.col("v"), F.col("nv")) + place(F.col("b"), F.col("nb")) + F.coalesce("e", F.lit(0.0))
+    that lacks a record counts it at its own length.
+
+    The lists are rows of one table, put together by one aggregate. Records of the
+    exact list alone score alike, so only the first k of them by pos can be among the
+    best: no question has more than k and the lists' rows in a task, however long its
+    exact list is. The other lists hold LIST records at most.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = vector.select("query_id", "pos", F.col("rank").alias("v"), null("int").alias("b"), F.col("score").alias("vector_score"), null("double").alias("bm25_score"), F.lit(False).alias("e"))
+    rows = rows.unionByName(lexical.select("query_id", "pos", null("int").alias("v"), F.col("rank").alias("b"), null("double").alias("vector_score"), F.col("score").alias("bm25_score"), F.lit(False).alias("e")))
+    rows = rows.unionByName(exact.select("query_id", "pos", null("int").alias("v"), null("int").alias("b"), null("double").alias("vector_score"), null("double").alias("bm25_score"), F.lit(True).alias("e")))
+    both = rows.groupBy("query_id", "pos").agg(F.max("v").alias("v"), F.max("b").alias("b"), F.max("vector_score").alias("vector_score"), F.max("bm25_score").alias("bm25_score"), F.max("e").alias("e"))
+    alone = both.withColumn("alone", F.col("v").isNull() & F.col("b").isNull())
+    by = Window.partitionBy("query_id", "alone").orderBy("pos")
+    few = alone.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= 2 * LIST + k)
+    own = Window.partitionBy("query_id")
+    place = lambda rank: 1 / (RRF + F.coalesce(F.col(rank), F.coalesce(F.max(rank).over(own) + 1, F.lit(0))))
+    score = place("v") + place("b") + F.when(F.col("e"), EXACT).otherwise(0.0)
     came = [F.coalesce("v", F.lit(1 << 30)), F.coalesce("b", F.lit(1 << 30)), F.col("pos")]
-    scored = both.select("query_id", "pos", score.alias("score"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "v", "b")
+    scored = few.select("query_id", "pos", score.alias("score"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "v", "b")
     return top(scored, k, F.round("score", DIGITS).desc(), *came).drop("v", "b")
 
 
