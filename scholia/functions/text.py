@@ -26,10 +26,19 @@ def word_count(text: Column) -> Column:
     return F.size(F.split(text, r"\s+"))
 
 
+def pieces(text: Column) -> Column:
+    """A text in lower case, cut at all that isn't part of a term."""
+    return F.split(F.lower(text), "[^a-z0-9-]+")
+
+
+def is_term(piece: Column) -> Column:
+    """Terms have more than two characters and aren't stop words."""
+    return (F.length(piece) > 2) & ~piece.isin(STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case terms of more than two characters that aren't stop words, in order."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " "), r"\s+")
-    return F.filter(cut, lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS))
+    """The terms of a text, in order."""
+    return F.filter(pieces(text), is_term)
 
 
 #: Elements that a fold works on at once.

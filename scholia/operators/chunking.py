@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from scholia.functions.text import HEAD, TAIL, fold, let, strip, word_count
 
 TARGET, LEAST, MOST, OVERLAP = 2400, 200, 4000, 300
+#: Pages whose lengths are summed at once.
+PAGES = 256
 # What a heading looks like.
 CAPITALS, NUMBERED, TITLE = r"^[A-Z][A-Z\s\-:]{4,}$", r"^\d+(\.\d+)?\s+[A-Z][a-zA-Z\s]{3,}$", r"^[A-Z][a-zA-Z\s\-:,]{4,}$"
 AFFILIATION = rf"{HEAD}(PhD|MD|MPH|DPA|EdD|MS|MA|BA|University|College|Institute|Department){TAIL}"
@@ -91,15 +93,30 @@ def usable(text: Column) -> Column:
     return (F.length(strip(text)) >= LEAST) & (numbered <= 0.5) & (word_count(text) >= 20)
 
 
-def pages(start: Column, length: Column, sizes: Column) -> Column:
-    """(start, end) page of length characters from start, by the pages' lengths: the
-    last page that holds the start, the first that holds the end."""
-    ends = F.aggregate(sizes, F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
-    stop = start + length
-    spans = F.transform(ends, lambda e, i: F.struct((i + 1).alias("page"), (e - F.get(sizes, i)).alias("a"), e.alias("b")))
-    first = F.array_max(F.transform(F.filter(spans, lambda p: (p["a"] <= start) & (start < p["b"])), lambda p: p["page"]))
-    last = F.array_min(F.transform(F.filter(spans, lambda p: (p["a"] <= stop) & (stop <= p["b"])), lambda p: p["page"]))
-    return F.struct(F.coalesce(first, F.lit(1)).alias("start"), F.coalesce(last, F.greatest(F.size(sizes), F.lit(1))).alias("end"))
+def running_sums(sizes: Column) -> Column:
+    """The sums of the first 1, 2, ... numbers. A fold copies what it has at each step, so it
+    goes block by block."""
+    total = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    fold = lambda xs: F.aggregate(xs, F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(total(a) + x)))
+    last = F.greatest(F.ceil(F.size(sizes) / PAGES), F.lit(1)).cast("int") - 1
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(sizes, i * PAGES + 1, PAGES)))
+    before = lambda p: F.concat(F.array(F.lit(0).cast("long")), fold(F.transform(p, total)))
+    return let(parts, lambda p: let(before(p), lambda b: F.flatten(F.transform(p, lambda s, i: F.transform(s, lambda x: x + F.get(b, i))))))
+
+
+def count_below(ends: Column, value: Column, same: bool) -> Column:
+    """How many of the ascending numbers lie below a value, or with `same` at it too, by bisection."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(24, -1, -1)]), lambda s: s <= F.size(ends))
+    below = lambda x: (x <= value) if same else (x < value)
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= F.size(ends)) & below(F.get(ends, n + s - 1)), n + s).otherwise(n))
+
+
+def pages(start: Column, length: Column, ends: Column) -> Column:
+    """(start, end) page of length characters from start, by the sums of the pages' lengths:
+    the page that holds the start, and the first that the end lies in or at the end of."""
+    n = F.size(ends)
+    first, last = count_below(ends, start, True) + 1, count_below(ends, start + length, False) + 1
+    return F.struct(F.when(first <= n, first).otherwise(1).alias("start"), F.when(last <= n, last).otherwise(F.greatest(n, F.lit(1))).alias("end"))
 
 
 def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None = None) -> DataFrame:
@@ -111,8 +128,8 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
     sizes = F.col(page_sizes).cast("array<long>") if page_sizes else F.array().cast("array<long>")
     # The outer form: from the other, a filter on the sections is derived, for which the
     # steps that made the text would be written out again in one expression.
-    split = df.select(key, sizes.alias("_sizes"), F.posexplode_outer(sections(F.coalesce(text, F.lit("")))).alias("_section", "_s")).where("_s is not null")
-    split = split.select(key, "_sizes", "_section", F.col("_s.heading").alias("section_path"), F.col("_s.text").alias("_text"))
+    split = df.select(key, running_sums(F.coalesce(sizes, F.array().cast("array<long>"))).alias("_ends"), F.posexplode_outer(sections(F.coalesce(text, F.lit("")))).alias("_section", "_s")).where("_s is not null")
+    split = split.select(key, "_ends", "_section", F.col("_s.heading").alias("section_path"), F.col("_s.text").alias("_text"))
     split = split.withColumn("_sentences", F.when(F.length("_text") > MOST, sentences(F.col("_text"))))
     split = split.withColumn("_lengths", F.transform("_sentences", lambda s: F.length(s)))
     split = split.withColumn("_runs", F.when(F.col("_sentences").isNotNull(), packed(F.col("_lengths"))))
@@ -124,14 +141,16 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
 
     whole = F.array(F.struct(F.col("_text").alias("text"), F.lit(1).alias("at")))
     made = split.withColumn("_chunks", F.when(F.col("_runs").isNull(), whole).otherwise(F.transform("_runs", one)))
-    flat = made.select(key, "_sizes", "_section", "section_path", "_text", F.posexplode_outer("_chunks").alias("_nth", "_c")).where("_c is not null")
+    before = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    made = made.withColumn("_at", F.aggregate("_chunks", F.array().cast("array<long>"), lambda a, c: F.concat(a, F.array(F.when(c["at"] > 0, c["at"].cast("long") - 1).otherwise(before(a))))))
+    placed = F.transform("_chunks", lambda c, i: F.struct(c["text"].alias("text"), pages(F.get("_at", i), F.length(c["text"]), F.col("_ends")).alias("pages")))
+    # Pages are told here, so that a document's lengths aren't sent along with each chunk.
+    flat = made.select(key, "_section", "section_path", F.posexplode_outer(placed).alias("_nth", "_c")).where("_c is not null")
     order = Window.partitionBy(key).orderBy("_section", "_nth")
-    in_section = Window.partitionBy(key, "_section").orderBy("_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flat = flat.withColumn("_number", F.row_number().over(order) - 1).withColumn("_offset", F.last(F.when(F.col("_c.at") > 0, F.col("_c.at") - 1), ignorenulls=True).over(in_section))
-    number = F.col("_number").cast("string")
-    paged = flat.withColumn("_pages", pages(F.coalesce("_offset", F.lit(0)).cast("long"), F.length("_c.text").cast("long"), F.col("_sizes")))
-    rows = paged.select(
-        key, F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("chunk_id"),
-        "section_path", F.col("_pages.start").cast("int").alias("page_start"), F.col("_pages.end").cast("int").alias("page_end"), strip(F.col("_c.text")).alias("text"),
+    number = (F.row_number().over(order) - 1).cast("string")
+    numbered = flat.withColumn("_number", number)
+    rows = numbered.select(
+        key, F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.when(F.length("_number") < 4, F.lpad("_number", 4, "0")).otherwise(F.col("_number"))).alias("chunk_id"),
+        "section_path", F.col("_c.pages.start").cast("int").alias("page_start"), F.col("_c.pages.end").cast("int").alias("page_end"), strip(F.col("_c.text")).alias("text"),
     )
     return rows.where(usable(F.col("text")))

@@ -19,7 +19,7 @@ from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import strip, tokens, word_count
+from scholia.functions.text import is_term, pieces, strip, tokens, word_count
 
 K1, B, BOOST = 1.5, 0.75, 1.5
 LIST, FUSED, RRF, EXACT = 25, 30, 60, 0.15
@@ -35,12 +35,6 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """pos, term, tf, size (terms of the record)."""
-    cut = records.select("pos", tokens(F.col("text")).alias("t"))
-    return cut.select("pos", F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("pos", "size", "term").agg(F.count("*").alias("tf"))
-
-
 def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The k best rows of each question, with their rank from 0. The row number itself
     is compared, so that each task passes on its own k best rows only."""
@@ -62,38 +56,37 @@ def bm25(records: DataFrame, questions: DataFrame, k: int = LIST, whole: DataFra
     questions' terms, and its size. whole: the (query_id, pos) of records that hold
     the whole question, if they are known; else they are looked up.
     """
-    terms = questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = kept(terms)
-    wanted = terms.select("term").distinct()
-    cut = records.select("pos", tokens(F.col("text")).alias("t")).select("pos", F.size("t").alias("size"), "t")
-    listed = kept(cut.select("pos", "size", F.explode_outer("t").alias("term")).join(sent(wanted, F.octet_length("term")).withColumn("asked", F.lit(True)), "term", "left")
-                  .groupBy("pos", "size", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+    terms = kept(asked_terms(questions))
+    wanted = sent(terms.select("term").distinct(), F.octet_length("term")).withColumn("asked", F.lit(True))
+    cut = records.select("pos", F.explode_outer(pieces(F.col("text"))).alias("term")).withColumn("real", F.coalesce(is_term(F.col("term")), F.lit(False)))
     # A row without a term is what a record has besides; one that has nothing else counts too.
-    stats = listed.groupBy("pos", "size").agg(F.count("*").alias("rows")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    own = F.when(F.col("asked") & F.col("real"), F.col("term"))
+    listed = kept(cut.join(wanted, "term", "left").groupBy("pos", own.alias("term")).agg(F.count_if("real").alias("tf")))
+    sizes = listed.groupBy("pos").agg(F.sum("tf").alias("size"))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     found = listed.where("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    weighted = found.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "pos", part.alias("part"))
+    weighted = found.join(sizes, "pos").join(df, "term").crossJoin(F.broadcast(stats)).select("term", "pos", part().alias("part"))
     scored = terms.join(weighted, "term").groupBy("query_id", "pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
     whole = phrase(records, questions, loose=False) if whole is None else whole
-    boosted = scored.join(whole.select("query_id", "pos", F.lit(BOOST).alias("boost")), ["query_id", "pos"], "left")
-    rows = boosted.select("query_id", "pos", (F.col("score") * F.coalesce("boost", F.lit(1.0))).alias("score")).where("score > 0")
-    return top(rows, k)
+    return top(boosted(scored, whole).where("score > 0"), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """query_id, term, times of the questions' terms."""
+    return questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+def part() -> Column:
+    """What a term adds to a record's score, from n and mean (of all records), df, tf and size."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
 
 
-def cosine(a: Column, b: Column, norms: Column) -> Column:
-    """Of two vectors and the product of their norms; 0 for vectors of different size or
-    without length."""
-    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / F.nullif(norms, F.lit(0.0)))
+def boosted(scored: DataFrame, whole: DataFrame) -> DataFrame:
+    """Scores, those of records that hold the whole question (query_id, pos) BOOST times as high."""
+    rows = scored.join(whole.select("query_id", "pos", F.lit(BOOST).alias("boost")), ["query_id", "pos"], "left")
+    return rows.select("query_id", "pos", (F.col("score") * F.coalesce("boost", F.lit(1.0))).alias("score"))
 
 
 def blocks_of(rows: DataFrame, key: str, size: Column) -> list[DataFrame]:
@@ -296,9 +289,20 @@ def rerank(fused: DataFrame, records: DataFrame, questions: DataFrame) -> DataFr
     return rows.withColumn("rerank_score", adjustment).withColumn("score", F.col("score") + 0.5 * adjustment)
 
 
-def enough_evidence(rows: DataFrame) -> DataFrame:
+def is_enough() -> Column:
+    """Whether a record may count as evidence."""
     n = F.length("text")
-    return rows.where((F.col("source") != "") & (F.length(strip(F.col("text"))) >= 100) & (n / word_count(F.col("text")) <= 20))
+    return F.coalesce((F.col("source") != "") & (F.length(strip(F.col("text"))) >= 100) & (n / word_count(F.col("text")) <= 20), F.lit(False))
+
+
+def best_evidence(rows: DataFrame, k: int) -> DataFrame:
+    """The k best reranked rows of each question that are enough, with their rank from 0.
+
+    The others come last and go after ranking: a filter before it would be pushed
+    down to the records, and look at all texts.
+    """
+    rows = rows.withColumnRenamed("rank", "fused_rank").withColumn("_enough", is_enough())
+    return top(rows, max(k, 0), F.col("_enough").desc(), F.round("score", DIGITS).desc(), F.col("fused_rank")).where("_enough").drop("_enough")
 
 
 def lists(records: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -311,5 +315,4 @@ def lists(records: DataFrame, vectors: DataFrame, questions: DataFrame, asked: D
 def hybrid(records: DataFrame, vectors: DataFrame, questions: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """The k best records of each question, with all scores, texts and ranks from 0."""
     rows = rerank(fuse(*lists(records, vectors, questions, asked)), records, questions)
-    kept_rows = enough_evidence(rows.withColumnRenamed("rank", "fused_rank"))
-    return top(kept_rows, max(k, 0), F.round("score", DIGITS).desc(), F.col("fused_rank")).withColumn("retrieval_method", F.lit("hybrid-rrf"))
+    return best_evidence(rows, k).withColumn("retrieval_method", F.lit("hybrid-rrf"))

@@ -154,8 +154,7 @@ def retrieval_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, vectors, questions, asked = _searched(spark, sf_dir)
     vector, lexical, exact = retrieval.lists(records, vectors, questions, asked)
     fused = retrieval.kept(retrieval.fuse(vector, lexical, exact))
-    kept = retrieval.enough_evidence(retrieval.rerank(fused, records, questions).withColumnRenamed("rank", "fused_rank"))
-    hits = retrieval.top(kept, 5, F.round("score", retrieval.DIGITS).desc(), F.col("fused_rank"))
+    hits = retrieval.best_evidence(retrieval.rerank(fused, records, questions), 5)
     stages = {"dense": vector, "lexical": lexical, "exact": exact, "fused": fused, "hits": hits}
     rows = None
     for name, df in stages.items():

@@ -64,7 +64,7 @@ def test_packing_of_sentences(spark, lengths):
 
 @pytest.mark.parametrize(("at", "n", "sizes", "expected"), [(10, 5, [10, 0, 10], (3, 3)), (0, 10, [10, 0, 10], (1, 1)), (0, 30, [10, 0, 10], (1, 3)), (50, 5, [10, 0, 10], (1, 3)), (3, 3, [], (1, 1))])
 def test_pages(spark, at, n, sizes, expected):
-    row = spark.createDataFrame([(at, n, sizes)], "a long, n long, s array<long>").select(chunking.pages(F.col("a"), F.col("n"), F.col("s")).alias("x")).first()
+    row = spark.createDataFrame([(at, n, sizes)], "a long, n long, s array<long>").select(chunking.pages(F.col("a"), F.col("n"), chunking.running_sums(F.col("s"))).alias("x")).first()
     assert tuple(row.x) == expected
 
 
