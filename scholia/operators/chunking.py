@@ -137,7 +137,9 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
 
     def one(r: Column) -> Column:
         repeat = F.when(r["overlap"] > r["first"], F.concat(joined(r, r["first"], r["overlap"] - 1), F.lit(" "))).otherwise("")
-        return F.struct(joined(r, r["first"], r["last"]).alias("text"), F.instr(F.col("_text"), repeat).alias("at"))
+        # Where there is one page at most, nothing hangs on the place.
+        at = F.when(F.size("_ends") > 1, F.instr(F.col("_text"), repeat)).otherwise(1)
+        return F.struct(joined(r, r["first"], r["last"]).alias("text"), at.alias("at"))
 
     whole = F.array(F.struct(F.col("_text").alias("text"), F.lit(1).alias("at")))
     made = split.withColumn("_chunks", F.when(F.col("_runs").isNull(), whole).otherwise(F.transform("_runs", one)))

@@ -113,6 +113,8 @@ hits AS (SELECT query_id, pos, text, source, score + 0.5 * adjustment AS final,
   FROM adjusted WHERE source <> '' AND length({_strip('text')}) >= 100 AND length(text) / len(regexp_split_to_array(text, '\s+')) <= 20 QUALIFY place < 5)"""
 HYBRID = "WITH " + ",".join([RECORDS, QUESTIONS, BM25.format(records="records"), DENSE.format(vectors="vectors", pos="pos"), PHRASE.format(records="records"), FUSE, RERANK])
 DOCS = "docs AS (SELECT doc_id AS pos, text FROM documents)"
+# The documents after changes: those of low quality twice over, toxic ones deleted.
+FINAL = """docs AS (SELECT doc_id AS pos, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN concat(text, ' ', text) ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
 SUPPORT = "CASE WHEN final > 0.025 THEN 'direct' WHEN final > 0.015 THEN 'partial' ELSE 'weak' END"
 
 def _changed(new: str, rule: str) -> str:
@@ -302,6 +304,15 @@ SELECT question, day, stamped FROM log ORDER BY day DESC, id DESC LIMIT 100""",
     "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
     "corpus_stats": f"SELECT CAST(count(*) AS BIGINT) AS n_docs, round(avg(len(t)), 6) AS mean_terms, CAST(sum(len(list_distinct(t))) AS BIGINT) AS n_postings FROM (SELECT {_tokens('text')} AS t FROM documents)",
     "bm25_search": f"WITH {DOCS},{QUESTIONS},{BM25.format(records='docs')} SELECT query_id, pos AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM lexical",
+    "bm25_index": f"WITH {FINAL},{QUESTIONS},{BM25.format(records='docs')} SELECT query_id, pos AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM lexical",
+    "bm25_index_compacted": f"WITH {FINAL},{QUESTIONS},{BM25.format(records='docs')}, plain AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) - 1 AS place FROM scored WHERE score > 0 QUALIFY place < 25) SELECT query_id, pos AS doc_id, CAST(place AS BIGINT) AS rank, round(score, 6) AS score FROM plain",
+    "bm25_pruned": f"WITH {DOCS},{QUESTIONS},{BM25.format(records='docs')} SELECT query_id, pos AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM lexical",
+    "bm25_pruned_rows": f"""WITH {DOCS},{QUESTIONS},{BM25.format(records='docs')},
+parts AS (SELECT term, pos, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / mean)) AS part FROM found JOIN dfs USING (term) CROSS JOIN stats WHERE term IN (SELECT term FROM terms)),
+blocks AS (SELECT term, pos // 16 AS block, max(part) AS most, count(*) AS m FROM parts GROUP BY ALL), reach AS (SELECT query_id, block, sum(most * times) AS most, sum(m) AS m FROM terms JOIN blocks USING (term) GROUP BY ALL),
+first AS (SELECT query_id, block FROM reach QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(most, 9) DESC, block) <= 3),
+kth AS (SELECT query_id, score AS least FROM scored s WHERE EXISTS (SELECT 1 FROM first f WHERE f.query_id = s.query_id AND f.block = s.pos // 16) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) = 3)
+SELECT query_id, CAST(sum(m) AS BIGINT) AS n_all, CAST(coalesce(sum(m) FILTER (WHERE most >= coalesce(least, 0) * (1 - 1e-9)), 0) AS BIGINT) AS n_touched FROM reach LEFT JOIN kth USING (query_id) GROUP BY ALL""",
     "dense_search": f"WITH {QUESTIONS},{DENSE.format(vectors='embeddings', pos='vec_id')} SELECT query_id, pos AS vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM dense",
     "phrase_rescue": f"WITH {DOCS},{QUESTIONS},{PHRASE.format(records='docs')} SELECT query_id, pos AS doc_id, round(score, 6) AS score FROM exact",
     "rrf_fusion": HYBRID + " SELECT query_id, pos AS doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM fused",

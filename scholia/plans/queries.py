@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions.text import tokens
-from scholia.operators import artifacts, catalog, chunking, clean, embedding, evidence, ingest, retrieval
+from scholia.operators import artifacts, catalog, chunking, clean, embedding, evidence, ingest, postings, retrieval
 from scholia.sources import Change, Store, shared_dir
 
 from .oracle import ORACLE_SQL, noised
@@ -91,6 +91,61 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(retrieval.bm25(_documents(spark, sf_dir), _questions(spark, sf_dir)))
 
 
+def _changed_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents of low quality with their texts twice over, and those that are toxic."""
+    labels = _read(spark, sf_dir, "labels")
+    of = lambda rule: labels.where(rule).select(F.col("doc_id").alias("pos")).distinct()
+    changed = _documents(spark, sf_dir).join(of("quality = 0"), "pos", "left_semi").select("pos", F.concat("text", F.lit(" "), "text").alias("text"))
+    return changed, of("toxic = 1")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """An index of all documents that was changed twice: by new texts, then by deletions."""
+    index, (changed, gone) = postings.Index(_store(spark, "pos")), _changed_records(spark, sf_dir)
+    index.update(_documents(spark, sf_dir))
+    index.update(changed)
+    index.update(changed.limit(0), gone)
+    return index
+
+
+def _final_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index then holds."""
+    changed, gone = _changed_records(spark, sf_dir)
+    return _documents(spark, sf_dir).join(changed.select("pos"), "pos", "left_anti").unionByName(changed).join(gone, "pos", "left_anti")
+
+
+@query
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = retrieval.phrase(_final_records(spark, sf_dir), _questions(spark, sf_dir), loose=False)
+    return _ranked(_index(spark, sf_dir).search(_questions(spark, sf_dir), whole=whole))
+
+
+@query
+def bm25_index_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a boost for whole questions."""
+    index = _index(spark, sf_dir)
+    index.compact()
+    return _ranked(index.search(_questions(spark, sf_dir)))
+
+
+def _plain_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    index = postings.Index(_store(spark, "pos"))
+    index.update(_documents(spark, sf_dir))
+    return index
+
+
+@query
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = retrieval.phrase(_documents(spark, sf_dir), _questions(spark, sf_dir), loose=False)
+    return _ranked(postings.pruned_search(_plain_index(spark, sf_dir), _questions(spark, sf_dir), whole=whole).hits)
+
+
+@query
+def bm25_pruned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings a search for the best three adds up, of how many."""
+    return postings.pruned_search(_plain_index(spark, sf_dir), _questions(spark, sf_dir), k=3).touched
+
+
 @query
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")

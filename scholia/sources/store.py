@@ -66,10 +66,12 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    """Tables under `root`; each has the key column, by which its rows are dealt."""
+    """Tables under `root`; each has a key column, by which its rows are dealt. A new store has
+    as many buckets as there are shuffle partitions, if it isn't said how many."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "document_id", buckets: int = 256):
-        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+    def __init__(self, spark: SparkSession, root: str, key: str = "document_id", buckets: int | None = None):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
