@@ -77,6 +77,22 @@ def _words(column: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{lower}'), '{decontaminate.WORD}')"
 
 
+def _centroids(rounds: int) -> str:
+    """SQL for the clustering: a table of centroids and one of assignments a round."""
+    distance = "list_sum(list_transform(list_zip(v, z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda x: CAST(floor({kdtree.SCALE} * x) AS BIGINT)) AS v
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = {kdtree.DIM}) WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"z0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS z FROM (SELECT sha256(concat('{kdtree.SEED}:', vec_id)) AS h, v FROM kept ORDER BY h, v LIMIT {kdtree.CENTROIDS}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v, c, d FROM (SELECT r, vec_id, v, c, {distance} AS d FROM kept CROSS JOIN z{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        parts.append(f"s{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY ALL)")
+        parts.append(f"z{i + 1} AS MATERIALIZED (SELECT c, coalesce(moved, z) AS z FROM z{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS moved FROM s{i} GROUP BY c) USING (c))")
+    last = f"SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256 FROM a{rounds} JOIN z{rounds} USING (c)"
+    return "WITH " + ",\n".join(parts[:-2]) + "\n" + last
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -112,4 +128,5 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 and {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit_words using (r) left join hit_items using (r)
 """,
+    "op13_centroids": _centroids(kdtree.ROUNDS),
 }

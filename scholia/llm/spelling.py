@@ -254,11 +254,11 @@ _FOUND = "word string, n_near long, form_n long, form string"
 
 
 def short_neighbours(words: DataFrame) -> DataFrame:
-    """Of each word, and each shard with neighbours: word, n_near, form_n, form. Of words of
-    LONGEST + 1 letters, those neighbours are meant that have LONGEST."""
+    """Of each word of LONGEST letters at most, and each shard with neighbours: word, n_near,
+    form_n, form."""
     spark = words.sparkSession
     shards = tries(words)
-    asked = words.where(F.length("word") <= LONGEST + 1).select("word")
+    asked = words.where(F.length("word") <= LONGEST).select("word")
     found, group, held = [], [], 0
     listed = [(r["first"], r["bytes"]) for r in shards.select("first", "bytes").orderBy("first").collect()]
     for i, (first, size) in enumerate(listed):
@@ -288,7 +288,7 @@ def _without_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = np.concatenate([[False], letters[1:] != letters[:-1], [True]])
             sums = []
             for base in bases:
-                powers = np.multiply.accumulate(np.concatenate([[1], np.full(len(letters), base)]).astype(np.uint64))
+                powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(letters), base, np.uint64)]))
                 before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(letters + np.uint64(1)) * powers[:-1])])
                 # Letters after the place move one to the front.
                 back = np.uint64(pow(base, -1, 1 << 64))
@@ -302,7 +302,7 @@ def _without_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def long_neighbours(words: DataFrame) -> DataFrame:
-    """The same of pairs with a word of more than LONGEST letters."""
+    """The same of pairs of which a word, or both, have more than LONGEST letters."""
     # Words go by a mark, so that long ones aren't sent once a letter.
     named = words.where(F.length("word") >= LONGEST).select("word", "n", F.md5("word").alias("id"))
     keys = materialize(named.mapInArrow(_without_one, "id string, n long, size long, place long, last boolean, h1 long, h2 long"), "word-keys")
