@@ -24,7 +24,7 @@ zero, where a cell is the fingerprint; then the sets are compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,8 @@ BLOCKS = [range(0, 5), range(5, 10), range(10, 16)]
 WORDS, SIMILARITY, PICKED, MISSED = 5, 0.8, 5, 2000
 #: Members that are compared at once, on either side, and values of their sets.
 BLOCK, BLOCK_VALUES = 256, 1 << 19
+#: Members of a crowded cell that tell which of its shingles are common, and those that share a rare one and are still paired one by one.
+SAMPLED, CROWD = 64, 64
 _SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
 _SETS = "row long, doc_id long, mark string, h1 long, h2 long, n long, cells array<long>, shingles array<int>"
 
@@ -232,9 +234,26 @@ def like_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: floa
     return shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared) - 1e-9
 
 
+def _by_group(keys: list[str], columns: list[str], each: Callable[[pd.DataFrame], list[tuple]]):
+    """Rows that `each` makes of every group; rows come sorted by the keys."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for f in frames:
+            f = f if kept is None else pd.concat([kept, f], ignore_index=True)
+            starts = np.flatnonzero((f[keys] != f[keys].shift()).any(axis=1).to_numpy()).tolist()
+            found = [x for a, b in zip(starts, starts[1:], strict=False) for x in each(f.iloc[a:b])]
+            kept = f.iloc[starts[-1] :] if starts else None
+            yield pd.DataFrame(found, columns=columns)
+        if kept is not None:
+            yield pd.DataFrame(each(kept), columns=columns)
+
+    return run
+
+
 def _compare(similarity: float):
-    """Links of rows (cell, i, j, side, node, label, shingles) that come sorted by cell, i
-    and j: those of side 0 with those of side 1 in the same block."""
+    """Links of rows (cell, i, j, side, node, label, shingles): those of side 0 with those
+    of side 1 in the same block."""
 
     def links(f: pd.DataFrame) -> list[tuple[int, int]]:
         left, right = f[f.side == 0], f[f.side == 1]
@@ -248,19 +267,75 @@ def _compare(similarity: float):
             out += [(a, int(node[at[x]])) for x in np.unique(labels[at], return_index=True)[1]]
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for f in frames:
-            f = f if kept is None else pd.concat([kept, f], ignore_index=True)
-            key = f[["cell", "i", "j"]]
-            starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy()).tolist()
-            found = [x for a, b in zip(starts, starts[1:], strict=False) for x in links(f.iloc[a:b])]
-            kept = f.iloc[starts[-1] :] if starts else None
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if kept is not None:
-            yield pd.DataFrame(links(kept), columns=["a", "b"], dtype="int64")
+    return _by_group(["cell", "i", "j"], ["a", "b"], links)
 
-    return run
+
+def rarest(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of `times` (of the ascending `known`; 0 of
+    others) and value, so many that two sets that are like enough share one of them."""
+    own = np.unique(shingles)
+    at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+    often = np.where(known[at] == own, times[at], 0) if len(known) else np.zeros(len(own), np.int64)
+    return own[np.lexsort((own, often))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
+
+
+def _rarest(similarity: float):
+    """Of rows (cell, block, side, node, label, stray, shingles), the rarest shingles of
+    those of side 1, as the cell's sample on side 0 has it."""
+
+    def keys(f: pd.DataFrame) -> list[tuple]:
+        sample = [np.unique(np.asarray(s)) for s in f.shingles[f.side == 0]]
+        known, times = np.unique(np.concatenate([*sample, np.zeros(0, np.int32)]), return_counts=True)
+        out = []
+        for r in f[f.side == 1].itertuples():
+            own = np.asarray(r.shingles)
+            out += [(r.cell, r.node, r.label, r.stray, len(own), k) for k in rarest(own, known, times, similarity).tolist()]
+        return out
+
+    return _by_group(["cell", "block"], ["cell", "node", "label", "stray", "n", "shingle"], keys)
+
+
+def _widths(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of members (cell, node), how many blocks each cell takes, and of its members which
+    share is a sample."""
+    sized = members.join(sets.select(unplaced(F.col("node")).alias("node"), F.size("shingles").alias("n")), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int")
+    share = F.least(SAMPLED / F.count("*"), BLOCK_VALUES / 2 / F.sum("n"))
+    return sized.groupBy(unplaced(F.col("cell")).alias("cell")).agg(blocks.alias("width"), share.alias("share"))
+
+
+def _dealt(members: DataFrame, widths: DataFrame) -> DataFrame:
+    return members.join(widths, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("width")).cast("int"))
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, widths: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of members (cell, node, label, stray) of crowded cells, candidate pairs (a, b), and
+    the members of which all pairs of a cell are still to be compared. All like
+    pairs of a stray with another label are among the two.
+
+    In an order of a cell's shingles, two sets that are like enough share one of
+    their first, some fifth of each at 0.8. The order is by how often a shingle
+    occurs in a sample of the cell, so that what a template has in common comes
+    last: pages with a template but otherwise unlike meet nowhere. Members that
+    share a rare shingle with more than CROWD others aren't paired here.
+    """
+    dealt = _dealt(members, widths)
+    sampled = dealt.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    every = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
+    shown = sampled.select("cell", "node", "label", "stray", F.lit(0).alias("side"), every.alias("block"))
+    both = shown.unionByName(dealt.select("cell", "node", "label", "stray", F.lit(1).alias("side"), "block")).join(sets.withColumn("node", unplaced(F.col("node"))), "node")
+    grouped = both.repartition("cell", "block").sortWithinPartitions("cell", "block")
+    made = grouped.mapInPandas(_rarest(similarity), "cell long, node long, label long, stray boolean, n int, shingle int")
+    keyed = materialize(made.withColumn("key", F.xxhash64("cell", "shingle")).drop("shingle"), "rare-shingles")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max("stray").alias("strays"), (F.min("label") != F.max("label")).alias("mixed"))
+    sizes = sizes.where("size > 1 and strays and mixed").select(unplaced(F.col("key")).alias("key"), "size")
+    shared = materialize(keyed.join(sizes, "key"), "rare-cells")
+    few = shared.where(F.col("size") <= CROWD)
+    left = few.where("stray").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6) & (F.col("la") != F.col("lb"))
+    pairs = left.join(right, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, shared.where(F.col("size") > CROWD).select("cell", "node", "label", "stray").distinct()
 
 
 def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -276,11 +351,9 @@ def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
         found = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_like(F.col("x"), F.col("y"), similarity))
         return materialize(found.select("a", "b"), "links")
 
-    def rest(open_: DataFrame) -> DataFrame:
+    def blocks(members: DataFrame, widths: DataFrame) -> DataFrame:
         """A cell's members are dealt to blocks; each pair of blocks is one small table."""
-        sized = open_.join(sets.select(unplaced(F.col("node")).alias("node"), F.size("shingles").alias("n")), "node")
-        width = sized.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_VALUES)).cast("int").alias("width"))
-        dealt = open_.join(width.withColumn("cell", unplaced(F.col("cell"))), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("width")).cast("int"))
+        dealt = _dealt(members, widths)
         every = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
         left = dealt.where("stray").select("cell", "node", "label", F.lit(0).alias("side"), F.col("block").alias("i"), every.alias("j"))
         right = dealt.select("cell", "node", "label", F.lit(1).alias("side"), every.alias("i"), F.col("block").alias("j"))
@@ -288,6 +361,19 @@ def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
         grouped = both.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
         return materialize(grouped.mapInPandas(_compare(similarity), "a long, b long").distinct(), "links")
 
+    def rest(open_: DataFrame) -> DataFrame:
+        """Cells of one block are compared as they are; of larger ones what shares a rare
+        shingle, and only what many share is compared block by block."""
+        widths = materialize(_widths(open_, sets), "widths")
+        found = blocks(open_, widths.where("width = 1"))
+        large = widths.where("width > 1")
+        if large.isEmpty():
+            return found
+        pairs, crowd = rare_pairs(open_, sets, large, similarity)
+        crowd = materialize(crowd, "crowd")
+        found = found.union(star(pairs))
+        return found if crowd.isEmpty() else found.union(blocks(crowd, materialize(_widths(crowd, sets), "widths")))
+
     return connect(shared, star, rest)
 
 

@@ -224,6 +224,26 @@ def test_near_copies_of_a_large_group(spark, monkeypatch):
     assert sorted(r.doc_id for r in rows_ if r.kept) == sorted(set(roots))
 
 
+@pytest.mark.parametrize("own", [50, 30])
+def test_pages_of_one_template(spark, own):
+    """Pages that share a template only are paired a few times each, whatever their number,
+    if what they share isn't nearly enough; no like pair is lost in any case."""
+    draw = np.random.default_rng(own)
+    fresh = lambda n: draw.integers(-(1 << 31), 1 << 31, n).astype(np.int32)
+    shared, pages = fresh(150), []
+    for i in range(600):
+        pages.append(np.concatenate([pages[i - 1][: 200 - 3 * (i % 7)], fresh(3 * (i % 7))]) if i % 10 == 9 else np.concatenate([shared, fresh(own)]))
+    sets = spark.createDataFrame([(i, [int(x) for x in p]) for i, p in enumerate(pages)], "node long, shingles array<int>")
+    members = spark.createDataFrame([(7, i, i, i % 2 == 0) for i in range(600)], "cell long, node long, label long, stray boolean")
+    pairs, crowd = simhash.rare_pairs(members, sets, simhash._widths(members, sets), 0.8)
+    got, rest = {(r.a, r.b) for r in pairs.collect()}, {r.node for r in crowd.collect()}
+    like = np.argwhere(np.triu(simhash.like_pairs(pages, pages, 0.8), 1)).tolist()
+    assert len(like) >= 50
+    assert all((a, b) in got or (a in rest and b in rest) for a, b in like if a % 2 == 0 or b % 2 == 0)
+    if own == 50:
+        assert len(got) < 600 and not rest
+
+
 def test_like_pairs():
     numbers = np.random.default_rng(1)
     left, right = ([np.unique(numbers.integers(0, 60, n)) for n in sizes] for sizes in ((40, 90, 1, 0), (60, 90, 3)))
