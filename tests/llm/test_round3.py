@@ -8,9 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from scholia.llm import kdtree, spelling, vectors
+from scholia.llm import kdtree, spelling, tokens, vectors
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, word string, n long, form string, root string, id string"
@@ -188,3 +189,31 @@ def test_whole_nodes_and_pruned_centroids():
     assert sorted((j, b - a) for a, b, j, _ in found) == [(0, 512), (1, 512)]
     for a, b, _, sums in found:
         assert (sums == v[order[a:b]].sum(0)).all()
+
+
+def test_encoder_with_a_full_table(monkeypatch):
+    """Units met before, a table without room, long units and blank ones give the library's ids."""
+    monkeypatch.setattr(tokens, "KEEP_UNITS", 40)
+    enc, rng = tokens.Encoder(tokens.vocabulary()), random.Random(3)
+    words = ["".join(rng.choice("abcdeéß漢1-") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    for _ in range(4):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) + rng.choice(["", "\n", " ", "\nx", "  y"]) for _ in range(30)]
+        flat, ends = enc.encode(pa.array(texts, pa.string()))
+        got = [x.tolist() for x in np.split(flat, ends[:-1])]
+        assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < enc.known.n <= 40
+    flat, ends = enc.encode(pa.array([], pa.string()))
+    assert not len(flat) and not len(ends)
+
+
+def test_known_units_keep_one_of_equal_hashes():
+    known = tokens.Known(10, wide=True)
+    fits, words, hashes = known.keys(pa.array([" a", "b", "", "x" * 17]))
+    assert fits.tolist() == [True, True, True, False]
+    hashes[:2] = 7
+    known.add(words[:3], hashes[:3], np.array([5, 6, 7], np.uint32), np.array([2, 1, 0]))
+    place = known.find(words[:3], hashes[:3])
+    assert place[0] >= 0 and place[1] == -1 and place[2] >= 0
+    assert known.ids[known.starts[place[0]] :][: known.sizes[place[0]]].tolist() == [5, 6]
+    known.add(words[1:2], hashes[1:2], np.array([6], np.uint32), np.array([1]))
+    assert known.n == 2
