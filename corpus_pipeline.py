@@ -22,7 +22,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: those of whose sets of five
-    words four fifths are common."""
+    words four fifths are common. Their SimHashes' segment bit counts propose
+    them, and samples of the sets what more than two bits tell apart."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -12,13 +12,14 @@ that block's bits. So a cell holds what agrees in 20 bits or more, however
 many fingerprints there are. Last the bits are compared.
 
 `near_duplicates` is that. `near_copies` finds texts whose sets of shingles
-are SIMILARITY alike or more. The whole text's fingerprint can't propose such
-pairs: at 0.8 some 10 of its bits differ, where no cell separates. So
-fingerprints of samples are taken. The PICKED shingles with the least values
-of as many hash functions are a sample, which two texts share with the
-probability likeness ** PICKED; there are so many samples that a pair is
-missed once in MISSED times. Fingerprints of samples are joined at distance
-zero, where a cell is the fingerprint; then the sets are compared.
+are SIMILARITY alike or more. Candidates are those whose sets' fingerprints the
+embedding links as above. These are not all: at 0.8 some 10 of the bits differ,
+where no cell separates. So fingerprints of samples are taken besides. The
+PICKED shingles with the least values of as many hash functions are a sample,
+which two texts share with the probability likeness ** PICKED; there are so many
+samples that a pair is missed once in MISSED times. Fingerprints of samples are
+joined at distance zero, where a cell is the fingerprint. Then the sets of all
+candidates are compared.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ BLOCK, BLOCK_VALUES = 256, 1 << 19
 #: Members of a crowded cell that tell which of its shingles are common, and those that share a rare one and are still paired one by one.
 SAMPLED, CROWD = 64, 64
 _SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
-_SETS = "row long, doc_id long, mark string, h1 long, h2 long, n long, cells array<long>, shingles array<int>"
+_SETS = "row long, doc_id long, mark string, h1 long, h2 long, n long, fp long, cells array<long>, shingles array<int>"
 
 
 def fingerprint(text: bytes) -> int:
@@ -178,6 +179,18 @@ def sample_fingerprints(flat: np.ndarray, at: np.ndarray, samples: int) -> np.nd
     return out
 
 
+def set_fingerprints(flat: np.ndarray, at: np.ndarray, width: int = 1 << 15) -> np.ndarray:
+    """The SimHash of each set, a bit being 1 if it is set in over half of its shingles, of
+    which `width` are looked at at once. Sets start at the ascending positions `at`."""
+    counts, sizes = np.zeros((len(at), 64), np.int64), np.diff(np.append(at, len(flat)))
+    for lo in range(0, len(flat), width):
+        part = flat[lo : lo + width]
+        a, b = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, lo + len(part))
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        counts[a:b] += np.add.reduceat(bits, np.maximum(at[a:b] - lo, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > sizes[:, None], axis=1).view(np.uint64)[:, 0]
+
+
 def _sets(k: int, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -192,19 +205,21 @@ def _sets(k: int, samples: int):
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 held = np.flatnonzero(sizes)
                 marks, cells = np.zeros((2, n), np.uint64), np.zeros((len(held), samples), np.uint64)
+                prints = np.zeros(n, np.uint64)
                 if len(held):
                     at = ends[held]
+                    prints[held] = set_fingerprints(flat, at)
                     for i in range(2):
                         marks[i, held] = mix(np.add.reduceat(mix(flat ^ np.uint64(i + 1)), at) ^ sizes[held].astype(np.uint64))
                     cells = mix(sample_fingerprints(flat, at, samples) ^ number)
                 stops = np.concatenate([[0], np.cumsum(np.where(sizes > 0, samples, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), pc.cast(rows.column("mark"), pa.string()), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), pa.array(sizes),
+                        pa.array(range(row, row + n), pa.int64()), rows.column("doc_id"), pc.cast(rows.column("mark"), pa.string()), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(stops), pa.array(cells.reshape(-1).view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                     ],
-                    names=["row", "doc_id", "mark", "h1", "h2", "n", "cells", "shingles"],
+                    names=["row", "doc_id", "mark", "h1", "h2", "n", "fp", "cells", "shingles"],
                 )
                 row += n
 
@@ -338,11 +353,27 @@ def rare_pairs(members: DataFrame, sets: DataFrame, widths: DataFrame, similarit
     return pairs, shared.where(F.col("size") > CROWD).select("cell", "node", "label", "stray").distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (row, n, fp): of each fingerprint the first row with its others,
+    and the first rows of those that the embedding links. Sets without a shingle have none."""
+    held = nodes.where("n > 0")
+    fps = materialize(held.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("rows")), "set-fingerprints")
+    firsts = fps.select(unplaced(F.col("fp")).alias("fp"), "first")
+    side = lambda end: firsts.select(F.col("fp").alias(f"fp_{end}"), F.col("first").alias(end))
+    links = link_fingerprints(fps.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    linked = links.join(side("a"), "fp_a").join(side("b"), "fp_b").select("a", "b")
+    several = fps.where("rows > 1").select(unplaced(F.col("fp")).alias("fp"), F.col("first").alias("a"))
+    equal = held.join(several, "fp").where("row <> a").select("a", F.col("row").alias("b"))
+    return materialize(linked.union(equal), "fingerprint-pairs")
+
+
 def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all nodes (row, n, cells) that candidate pairs, like
+    """Links (a, b) that connect all nodes (row, n, fp, cells) that candidate pairs, like
     enough, connect. rows: row, shingles."""
+    near = fingerprint_pairs(nodes)
     shared = shared_cells(nodes.select(F.col("row").alias("node"), F.explode("cells").alias("cell")))
-    wanted = shared.select("node").distinct().select(unplaced(F.col("node")).alias("row"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = shared.select("node").union(ends).distinct().select(unplaced(F.col("node")).alias("row"))
     # By a merge join at every size: the wanted rows are a share of all, so past small tables they can't be broadcast.
     sets = materialize(rows.select("row", "shingles").join(wanted.hint("merge"), "row").select(F.col("row").alias("node"), "shingles"), "shingle-sets")
 
@@ -374,7 +405,7 @@ def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
         found = found.union(star(pairs))
         return found if crowd.isEmpty() else found.union(blocks(crowd, materialize(_widths(crowd, sets), "widths")))
 
-    return connect(shared, star, rest)
+    return connect(shared, lambda pairs: star(pairs.union(near).distinct()), rest)
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -390,7 +421,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
     # Equal sets are one node: a row that stands for them.
     nodes = materialize(rows.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.min("row").alias("row")), "nodes")
-    cells = rows.select("row", "cells").join(nodes.select("row"), "row")
+    cells = rows.select("row", "n", "fp", "cells").join(nodes.select("row"), "row")
     roots = components(link_sets(cells, rows, similarity))
     labelled = nodes.select("h1", "h2", "row", "least").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("group", F.coalesce("root", "row"))
     first = labelled.groupBy("group").agg(F.min("least").alias("first"))

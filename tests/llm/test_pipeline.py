@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -33,3 +34,22 @@ def test_near_dedup_stage(spark):
     texts = [(1, " ".join(words)), (2, " ".join([*words[:97], "x", "y", *words[99:]])), (3, " ".join(words[::-1]))]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"), DATA)
     assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in (1, 2, 7, 300, 1, 40)]
+    at = np.cumsum([0, *map(len, sets[:-1])])
+    bits = [np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1) for s in sets]
+    expected = [np.packbits(2 * b.sum(0, dtype=int) > len(b)).view(np.uint64)[0] for b in bits]
+    for width in (1, 8, 1 << 15):
+        assert simhash.set_fingerprints(np.concatenate(sets), at, width).tolist() == expected
+
+
+def test_the_embedding_proposes_near_copies(spark):
+    """Sets within two bits are compared though they share no sample; those further apart aren't."""
+    cells, like = "row long, n long, fp long, cells array<long>", list(range(20))
+    nodes = [(0, 20, 0, []), (1, 20, 3, []), (2, 20, 0, []), (3, 20, 0x70, []), (4, 20, 3 << 40, []), (5, 0, 0, [])]
+    sets = [(0, like), (1, like[1:]), (2, like[2:]), (3, like), (4, [99, 98]), (5, [])]
+    links = simhash.link_sets(spark.createDataFrame(nodes, cells), spark.createDataFrame(sets, "row long, shingles array<int>"), 0.8)
+    assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((0, 1)), frozenset((0, 2))}
