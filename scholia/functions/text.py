@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def has(text: Column, *said: str) -> Column:
+    """Whether a text holds one of some plain strings: much cheaper than a pattern that needs it."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in said])
+
+
+def trim(text: Column) -> Column:
+    """strip, which looks at the ends first; for long texts."""
+    # At the end a pattern also sees what is before a last line break, of which Java knows more than \s has.
+    edge = lambda end, more: end(text, F.lit(1)).rlike(rf"[\s{more}]")
+    return F.when(edge(F.left, "") | edge(F.right, r"\u0085\u2028\u2029"), strip(text)).otherwise(text)
+
+
 def word_count(text: Column) -> Column:
     """Pieces between runs of white space, blank edges included."""
     return F.size(F.split(text, r"\s+"))

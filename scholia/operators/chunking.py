@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import HEAD, TAIL, fold, let, strip, word_count
+from scholia.functions.text import HEAD, TAIL, fold, let, strip, trim
 
 TARGET, LEAST, MOST, OVERLAP = 2400, 200, 4000, 300
 #: Pages whose lengths are summed at once.
@@ -20,40 +20,49 @@ AFFILIATION = rf"{HEAD}(PhD|MD|MPH|DPA|EdD|MS|MA|BA|University|College|Institute
 
 
 def is_heading(line: Column) -> Column:
-    s = strip(line)
-    title = s.rlike(TITLE) & ~s.endswith(".") & ~s.endswith(",") & (F.size(F.split(s, " ")) <= 8) & ~s.rlike(AFFILIATION)
-    return F.length(s).between(3, 120) & (s.rlike(CAPITALS) | s.rlike(NUMBERED) | title)
+    def rule(s: Column) -> Column:
+        title = s.rlike(TITLE) & ~s.endswith(".") & ~s.endswith(",") & (F.size(F.split(s, " ")) <= 8) & ~s.rlike(AFFILIATION)
+        return F.length(s).between(3, 120) & (s.rlike(CAPITALS) | s.rlike(NUMBERED) | title)
+
+    return let(trim(line), rule)
 
 
 def sections(text: Column) -> Column:
     """Array of (heading, text). A heading that ends a section of more than 100
     characters is not part of any text; the first heading of a section names it."""
 
+    def measured(line: Column) -> Column:
+        """What the fold needs of a line, looked at once: its length, that without blank ones
+        at the end, how many are at the start, and whether it is a heading."""
+        n, bare = F.length(line), F.length(trim(line))
+        left = F.when(F.left(line, F.lit(1)).rlike(r"\s"), n - F.length(F.regexp_replace(line, r"^\s+", ""))).otherwise(0)
+        return F.struct(n.alias("n"), F.when(bare == 0, 0).otherwise(bare + left).alias("right"), left.alias("left"), is_heading(line).alias("heading"))
+
     def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
         """size: characters of the section so far, joined and stripped; tail: blank ones after them."""
-        flush = (s["size"] > 100) & is_heading(line)
-        n, right = F.length(line), F.length(F.regexp_replace(line, r"\s+$", ""))
-        left = n - F.length(F.regexp_replace(line, r"^\s+", ""))
+        n, right, left = line["n"], line["right"], line["left"]
+        flush = (s["size"] > 100) & line["heading"]
         size = F.when(flush, 0).when(right == 0, s["size"]).when(s["size"] == 0, right - left).otherwise(s["size"] + s["tail"] + right)
         tail = F.when(flush | ((right == 0) & (s["size"] == 0)), 0).when(right == 0, s["tail"] + n).otherwise(n - right)
         return {"size": size, "tail": tail}, F.when(flush, "1").otherwise("0")
 
-    def cut(lines: Column) -> Column:
+    def cut(lines: Column, about: Column) -> Column:
         def section(x: Column) -> Column:
-            own = F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1)
-            heading = F.when(x["a"] >= 0, strip(F.get(lines, x["a"]))).otherwise(strip(F.get(F.filter(own, is_heading), F.lit(0))))
-            return F.struct(heading.alias("heading"), strip(F.array_join(own, "\n")).alias("text"))
+            own, first = F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1), F.array_position(F.transform(F.slice(about, x["a"] + 2, x["b"] - x["a"] - 1), lambda m: m["heading"]), F.lit(True))
+            heading = F.when(x["a"] >= 0, strip(F.get(lines, x["a"]))).when(first > 0, strip(F.get(own, (first - 1).cast("int"))))
+            return F.struct(heading.alias("heading"), let(F.array_join(own, "\n"), trim).alias("text"))
 
-        codes = fold(lines, {"size": F.lit(0), "tail": F.lit(0)}, step)
+        codes = fold(about, {"size": F.lit(0), "tail": F.lit(0)}, step)
         cuts = F.array_compact(F.transform(codes, lambda c, i: F.when(c == "1", i)))
         bounds = let(cuts, lambda c: F.arrays_zip(F.concat(F.array(F.lit(-1)), c).alias("a"), F.concat(c, F.array(F.size(lines))).alias("b")))
         return F.transform(bounds, section)
 
-    return F.filter(let(F.split(text, "\n"), cut), lambda s: F.length(s["text"]) > LEAST)
+    cut_of = lambda lines: let(F.transform(lines, measured), lambda about: cut(lines, about))
+    return F.filter(let(F.split(text, "\n"), cut_of), lambda s: F.length(s["text"]) > LEAST)
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: strip(s) != "")
+    return F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: s.rlike(r"\S"))
 
 
 def packed(lengths: Column) -> Column:
@@ -73,14 +82,11 @@ def packed(lengths: Column) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         flush = (s["size"] + x > TARGET) & (s["size"] > LEAST)
-        kept = back(s["i"])
-        return F.when(
-            flush,
-            F.struct(
-                (s["i"] + 1).alias("i"), (s["i"] - kept["n"]).alias("first"), s["i"].alias("overlap"), (kept["size"] + x).alias("size"),
-                F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (s["i"] - 1).alias("last"), s["overlap"].alias("overlap")))).alias("done"),
-            ),
-        ).otherwise(F.struct((s["i"] + 1).alias("i"), s["first"].alias("first"), s["overlap"].alias("overlap"), (s["size"] + x + F.when(s["size"] > 0, 1).otherwise(0)).alias("size"), s["done"].alias("done")))
+        started = lambda kept: F.struct(
+            (s["i"] + 1).alias("i"), (s["i"] - kept["n"]).alias("first"), s["i"].alias("overlap"), (kept["size"] + x).alias("size"),
+            F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (s["i"] - 1).alias("last"), s["overlap"].alias("overlap")))).alias("done"),
+        )
+        return F.when(flush, let(back(s["i"]), started)).otherwise(F.struct((s["i"] + 1).alias("i"), s["first"].alias("first"), s["overlap"].alias("overlap"), (s["size"] + x + F.when(s["size"] > 0, 1).otherwise(0)).alias("size"), s["done"].alias("done")))
 
     def finish(s: Column) -> Column:
         return F.when(s["size"] > LEAST, F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), (s["i"] - 1).alias("last"), s["overlap"].alias("overlap"))))).otherwise(s["done"])
@@ -90,7 +96,8 @@ def packed(lengths: Column) -> Column:
 
 def usable(text: Column) -> Column:
     numbered = F.regexp_count(text, F.lit(r"(?m)^\s*\d+\.\s+[A-Z]")) / F.size(F.split(text, "\n"))
-    return (F.length(strip(text)) >= LEAST) & (numbered <= 0.5) & (word_count(text) >= 20)
+    # Words are counted up to where they are enough.
+    return (F.length(trim(text)) >= LEAST) & (F.size(F.split(text, r"\s+", 21)) >= 20) & (numbered <= 0.5)
 
 
 def running_sums(sizes: Column) -> Column:
@@ -138,7 +145,7 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
     def one(r: Column) -> Column:
         repeat = F.when(r["overlap"] > r["first"], F.concat(joined(r, r["first"], r["overlap"] - 1), F.lit(" "))).otherwise("")
         # Where there is one page at most, nothing hangs on the place.
-        at = F.when(F.size("_ends") > 1, F.instr(F.col("_text"), repeat)).otherwise(1)
+        at = F.when(F.size("_ends") > 1, let(repeat, lambda t: F.instr(F.col("_text"), t))).otherwise(1)
         return F.struct(joined(r, r["first"], r["last"]).alias("text"), at.alias("at"))
 
     whole = F.array(F.struct(F.col("_text").alias("text"), F.lit(1).alias("at")))
@@ -153,6 +160,6 @@ def chunk(df: DataFrame, key: str, text: str = "text", page_sizes: str | None =
     numbered = flat.withColumn("_number", number)
     rows = numbered.select(
         key, F.concat(F.col(key).cast("string"), F.lit("__chunk_"), F.when(F.length("_number") < 4, F.lpad("_number", 4, "0")).otherwise(F.col("_number"))).alias("chunk_id"),
-        "section_path", F.col("_c.pages.start").cast("int").alias("page_start"), F.col("_c.pages.end").cast("int").alias("page_end"), strip(F.col("_c.text")).alias("text"),
+        "section_path", F.col("_c.pages.start").cast("int").alias("page_start"), F.col("_c.pages.end").cast("int").alias("page_end"), trim(F.col("_c.text")).alias("text"),
     )
     return rows.where(usable(F.col("text")))

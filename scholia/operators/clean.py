@@ -2,6 +2,8 @@
 
 Steps that look from line to line are folds over the lines, whose state is a few
 counters; what they keep is gathered in blocks, so time goes with the lines.
+Patterns that need a plain string are tried only on texts that hold it, in
+whatever case if they don't mind the case (`low`, the text in lower case).
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.functions.text import HEAD, TAIL, fold, let, strip, word_count
+from scholia.functions.text import HEAD, TAIL, fold, has, let, strip, trim
 
 # The patterns of the cleanup steps.
 _PERIOD = "January|February|March|April|May|June|July|August|September|October|November|December|Spring|Summer|Fall|Winter"
@@ -19,7 +21,8 @@ _JOURNAL = "Journal of Emergency Management"
 SUBSTITUTIONS = [
     (rf"{HEAD}Flz\.M{TAIL}", "FRM"), (rf"{HEAD}Flz\.W{TAIL}", "FRM"), (rf"{HEAD}constrnctions?{TAIL}", "constructions"), (rf"(?i){HEAD}innrmation{TAIL}", "information"),
     (rf"(?i){HEAD}infonnation{TAIL}", "information"), (rf"(?i){HEAD}adequnte{TAIL}", "adequate"), (rf"(?i){HEAD}managcment{TAIL}", "management"),
-]
+]
+SUBSTITUTED = ("flz.", "constrnction", "innrmation", "infonnation", "adequnte", "managcment")
 HEADER = (
     rf"(?i){_JOURNAL}\s+Vol\.\s*\d+(?:,?\s*No\.\s*\d+)?(?:,?\s*(?:{_PERIOD})(?:/(?:{_PERIOD}))?\s+\d{{4}})?(?:\s+\d{{1,4}})?"
     r"(?:\s+Georgetown University Special Issue)?(?:\s+Special Issue on\s+[^.!?()\n]{0,80})?"
@@ -40,29 +43,46 @@ def _replace(text: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
 
 
+def _if(gate: Column, text: Column, *rules: tuple[str, str]) -> Column:
+    return F.when(gate, _replace(text, *rules)).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return F.replace(F.replace(text, F.lit("­"), F.lit("")), F.lit("�"), F.lit(" "))
 
 
 def join_hyphens(text: Column) -> Column:
-    return _replace(text, (r"([A-Za-z0-9_])-\s*\n\s*([a-z])", "$1$2"), (rf"({HEAD}[a-zA-Z]{{2,}})-\s{{1,3}}([a-z]{{3,}}){TAIL}", "$1$2"))
+    return _if(has(text, "-"), text, (r"([A-Za-z0-9_])-\s*\n\s*([a-z])", "$1$2"), (rf"({HEAD}[a-zA-Z]{{2,}})-\s{{1,3}}([a-z]{{3,}}){TAIL}", "$1$2"))
 
 
 def drop_layout_lines(text: Column) -> Column:
-    return _replace(text, (r"(?m)^.*_Layout\s+\d[^\n]*$", ""), (r"(?m)^.*_layout\s+\d[^\n]*$", ""))
+    return _if(has(text, "_Layout", "_layout"), text, (r"(?m)^.*_Layout\s+\d[^\n]*$", ""), (r"(?m)^.*_layout\s+\d[^\n]*$", ""))
 
 
 def drop_logos(text: Column) -> Column:
-    return _replace(text, (rf"{HEAD}([A-Z] ){{2,6}}[A-Z]{TAIL}", ""))
+    return _if(text.rlike("[A-Z] [A-Z] [A-Z]"), text, (rf"{HEAD}([A-Z] ){{2,6}}[A-Z]{TAIL}", ""))
+
+
+def repair(text: Column) -> Column:
+    return let(F.lower(text), lambda low: _if(has(low, *SUBSTITUTED), text, *SUBSTITUTIONS))
 
 
 def drop_headers(text: Column) -> Column:
-    return _replace(text, (rf"(?m)(^|\s)(?:JEM\s+)?\d{{1,4}}\s+(?={_JOURNAL})", "$1"), (HEADER, " "), (HEADER_BROKEN, " "))
+    return _if(_names_journal(text), text, (rf"(?m)(^|\s)(?:JEM\s+)?\d{{1,4}}\s+(?={_JOURNAL})", "$1"), (HEADER, " "), (HEADER_BROKEN, " "))
+
+
+def _names_journal(text: Column) -> Column:
+    return has(F.lower(text), _JOURNAL.lower())
+
+
+def has_headers(text: Column) -> Column:
+    prefixless = _replace(text, (rf"(?m)(^|\s)(?:JEM\s+)?\d{{1,4}}\s+(?={_JOURNAL})", "$1"))
+    return F.when(_names_journal(text), prefixless.rlike(HEADER) | prefixless.rlike(HEADER_BROKEN)).otherwise(False)
 
 
 def drop_publisher_lines(text: Column) -> Column:
-    return _replace(text, (r"(?im)^DOI:[^\n]*$", ""), (r"(?im)^SA-Weston[^\n]*$", ""), (r"(?m)^JEM\s+\d+\s*$", ""))
+    return _if(has(F.lower(text), "doi:", "sa-weston", "jem"), text, (r"(?im)^DOI:[^\n]*$", ""), (r"(?im)^SA-Weston[^\n]*$", ""), (r"(?m)^JEM\s+\d+\s*$", ""))
 
 
 def drop_page_numbers(text: Column) -> Column:
@@ -97,22 +117,31 @@ def drop_ads(text: Column) -> Column:
     return _kept(text, {"skip": F.lit(0)}, step)
 
 
+def lists_contents(text: Column) -> Column:
+    return has(text, "...") & text.rlike(TOC_GATE)
+
+
 def drop_contents(text: Column) -> Column:
-    return F.when(text.rlike(TOC_GATE), F.regexp_replace(text, r"(?m)^[^\n]{10,60}\.{4,}\s*\d+\s*$", "")).otherwise(text)
+    return F.when(lists_contents(text), F.regexp_replace(text, r"(?m)^[^\n]{10,60}\.{4,}\s*\d+\s*$", "")).otherwise(text)
 
 
 def cut_references(text: Column) -> Column:
     """Cuts at the first heading of references if that lies past the middle."""
     at = F.regexp_instr(text, F.lit(REFERENCES)) - 1
-    return F.when(at > 0.5 * F.length(text), F.left(text, at)).otherwise(text)
+    named = has(text, "Reference", "REFERENCE", "Bibliography")
+    return F.when(named & (at > 0.5 * F.length(text)), F.left(text, at)).otherwise(text)
 
 
 def is_columnar(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    full = F.filter(F.transform(lines, strip), lambda s: s != "")
-    short = F.size(F.filter(full, lambda s: F.length(s) < 40)) / F.greatest(F.size(full), F.lit(1))
-    mean = F.aggregate(lines, F.lit(0), lambda a, s: a + F.length(s)) / F.size(lines)
-    return (short > 0.6) & (mean < 50)
+    full = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
+    short = lambda f: F.size(F.filter(f, lambda s: F.length(s) < 40)) / F.greatest(F.size(f), F.lit(1))
+    return F.when(mean_line(text) < 50, let(full, short) > 0.6).otherwise(False)
+
+
+def mean_line(text: Column) -> Column:
+    """The mean length of the lines: all characters but the line breaks."""
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (F.length(text) - breaks) / (breaks + 1)
 
 
 def join_columns(text: Column) -> Column:
@@ -130,11 +159,12 @@ def join_columns(text: Column) -> Column:
 
 
 def drop_url_lines(text: Column) -> Column:
-    return _replace(text, (r"(?m)^\s*https?://[^\s]+\s*$", ""), (r"(?m)^\s*www\.[^\s]{5,}\s*$", ""))
+    return _if(has(text, "http", "www."), text, (r"(?m)^\s*https?://[^\s]+\s*$", ""), (r"(?m)^\s*www\.[^\s]{5,}\s*$", ""))
 
 
 def squeeze(text: Column) -> Column:
-    return strip(_replace(text, (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")))
+    single = let(_if(has(text, "\n\n\n"), text, (r"\n{3,}", "\n\n")), lambda t: _if(has(t, "  ", "\t"), t, (r"[ \t]{2,}", " ")))
+    return let(single, trim)
 
 
 def _shorter(before: Column, after: Column) -> Column:
@@ -151,13 +181,13 @@ STEPS = [
     ("dehyphenated", join_hyphens, None, "fixed-hyphenation", _shorter),
     ("unlaid", drop_layout_lines, None, "removed-layout-annotations", _shorter),
     ("unbranded", drop_logos, None, "removed-logo-artifacts", _differs),
-    ("repaired", lambda t: _replace(t, *SUBSTITUTIONS), None, "repaired-ocr-substitutions", _differs),
+    ("repaired", repair, None, "repaired-ocr-substitutions", _differs),
     ("headless", drop_headers, None, "removed-journal-headers", "headers"),
     ("unpublished", drop_publisher_lines, None, None, None),
     ("unpaged", drop_page_numbers, None, "removed-page-numbers", _differs),
-    ("unfronted", drop_frontmatter, lambda t: t.rlike(FRONTMATTER_GATE), "removed-frontmatter", None),
-    ("unsold", drop_ads, lambda t: t.rlike(AD_GATE), "removed-ads", None),
-    ("unlisted", drop_contents, lambda t: t.rlike(TOC_GATE), "removed-toc", None),
+    ("unfronted", drop_frontmatter, lambda t: has(t, "ISSN ", "Copyright", "All rights reserved") & t.rlike(FRONTMATTER_GATE), "removed-frontmatter", None),
+    ("unsold", drop_ads, lambda t: (has(t, "US $") | has(F.lower(t), "subscription")) & t.rlike(AD_GATE), "removed-ads", None),
+    ("unlisted", drop_contents, lists_contents, "removed-toc", None),
     ("unreferenced", cut_references, None, "removed-references", _differs),
     ("joined", join_columns, is_columnar, "column-join-attempted", None),
     ("unlinked", drop_url_lines, None, "removed-bare-url-lines", _differs),
@@ -181,8 +211,7 @@ def clean(df: DataFrame, text: str = "text", skip: tuple[str, ...] = ()) -> Data
         opened = gate(now) if gate is not None else None
         out = step(now) if opened is None else F.when(opened, step(now)).otherwise(now)
         if shown == "headers":
-            prefixless = _replace(now, (rf"(?m)(^|\s)(?:JEM\s+)?\d{{1,4}}\s+(?={_JOURNAL})", "$1"))
-            mark = prefixless.rlike(HEADER) | prefixless.rlike(HEADER_BROKEN)
+            mark = has_headers(now)
         else:
             mark = opened if shown is None else shown(now, F.col(column))
         df = df.withColumn(column, out)
@@ -190,8 +219,8 @@ def clean(df: DataFrame, text: str = "text", skip: tuple[str, ...] = ()) -> Data
             df = df.withColumn(f"{column}_flag", mark)
             flags.append(F.when(F.col(f"{column}_flag"), flag))
         now = F.col(column)
-    lines = F.split(now, "\n")
-    mean = F.aggregate(lines, F.lit(0), lambda a, s: a + F.length(s)) / F.size(lines)
-    notes = F.array_compact(F.array(F.when(word_count(now) < 50, "very-short-document"), F.when(mean < 20, "short-avg-line-length-possible-column-artifact")))
+    mean = mean_line(now)
+    # Words are counted up to where they are enough.
+    notes = F.array_compact(F.array(F.when(F.size(F.split(now, r"\s+", 51)) < 50, "very-short-document"), F.when(mean < 20, "short-avg-line-length-possible-column-artifact")))
     added = {"cleaned_text": now, "cleaning_flags": F.array_compact(F.array(*flags)), "quality_notes": notes}
     return df.select(*[c for c in columns if c not in added], *[c.alias(n) for n, c in added.items()])
