@@ -153,3 +153,23 @@ def test_report_percent(spark):
     raw = spark.createDataFrame([(1, "eco- nomics eco- nomics")], "doc_id long, text string")
     rows = {r.type: r for r in artifacts.corpus_report(raw, clean.clean(raw), "doc_id").collect()}
     assert (rows["hyphen_trailing_space"].raw, rows["hyphen_trailing_space"].removed, rows[None].percent) == (2, 2, 100)
+
+
+def test_a_repeated_document_is_one_row_of_the_report(spark):
+    """Its texts are counted together, and each row of the report's join is a document."""
+    raw = spark.createDataFrame([(1, "well-\n being DOI: x"), (2, None)], "doc_id long, text string")
+    cleaned = spark.createDataFrame([(1, "wellbeing"), (1, "in- tent ok"), (2, "")], "doc_id long, cleaned_text string")
+    got = {r.doc_id: (r.raw, r.clean, r.improvement["hyphen_newline"]) for r in artifacts.document_report(raw, cleaned, "doc_id").collect()}
+    assert got == {1: (4, 1, 2), 2: (None, 0, None)}
+
+
+def test_long_lines_and_gates(spark):
+    """Texts with what a gate looks for, in other cases and at the ends, are worked on as before."""
+    texts = ["INFONNATION x", "SA-Weston y\nb", "a \n\n\n\nb\t\tc ", " J E M", "US $10\nb\nc\nd", "JOURNAL OF EMERGENCY MANAGEMENT Vol. 3 x"]
+    got = clean.clean(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).orderBy("id").collect()
+    assert [r.cleaned_text for r in got] == ["information x", "b", "a\n\nb c", "", "d", "x"]
+    # A line of blank characters and one that Java's $ takes for a line break counts with its own length.
+    line = "  \u0085"
+    said = ["x" * 100, "Study Limitations", "y" * 300]
+    rows = spark.createDataFrame([("\n".join([line, *said]),)], "t string").select(chunking.sections(F.col("t")).alias("s")).first().s
+    assert [(r.heading, len(r.text)) for r in rows] == [("Study Limitations", 300)]
