@@ -82,3 +82,14 @@ def test_a_long_exact_list_is_cut_to_what_counts(spark):
     got = retrieval.fuse(vector, none, exact).orderBy("rank").collect()
     assert [r.pos for r in got] == [499, *range(29)]
     assert round(got[0].score, 9) == round(1 / 60 + 1 / 60 + 0.15, 9) and round(got[1].score, 9) == round(1 / 61 + 1 / 60 + 0.15, 9)
+
+
+def test_terms_are_counted_without_a_shuffle(spark, tmp_path, questions):
+    """And rows that share a pos are one record."""
+    records = spark.createDataFrame([(1, "flood storm flood"), (1, "storm river"), (2, None)], "pos long, text string")
+    assert "Exchange" not in postings.cut(records)._jdf.queryExecution().executedPlan().toString()
+    index = postings.Index(Store(spark, f"file://{tmp_path}/i", "pos", 4))
+    index.update(records)
+    got = {r.pos: (r["size"], [(t.term, t.tf) for t in r.terms]) for r in index.store.read("forward").collect()}
+    assert got == {1: (5, [("flood", 2), ("river", 1), ("storm", 2)]), 2: (0, [])}
+    assert index.store.read("inverted").where("sign = 1").count() == 3
