@@ -22,9 +22,12 @@ Step = Callable[[DataFrame], DataFrame]
 
 
 def shared_cells(members: DataFrame) -> DataFrame:
-    """The members (cell, node) of cells that hold more than one: cell, node, size."""
+    """The members (cell, node) of cells that hold more than one: cell, node, size.
+
+    By a merge join at every size: members are mostly exploded from a smaller table, and
+    Spark takes them for no larger than that, so it would broadcast them by way of the driver."""
     sizes = members.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    return materialize(members.join(sizes.withColumn("cell", unplaced(F.col("cell"))), "cell"), "cells")
+    return materialize(members.join(sizes.withColumn("cell", unplaced(F.col("cell"))).hint("merge"), "cell"), "cells")
 
 
 def connect(shared: DataFrame, star: Step, rest: Step) -> DataFrame:

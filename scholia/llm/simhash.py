@@ -338,7 +338,7 @@ def rare_pairs(members: DataFrame, sets: DataFrame, widths: DataFrame, similarit
     sampled = dealt.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     every = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
     shown = sampled.select("cell", "node", "label", "stray", F.lit(0).alias("side"), every.alias("block"))
-    both = shown.unionByName(dealt.select("cell", "node", "label", "stray", F.lit(1).alias("side"), "block")).join(sets.withColumn("node", unplaced(F.col("node"))), "node")
+    both = shown.unionByName(dealt.select("cell", "node", "label", "stray", F.lit(1).alias("side"), "block")).join(sets.withColumn("node", unplaced(F.col("node"))).hint("merge"), "node")
     grouped = both.repartition("cell", "block").sortWithinPartitions("cell", "block")
     made = grouped.mapInPandas(_rarest(similarity), "cell long, node long, label long, stray boolean, n int, shingle int")
     keyed = materialize(made.withColumn("key", F.xxhash64("cell", "shingle")).drop("shingle"), "rare-shingles")
@@ -388,7 +388,7 @@ def link_sets(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame
         every = F.explode(F.sequence(F.lit(0), F.col("width") - 1))
         left = dealt.where("stray").select("cell", "node", "label", F.lit(0).alias("side"), F.col("block").alias("i"), every.alias("j"))
         right = dealt.select("cell", "node", "label", F.lit(1).alias("side"), every.alias("i"), F.col("block").alias("j"))
-        both = left.unionByName(right).join(sets.withColumn("node", unplaced(F.col("node"))), "node")
+        both = left.unionByName(right).join(sets.withColumn("node", unplaced(F.col("node"))).hint("merge"), "node")
         grouped = both.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
         return materialize(grouped.mapInPandas(_compare(similarity), "a long, b long").distinct(), "links")
 

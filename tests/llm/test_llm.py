@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from scholia.llm import decontaminate, licenses, lines, multiset_hash, packing, pii, quality, simhash, substrings, token_store
+from scholia.llm import decontaminate, licenses, lines, linking, multiset_hash, packing, pii, quality, simhash, substrings, token_store
 from scholia.llm.common import least_hashes
 from scholia.llm.components import components
 from scholia.llm.tokens import encoder, vocabulary
@@ -283,6 +283,21 @@ def test_links_of_a_crowded_cell(spark):
     assert len(got) == len(marks) - 2 and center ^ 0xFF00 not in got
 
 
+def test_exploded_members_are_never_broadcast(spark, monkeypatch):
+    """Spark takes them for no larger than the table that they are exploded from."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(linking, "materialize", seen)
+    table = spark.range(50).select(F.col("id").alias("node"), F.explode(F.array(F.col("id"), F.col("id") % 7 + 100)).alias("cell"))
+    found = sorted(tuple(r) for r in linking.shared_cells(table).select("cell", "node", "size").collect())
+    assert found == sorted((i % 7 + 100, i, 8 if i % 7 == 0 else 7) for i in range(50))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
