@@ -62,7 +62,8 @@ def sections(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: s.rlike(r"\S"))
+    # White space after a stop and before a capital; what comes before is looked at only where there is some.
+    return F.filter(F.split(text, r"\s(?<=[.!?]\s)\s*(?=[A-Z])"), lambda s: s.rlike(r"\S"))
 
 
 def packed(lengths: Column) -> Column:

@@ -15,26 +15,34 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import HEAD, TAIL, fold, has, let, strip, trim
 
+
+def _word(pattern: str) -> str:
+    """A whole word. What comes before it is looked at last, and not at each character of a text."""
+    return rf"{pattern}(?<![0-9A-Za-z_]{pattern}){TAIL}"
+
+
 # The patterns of the cleanup steps.
 _PERIOD = "January|February|March|April|May|June|July|August|September|October|November|December|Spring|Summer|Fall|Winter"
 _JOURNAL = "Journal of Emergency Management"
 SUBSTITUTIONS = [
-    (rf"{HEAD}Flz\.M{TAIL}", "FRM"), (rf"{HEAD}Flz\.W{TAIL}", "FRM"), (rf"{HEAD}constrnctions?{TAIL}", "constructions"), (rf"(?i){HEAD}innrmation{TAIL}", "information"),
-    (rf"(?i){HEAD}infonnation{TAIL}", "information"), (rf"(?i){HEAD}adequnte{TAIL}", "adequate"), (rf"(?i){HEAD}managcment{TAIL}", "management"),
+    (_word(r"Flz\.M"), "FRM"), (_word(r"Flz\.W"), "FRM"), (_word("constrnctions?"), "constructions"), ("(?i)" + _word("innrmation"), "information"),
+    ("(?i)" + _word("infonnation"), "information"), ("(?i)" + _word("adequnte"), "adequate"), ("(?i)" + _word("managcment"), "management"),
 ]
-SUBSTITUTED = ("flz.", "constrnction", "innrmation", "infonnation", "adequnte", "managcment")
+#: What a text needs, in lower case, for which of them.
+SUBSTITUTED = [("flz.", (0, 1)), ("constrnction", (2,)), ("innrmation", (3,)), ("infonnation", (4,)), ("adequnte", (5,)), ("managcment", (6,))]
 HEADER = (
     rf"(?i){_JOURNAL}\s+Vol\.\s*\d+(?:,?\s*No\.\s*\d+)?(?:,?\s*(?:{_PERIOD})(?:/(?:{_PERIOD}))?\s+\d{{4}})?(?:\s+\d{{1,4}})?"
     r"(?:\s+Georgetown University Special Issue)?(?:\s+Special Issue on\s+[^.!?()\n]{0,80})?"
 )
 HEADER_BROKEN = rf"(?i){_JOURNAL}\s*\n\s*Vol\.[^,\n]{{0,40}}"
 FRONTMATTER_GATE = r"ISSN \d{4}-\d{4}|Copyright.*\d{4}|All rights reserved"
-FRONTMATTER = "|".join([
+#: All begin with a capital, which is looked for first.
+FRONTMATTER = "(?=[A-Z])(?:%s)" % "|".join([
     r"ISSN \d{4}-\d{4}", r"Copyright.*\d{4}", "All rights reserved", "Published by", "Weston Medical Publishing", "Subscription", "E-mail:.*@", "Web site:.*www",
     "Postmaster:", "Disclaimer:", rf"^[A-Z][a-z]+,\s+(PhD|MD|MPH|EdD|DPA|JD|MS|MA|BA){TAIL}", rf"{HEAD}(Associate|Assistant|Adjunct)\s+(Professor|Director|Chair){TAIL}",
 ])
 AD_GATE = r"US \$\d+|(?i:subscription)"
-AD = "|".join([r"US \$\d+", r"Canada \$\d+", r"Foreign \$\d+", r"Individual:.*\$", r"Corporate:.*\$", "Student Rate", "Single issues", "Back issues", "(?i:annual subscription)"])
+AD = "(?=[A-Za])(?:%s)" % "|".join([r"US \$\d+", r"Canada \$\d+", r"Foreign \$\d+", r"Individual:.*\$", r"Corporate:.*\$", "Student Rate", "Single issues", "Back issues", "(?i:annual subscription)"])
 TOC_GATE = r"(?m)^\s*\d+\s*\.\s*[A-Z][^\n]{5,50}\s*\.{3,}\s*\d+\s*$"
 REFERENCES = r"\n\s*(References?|Bibliography|REFERENCES?)\s*\n"
 
@@ -53,7 +61,7 @@ def normalize(text: Column) -> Column:
 
 
 def join_hyphens(text: Column) -> Column:
-    return _if(has(text, "-"), text, (r"([A-Za-z0-9_])-\s*\n\s*([a-z])", "$1$2"), (rf"({HEAD}[a-zA-Z]{{2,}})-\s{{1,3}}([a-z]{{3,}}){TAIL}", "$1$2"))
+    return _if(has(text, "-") & text.rlike(r"-\s"), text, (r"([A-Za-z0-9_])-\s*\n\s*([a-z])", "$1$2"), (rf"({HEAD}[a-zA-Z]{{2,}}+)-\s{{1,3}}([a-z]{{3,}}){TAIL}", "$1$2"))
 
 
 def drop_layout_lines(text: Column) -> Column:
@@ -61,11 +69,13 @@ def drop_layout_lines(text: Column) -> Column:
 
 
 def drop_logos(text: Column) -> Column:
-    return _if(text.rlike("[A-Z] [A-Z] [A-Z]"), text, (rf"{HEAD}([A-Z] ){{2,6}}[A-Z]{TAIL}", ""))
+    return _if(text.rlike("[A-Z] [A-Z] [A-Z]"), text, (rf"[A-Z](?<![0-9A-Za-z_][A-Z]) ([A-Z] ){{1,5}}[A-Z]{TAIL}", ""))
 
 
 def repair(text: Column) -> Column:
-    return let(F.lower(text), lambda low: _if(has(low, *SUBSTITUTED), text, *SUBSTITUTIONS))
+    # Each rule needs its own string, which no other rule makes.
+    one = lambda low: lambda t, r: let(t, lambda v: _if(has(low, r[0]), v, r[1]))
+    return let(F.lower(text), lambda low: F.when(has(low, *dict(SUBSTITUTED)), reduce(one(low), [(s, SUBSTITUTIONS[i]) for s, at in SUBSTITUTED for i in at], text)).otherwise(text))
 
 
 def drop_headers(text: Column) -> Column:
@@ -89,32 +99,37 @@ def drop_page_numbers(text: Column) -> Column:
     return _replace(text, (r"(?m)^\s*\d{1,4}\s*$", ""))
 
 
-def _kept(text: Column, start: dict[str, Column], step) -> Column:
-    """The lines that step gives the code 1."""
-    return let(F.split(text, "\n"), lambda lines: let(fold(lines, start, step), lambda codes: F.array_join(F.filter(lines, lambda _, i: F.get(codes, i) == "1"), "\n")))
+def _kept(text: Column, look, start: dict[str, Column], step) -> Column:
+    """The lines that step gives the code 1; it gets what `look` tells of a line, which is
+    looked at once."""
+    codes_of = lambda lines: fold(F.transform(lines, look), start, step)
+    return let(F.split(text, "\n"), lambda lines: let(codes_of(lines), lambda codes: F.array_join(F.filter(lines, lambda _, i: F.get(codes, i) == "1"), "\n")))
 
 
 def drop_frontmatter(text: Column) -> Column:
     """Drops frontmatter lines, and up to four blank lines after each; a fifth ends it."""
 
+    def look(line: Column) -> Column:
+        return F.struct(line.rlike(FRONTMATTER).alias("front"), (~line.rlike(r"\S")).alias("blank"))
+
     def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
-        front, blank = line.rlike(FRONTMATTER), strip(line) == ""
+        front, blank = line["front"], line["blank"]
         run = s["inside"] & blank & ~front
         n = F.when(front | run, s["n"] + 1).otherwise(0)
         ended = run & (n > 3)
         return {"inside": front | (run & ~ended), "n": F.when(ended, 0).otherwise(n)}, F.when(front | run, "0").otherwise("1")
 
-    return _kept(text, {"inside": F.lit(False), "n": F.lit(0)}, step)
+    return _kept(text, look, {"inside": F.lit(False), "n": F.lit(0)}, step)
 
 
 def drop_ads(text: Column) -> Column:
     """Drops each line of prices and the two lines after it, whatever they hold."""
 
-    def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
-        skip, ad = s["skip"] > 0, line.rlike(AD)
+    def step(s: Column, ad: Column) -> tuple[dict[str, Column], Column]:
+        skip = s["skip"] > 0
         return {"skip": F.when(skip, s["skip"] - 1).when(ad, 2).otherwise(0)}, F.when(skip | ad, "0").otherwise("1")
 
-    return _kept(text, {"skip": F.lit(0)}, step)
+    return _kept(text, lambda line: line.rlike(AD), {"skip": F.lit(0)}, step)
 
 
 def lists_contents(text: Column) -> Column:
@@ -147,15 +162,15 @@ def mean_line(text: Column) -> Column:
 def join_columns(text: Column) -> Column:
     """Joins a line to the one before it where it goes on in lower case or punctuation."""
 
-    def step(s: Column, line: Column) -> tuple[dict[str, Column], Column]:
+    def step(s: Column, own: Column) -> tuple[dict[str, Column], Column]:
         """The code is what comes before the line."""
-        own = strip(line)
         return {"open": own != ""}, F.when(s["open"] & own.rlike("^[a-z,;:)]"), " ").otherwise("\n")
 
     def joined(lines: Column, codes: Column) -> Column:
-        return F.array_join(F.transform(lines, lambda line, i: F.concat(F.when(i > 0, F.get(codes, i)).otherwise(""), strip(line))), "")
+        return F.array_join(F.transform(lines, lambda own, i: F.concat(F.when(i > 0, F.get(codes, i)).otherwise(""), own)), "")
 
-    return let(F.split(text, "\n"), lambda lines: let(fold(lines, {"open": F.lit(False)}, step), lambda codes: joined(lines, codes)))
+    own = F.transform(F.split(text, "\n"), strip)
+    return let(own, lambda lines: let(fold(lines, {"open": F.lit(False)}, step), lambda codes: joined(lines, codes)))
 
 
 def drop_url_lines(text: Column) -> Column:

@@ -173,3 +173,22 @@ def test_long_lines_and_gates(spark):
     said = ["x" * 100, "Study Limitations", "y" * 300]
     rows = spark.createDataFrame([("\n".join([line, *said]),)], "t string").select(chunking.sections(F.col("t")).alias("s")).first().s
     assert [(r.heading, len(r.text)) for r in rows] == [("Study Limitations", 300)]
+
+
+def test_cleanup_looks_at_a_line_once(spark):
+    for step, said in ((clean.drop_frontmatter, "Published by"), (clean.drop_ads, "Back issues")):
+        assert str(step(F.col("t"))).count(said) == 1
+
+
+def test_cleanup_patterns_at_words_edges(spark):
+    rows = [
+        (clean.repair, "Flz.M aFlz.M Flz.Mx FLZ.M Flz.W.", "FRM aFlz.M Flz.Mx FLZ.M FRM."),
+        (clean.repair, "constrnction constrnctions xconstrnctions constrnctionsx", "constructions constructions xconstrnctions constrnctionsx"),
+        (clean.repair, "INNRMATION xinnrmation infonnation. Adequnte managcment_ managcment", "information xinnrmation information. adequate managcment_ management"),
+        (clean.join_hyphens, "ab-  cde1 ab-  cde a-b- cdef _ab- cde q-\n x", "ab-  cde1 abcde a-b- cdef _ab- cde qx"),
+        (clean.drop_logos, "A B C D xA B C D_ 1A B C", " xA B C D_ 1A B C"),
+        (clean.drop_ads, "US $1\none\ntwo\nannual Subscription\nx\ny\nBack issue", "Back issue"),
+        (clean.drop_frontmatter, "Doe, MD x\n\n \n\n\n\nkeep\nan Associate Professor", "\n\nkeep"),
+    ]
+    for step, text, expected in rows:
+        assert spark.createDataFrame([(text,)], "t string").select(step(F.col("t"))).first()[0] == expected, (step, text)
