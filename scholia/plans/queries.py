@@ -15,8 +15,8 @@ from .oracle import ORACLE_SQL, noised
 
 FLAGSHIP = "hybrid_retrieval"
 QUERIES: dict = {}
-#: Tables whose rows take long enough for that.
-WORKED_ON = {"documents", "embeddings"}
+#: Tables whose rows take long enough for that, and bytes of their file that are a task's at most.
+WORKED_ON, TASK = {"documents", "embeddings"}, 4 << 20
 
 
 def query(f):
@@ -25,11 +25,14 @@ def query(f):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that is worked on and comes in a single file is spread over the cores.
+    """A table; one that is worked on and comes in a single file is spread over the cores,
+    and over as many tasks more as its size asks for, so that none grows with the table.
     A table of many files is read as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in WORKED_ON and len(df.inputFiles()) == 1 else df
+    if name not in WORKED_ON or len(df.inputFiles()) != 1:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK)))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

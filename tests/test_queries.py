@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from scholia import plans
+from scholia.plans import queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,5 +29,14 @@ def test_query(spark, name):
     assert plain(rows) == plain(other)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_tasks_do_not_grow_with_a_table(spark, monkeypatch):
+    size = os.path.getsize(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(queries, "TASK", size // 9, raising=False)
+    table = queries._read(spark, DATA, "documents")
+    assert table.rdd.getNumPartitions() >= 9
+    assert table.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
 def test_entry_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
