@@ -30,6 +30,7 @@ SEQUENCE, END_ID = 2048, 1
 LEVELS = 256
 #: Rows that one rank window within a level should hold at most.
 RANKED = 20_000
+SLOTS = {"_level": pa.int32(), "_from": pa.int64(), "_to": pa.int64(), "_each": pa.int32(), "_first": pa.int64(), "_before": pa.int32()}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -143,7 +144,8 @@ def pack_pieces(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
             taken[i] += n * pattern[i]
             before += int(pattern[i])
         first_id += n
-    table = spark.createDataFrame(slots, "_level int, _from long, _to long, _each int, _first long, _before int")
+    # As an Arrow table: rows of a list would be read by Python workers of their own, which stay.
+    table = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*slots) if slots else [()] * len(SLOTS), SLOTS.values(), strict=True)], names=list(SLOTS)))
     # Ranks within a level, by salt: a level may hold any share of the rows.
     salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     by_salt = Window.partitionBy("_level").orderBy("_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)

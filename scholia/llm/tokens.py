@@ -13,6 +13,7 @@ token's string is encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from .words import BASE, data_of, mix
 #: Units that a worker keeps at most, and bytes of the longest unit that it keeps (two longs).
 KEEP_UNITS, KEEP_BYTES = 1_000_000, 16
 #: Characters of text that are worked on at once.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 _CUT = "\0"
 
 
@@ -190,10 +191,22 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: glibc keeps what numpy frees for later use; elsewhere there is no such call.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, Arrow's and numpy's: workers outlive their
+    tasks, and what a stage once took would stay beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def text_batches(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_BYTES):
     """Cut a batch into slices of about `most` bytes of text, one row at least;
-    yields each slice with its texts, nulls as empty texts. Workers outlive their
-    tasks, so freed memory goes back to the system after each batch."""
+    yields each slice with its texts, nulls as empty texts. Freed memory goes back
+    to the system after each batch."""
     texts = pc.fill_null(batch.column(column), "")
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())
@@ -204,4 +217,4 @@ def text_batches(batch: pa.RecordBatch, column: str = "text", most: int = BATCH_
         to = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scholia.llm import kdtree, spelling, tokens, vectors
+from scholia.llm import kdtree, packing, spelling, tokens, vectors
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, word string, n long, form string, root string, id string"
@@ -217,3 +217,32 @@ def test_known_units_keep_one_of_equal_hashes():
     assert known.ids[known.starts[place[0]] :][: known.sizes[place[0]]].tolist() == [5, 6]
     known.add(words[1:2], hashes[1:2], np.array([6], np.uint32), np.array([1]))
     assert known.n == 2
+
+
+def test_the_slots_of_packing_need_no_python_workers(spark):
+    """A list of rows is read by a second pool of Python workers on each executor, which stays beside the first."""
+    docs = spark.createDataFrame([(i, "a word " * (300 * i)) for i in range(8)] + [(8, None)], "doc_id long, text string")
+    packed = packing.pack_documents(docs)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+    rows = packed.collect()
+    assert {r.doc_id for r in rows} == set(range(9)) and max(r.offset + r.length for r in rows) <= packing.SEQUENCE
+    assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
+def test_freed_memory_goes_back():
+    """What texts took while they were worked on doesn't stay with the worker, and a slice is small."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:")) / 1024
+
+    enc, rng = tokens.Encoder(tokens.vocabulary()), random.Random(5)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(str(rng.getrandbits(60)) for _ in range(4000)) for _ in range(150)])], names=["text"])
+    slices = []
+    before = held()
+    for rows, texts in tokens.text_batches(batch):
+        slices.append(texts.nbytes)
+        enc.encode(texts)
+    del rows, texts
+    tokens.give_back()
+    assert max(slices) < 1.2 * (1 << 20) and held() - before < 100
