@@ -13,7 +13,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -198,26 +197,30 @@ def _automaton(name: str, asked: list[tuple], loose: bool) -> tuple:
 
 def _matches(asked: Broadcast, loose: bool):
     """For each record, the questions that it holds as a whole, or enough words of: one
-    pass over its text, and a count for each question that any of it belongs to."""
+    pass over its text, and a count for each question that any of it belongs to. One
+    text at a time is taken out of the Arrow batch."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, questions = asked.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, questions = asked.value
         found, counts, least, always = _automaton(name, questions, loose)
-        for f in frames:
-            out = []
-            for pos, text in zip(f.pos, f.t, strict=True):
-                if text is None:
-                    continue
-                hits: dict[int, int] = dict.fromkeys(always, 0)
-                whole = {i for i in always if questions[i][1] == ""}
-                for _, own, words in {v[0]: v for _, v in found.iter(text)}.values() if found else ():
-                    whole.update(own)
-                    for i, n in words:
-                        hits[i] = hits.get(i, 0) + n
-                for i in whole | {i for i, n in hits.items() if loose and n >= least[i]}:
-                    share = hits.get(i, 0) / counts[i] if counts[i] else math.nan
-                    out.append((questions[i][0], pos, 1.0 if i in whole else share, i in whole))
-            yield pd.DataFrame(out, columns=["query_id", "pos", "score", "whole"])
+        for batch in batches:
+            for lo in range(0, len(batch), TILE):
+                part, out = batch.slice(lo, TILE), []
+                for row, text in enumerate(t.as_py() for t in part.column("t")):
+                    if text is None:
+                        continue
+                    hits: dict[int, int] = dict.fromkeys(always, 0)
+                    whole = {i for i in always if questions[i][1] == ""}
+                    for _, own, words in {v[0]: v for _, v in found.iter(text)}.values() if found else ():
+                        whole.update(own)
+                        for i, n in words:
+                            hits[i] = hits.get(i, 0) + n
+                    for i in whole | {i for i, n in hits.items() if loose and n >= least[i]}:
+                        share = hits.get(i, 0) / counts[i] if counts[i] else None
+                        out.append((i, row, 1.0 if i in whole else share, i in whole))
+                q, rows, score, said = zip(*out, strict=True) if out else ((),) * 4
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q, pa.int64())), part.column("pos").take(pa.array(rows, pa.int64())), pa.array(score, pa.float64()), pa.array(said, pa.bool_())], names=["query_id", "pos", "score", "whole"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -236,8 +239,11 @@ def phrase(records: DataFrame, questions: DataFrame, loose: bool = True) -> Data
     spark, kinds = records.sparkSession, (dict(questions.dtypes)["query_id"], dict(records.dtypes)["pos"])
     texts, found = records.select("pos", F.lower("text").alias("t")), None
     for block in blocks_of(asked, "query_id", 4 * F.octet_length("q")):
-        sent_block = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in block.collect()]))
-        rows = texts.mapInPandas(_matches(sent_block, loose), f"query_id {kinds[0]}, pos {kinds[1]}, score double, whole boolean")
+        held = block.toArrow()
+        ids = held.column("query_id")
+        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], ids.type)
+        sent_block = spark.sparkContext.broadcast((uuid.uuid4().hex, ids, [tuple(r.values()) for r in held.to_pylist()]))
+        rows = texts.mapInArrow(_matches(sent_block, loose), f"query_id {kinds[0]}, pos {kinds[1]}, score double, whole boolean")
         found = rows if found is None else found.union(rows)
     return found
 

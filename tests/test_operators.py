@@ -1,7 +1,10 @@
 """Rules on small rows; expected values are worked out by hand or by plain Python."""
 
 import re
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from scholia.operators import artifacts, catalog, chunking, clean, evidence, retrieval
@@ -101,6 +104,20 @@ def test_phrase_without_long_words_keeps_all(spark):
     assert retrieval.phrase(records, spark.createDataFrame([(1, "is it ok")], "query_id long, query string")).count() == 2
 
 
+def test_phrases_take_one_text_at_a_time():
+    """A task's Python holds no more texts for a larger batch; a string's score without words is null."""
+    questions = SimpleNamespace(value=("own", pa.array(["a", "b"]), [("a", "flood risk", ["flood"]), ("b", "is it", [])]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([f"{i} flood " * 2000 for i in range(1999)] + [None])], names=["pos", "t"])
+    tracemalloc.start()
+    n = 0
+    for found in retrieval._matches(questions, loose=True)([batch]):
+        n += len(found)
+        assert set(found.to_pylist()[0].items()) <= {("query_id", "a"), ("query_id", "b"), ("pos", 0), ("pos", 1024), ("score", 1.0), ("score", None), ("whole", False)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 * 1999 and peak < 5_000_000 < batch.nbytes / 5
+
+
 def test_questions_beyond_the_bound(spark, monkeypatch):
     """Questions too large to broadcast give the same rows, as does a table over many partitions."""
     records = spark.createDataFrame([(i, f"flood number {i} in river", [float(i % 7), 1.0]) for i in range(60)], "pos long, text string, embedding array<float>").repartition(5)
